@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import epoch_of, mask_flow, prefix_mask
-from ..plans.sizing import BROADCAST_ROWS, fits
+from ..plans.sizing import BROADCAST_ROWS
 from ..schema import GROUP, KEY, WIDTH
 
 MAX_SHAPES = 2_048
@@ -41,9 +41,8 @@ def group_lengths() -> dict[str, Column]:
 
 def _shapes(rules: DataFrame, lens: list[str], limit: int) -> list | None:
     """Distinct mask shapes in order of first rule, or None when there are more than `limit`."""
-    shapes = (
-        rules.groupBy(*lens).agg(F.min("rule_id").alias("first_rule")).limit(limit + 1).collect()
-    )
+    per_shape = rules.groupBy(*lens).agg(F.min("rule_id").alias("first_rule"), F.count(F.lit(1)).alias("n_rules"))
+    shapes = per_shape.limit(limit + 1).collect()
     if len(shapes) > limit:
         return None
     return sorted(shapes, key=lambda s: s["first_rule"])
@@ -53,36 +52,28 @@ def _literal_mask(length: int, bits: int) -> int:
     return ((1 << length) - 1) << (bits - length)
 
 
+def _shape_number(lens: list) -> int:
+    number = 0
+    for length in lens:
+        number = number * 64 + length
+    return number
+
+
 def _probe(flows: DataFrame, shapes: list, fields: list[str]) -> DataFrame:
     """One row per flow and mask shape, with the key masked to the shape."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("shape"),
-                *[
-                    F.lit(_literal_mask(s[f"len_{c}"], WIDTH[c])).cast("bigint").alias(f"m_{c}")
-                    for c in fields
-                ],
-            )
-            for i, s in enumerate(shapes)
-        ]
+    cells = [
+        (i, _shape_number([s[f"len_{c}"] for c in fields]), *[_literal_mask(s[f"len_{c}"], WIDTH[c]) for c in fields])
+        for i, s in enumerate(shapes)
+    ]
+    names = ["_nth", "_shape", *[f"_m_{c}" for c in fields]]
+    array = F.array(*[F.struct(*[F.lit(x).cast("bigint").alias(n) for x, n in zip(cell, names)]) for cell in cells])
+    probed = flows.withColumn("_cell", F.explode(array))
+    return probed.select(
+        *flows.columns,
+        "_cell._nth",
+        "_cell._shape",
+        *[F.col(c).bitwiseAND(F.col(f"_cell._m_{c}")).alias(f"_c_{c}") for c in fields],
     )
-    probed = flows.withColumn("_cell", F.explode(cells))
-    return probed.withColumns(
-        {"_shape": F.col("_cell.shape"), **{f"_c_{c}": F.col(c).bitwiseAND(F.col(f"_cell.m_{c}")) for c in fields}}
-    ).drop("_cell")
-
-
-def _numbered(rules: DataFrame, shapes: list, fields: list[str]) -> DataFrame:
-    """Attach the shape number to each rule."""
-    number = F.create_map(
-        *[
-            x
-            for i, s in enumerate(shapes)
-            for x in (F.lit(",".join(str(s[f"len_{c}"]) for c in fields)), F.lit(i))
-        ]
-    )
-    return rules.withColumn("_shape", number[F.concat_ws(",", *[F.col(f"len_{c}") for c in fields])])
 
 
 def match(flows: DataFrame, rules: DataFrame, cap: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -104,9 +95,12 @@ def match(flows: DataFrame, rules: DataFrame, cap: int | None = None, extra: tup
         kept = [F.lit(None).cast(rules.schema[c].dataType).alias(c) for c in extra]
         return empty.select(*empty.columns, *kept)
     lens = group_lengths()
-    side = _numbered(rules, shapes, fields).select(
-        "_shape",
-        F.col("rule_id"),
+    number = F.lit(0).cast("bigint")
+    for c in fields:
+        number = number * 64 + F.col(f"len_{c}")
+    side = rules.select(
+        number.alias("_shape"),
+        "rule_id",
         *[F.col(c).alias(f"_c_{c}") for c in KEY],
         *[prefix_mask(lens[c], WIDTH[c]).alias(f"_g_{c}") for c in KEY],
         *[prefix_mask(F.col(f"len_{c}"), WIDTH[c]).alias(f"_m_{c}") for c in KEY if c not in fields],
@@ -115,7 +109,7 @@ def match(flows: DataFrame, rules: DataFrame, cap: int | None = None, extra: tup
     side = side.withColumnsRenamed({f"_c_{c}": f"_f_{c}" for c in KEY if c not in fields})
     on = ["_shape", *[f"_c_{c}" for c in fields]]
     probed = _probe(flows, shapes, fields)
-    if fits(side, BROADCAST_ROWS):
+    if sum(s["n_rules"] for s in shapes) <= BROADCAST_ROWS:
         joined = probed.join(F.broadcast(side), on)
     else:
         # A wide rule puts every flow in one cell, so flows of a cell are spread over salts.
@@ -130,11 +124,11 @@ def match(flows: DataFrame, rules: DataFrame, cap: int | None = None, extra: tup
         "rule_id",
         *[F.col(c).bitwiseAND(F.col(f"_g_{c}")).alias(f"k_{c}") for c in KEY],
         *extra,
-        *(["_shape"] if cap else []),
+        *(["_nth"] if cap else []),
     )
     if cap:
-        w = Window.partitionBy(*flows.columns).orderBy("_shape", "rule_id")
-        out = out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n", "_shape")
+        w = Window.partitionBy(*flows.columns).orderBy("_nth", "rule_id")
+        out = out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n", "_nth")
     return out
 
 

@@ -4,8 +4,7 @@ A running statistic needs the rows of a key in order, and a plain window puts ea
 task. Here a key with very many rows is cut along its order into pieces. Windows run per
 (key, piece); one summary row per piece is scanned to find what each piece inherits from the
 pieces before it, and a join brings that in. The answer is the same however keys are cut.
-Keys that are not cut have a null piece and no inheritance; when none is cut the optimizer
-removes the summary branch altogether.
+Keys that are not cut have a null piece and no inheritance; when none is cut there is no join.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .sizing import checkpointed
+from .sizing import checkpointed, fits
 
 PIECE = "piece"
 ROWS_PER_PIECE = 4_000_000
@@ -46,6 +45,7 @@ def split_hot(
     out, cut = whole, False
     for level in range(rounds):
         rows = out if level == 0 else out.where(F.col(PIECE).isNotNull())
+        on = [*keys, PIECE] if level else keys
         pieces = F.ceil(F.col("n") / F.lit(max(1, rows_per_piece // 4)))
         hot = checkpointed(
             rows.groupBy(*keys, PIECE)
@@ -54,18 +54,16 @@ def split_hot(
             .orderBy(F.desc("n"))
             .limit(MAX_HOT_KEYS)
             .withColumn("_width", F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces))
-            .select(*keys, F.col(PIECE).alias("_from"), "_lo", "_width")
+            .select(*on, "_lo", "_width")
         )
         if hot.isEmpty():
             break
         cut = True
-        on = [out[k] == hot[k] for k in keys]
-        if level:
-            on.append(out[PIECE] == hot["_from"])
         start = F.col("_lo") + F.call_function("div", F.col(at) - F.col("_lo"), F.col("_width")) * F.col("_width")
         out = (
-            out.join(F.broadcast(hot), _all(on), "left")
-            .select(*[out[c] for c in df.columns], F.coalesce(start, out[PIECE]).alias(PIECE))
+            out.join(F.broadcast(hot), on, "left")
+            .withColumn(PIECE, F.coalesce(start, F.col(PIECE)))
+            .select(*df.columns, PIECE)
         )
     return _label(out, F.col(PIECE), keys, cut=True) if cut else whole
 
@@ -83,13 +81,6 @@ def _label(df: DataFrame, piece: Column, keys: list[str], cut: bool) -> DataFram
     return df.withColumn(PIECE, piece.alias(PIECE, metadata={"keys": keys, "cut": cut}))
 
 
-def _all(conds: list[Column]) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
-
-
 def in_piece(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys, PIECE).orderBy(*order)
 
@@ -99,7 +90,9 @@ def _pieces(keys: Sequence[str]) -> WindowSpec:
 
 
 def _inherit(df: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(heads, [*keys, PIECE], "left")
+    """Join what each piece inherits. One row per piece: written out, so no later step repeats it."""
+    heads = checkpointed(heads)
+    return df.join(F.broadcast(heads) if fits(heads) else heads, [*keys, PIECE], "left")
 
 
 def _restore(df: DataFrame, columns: Sequence[str], like: DataFrame) -> DataFrame:
@@ -109,10 +102,11 @@ def _restore(df: DataFrame, columns: Sequence[str], like: DataFrame) -> DataFram
 def before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, how: str, name: str) -> DataFrame:
     """Sum or max of `value` over the rows before each row of its key; null on the first row."""
     agg = {"sum": F.sum, "max": F.max}[how]
+    columns = [*_without(df.columns, name), name]
     valued = df.withColumn("_v", value)
-    local = valued.withColumn(
-        "_local", agg("_v").over(in_piece(keys, order).rowsBetween(Window.unboundedPreceding, -1))
-    )
+    here = agg("_v").over(in_piece(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    if not is_split(df):
+        return _restore(valued.withColumn(name, here), columns, df)
     totals = valued.where(F.col(PIECE).isNotNull()).groupBy(*keys, PIECE).agg(agg("_v").alias("_total"))
     heads = totals.select(
         *keys, PIECE, agg("_total").over(_pieces(keys).rowsBetween(Window.unboundedPreceding, -1)).alias("_head")
@@ -121,21 +115,24 @@ def before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Colu
         both = F.greatest("_head", "_local")
     else:
         both = F.coalesce(F.col("_head") + F.col("_local"), F.col("_head"), F.col("_local"))
-    joined = _inherit(local, heads, keys).withColumn(name, both)
-    return _restore(joined, [*_without(df.columns, name), name], df)
+    joined = _inherit(valued.withColumn("_local", here), heads, keys).withColumn(name, both)
+    return _restore(joined, columns, df)
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """`value` (never null) of the row before; null on the first row of a key."""
-    local = df.withColumn("_local", F.lag(value).over(in_piece(keys, order)))
+    columns = [*_without(df.columns, name), name]
+    here = F.lag(value).over(in_piece(keys, order))
+    if not is_split(df):
+        return _restore(df.withColumn(name, here), columns, df)
     lasts = (
         df.where(F.col(PIECE).isNotNull())
         .groupBy(*keys, PIECE)
         .agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
     )
     heads = lasts.select(*keys, PIECE, F.lag("_last").over(_pieces(keys)).alias("_head"))
-    joined = _inherit(local, heads, keys).withColumn(name, F.coalesce("_local", "_head"))
-    return _restore(joined, [*_without(df.columns, name), name], df)
+    joined = _inherit(df.withColumn("_local", here), heads, keys)
+    return _restore(joined.withColumn(name, F.coalesce("_local", "_head")), columns, df)
 
 
 def islands(
@@ -145,29 +142,32 @@ def islands(
 
     `value` never falls along the order; a run ends where it jumps by `new_at` or more.
     """
+    columns = [*_without(df.columns, name), name]
     w = in_piece(keys, order)
     jump = F.col(value) - F.lag(value).over(w)
     starts = df.withColumn("_start", F.when(jump.isNull() | (jump >= new_at), F.col(value)))
-    local = starts.withColumn("_run", F.max("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    here = F.max("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if not is_split(df):
+        return _restore(starts.withColumn(name, here), columns, df)
     pieces = (
         starts.where(F.col(PIECE).isNotNull())
         .groupBy(*keys, PIECE)
         .agg(F.min(value).alias("_first"), F.max(value).alias("_last"), F.max("_start").alias("_lastrun"))
     )
-    order_p = _pieces(keys)
-    joins_on = F.coalesce(F.col("_first") - F.lag("_last").over(order_p) < new_at, F.lit(False))
+    along = _pieces(keys)
+    goes_on = F.coalesce(F.col("_first") - F.lag("_last").over(along) < new_at, F.lit(False))
+    own = F.when((F.col("_lastrun") > F.col("_first")) | ~F.col("_goes_on"), F.col("_lastrun"))
     heads = (
-        pieces.withColumn("_goes_on", joins_on)
-        .withColumn(
-            "_own", F.when((F.col("_lastrun") > F.col("_first")) | ~F.col("_goes_on"), F.col("_lastrun"))
-        )
-        .withColumn("_head", F.last("_own", ignorenulls=True).over(order_p.rowsBetween(Window.unboundedPreceding, -1)))
+        pieces.withColumn("_goes_on", goes_on)
+        .withColumn("_own", own)
+        .withColumn("_head", F.last("_own", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
         .where("_goes_on")
         .select(*keys, PIECE, "_first", "_head")
     )
+    # Rows before the first new run of a piece that goes on belong to the inherited run.
     run = F.when(F.col("_run") == F.col("_first"), F.col("_head")).otherwise(F.col("_run"))
-    joined = _inherit(local, heads, keys).withColumn(name, run)
-    return _restore(joined, [*_without(df.columns, name), name], df)
+    joined = _inherit(starts.withColumn("_run", here), heads, keys)
+    return _restore(joined.withColumn(name, run), columns, df)
 
 
 def floored_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
@@ -176,22 +176,25 @@ def floored_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     With S the plain running sum it equals S - min(0, lowest S so far), so two running
     aggregates replace the row-by-row loop.
     """
+    columns = [*_without(df.columns, name), name]
+    zero = F.lit(0).cast("bigint")
     w = in_piece(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumn("_s", F.sum(value).over(w)).withColumn("_low", F.min("_s").over(w))
-    order_p = _pieces(keys).rowsBetween(Window.unboundedPreceding, -1)
+    if not is_split(df):
+        return _restore(local.withColumn(name, F.col("_s") - F.least(zero, F.col("_low"))), columns, df)
+    along = _pieces(keys).rowsBetween(Window.unboundedPreceding, -1)
     heads = (
         local.where(F.col(PIECE).isNotNull())
         .groupBy(*keys, PIECE)
         .agg(F.sum(value).alias("_total"), F.min("_s").alias("_lowest"))
-        .withColumn("_s0", F.coalesce(F.sum("_total").over(order_p), F.lit(0).cast("bigint")))
-        .withColumn("_low0", F.min(F.col("_s0") + F.col("_lowest")).over(order_p))
+        .withColumn("_s0", F.coalesce(F.sum("_total").over(along), zero))
+        .withColumn("_low0", F.min(F.col("_s0") + F.col("_lowest")).over(along))
         .select(*keys, PIECE, "_s0", "_low0")
     )
-    zero = F.lit(0).cast("bigint")
     s0 = F.coalesce("_s0", zero)
     low = F.least(zero, F.col("_low0"), s0 + F.col("_low"))
-    joined = _inherit(local, heads, keys).withColumn(name, s0 + F.col("_s") - low)
-    return _restore(joined, [*_without(df.columns, name), name], df)
+    joined = _inherit(local, heads, keys)
+    return _restore(joined.withColumn(name, s0 + F.col("_s") - low), columns, df)
 
 
 def _without(columns: Sequence[str], name: str) -> list[str]:
