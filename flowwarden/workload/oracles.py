@@ -608,3 +608,55 @@ group by all""",
   100 * ((o_orderkey % 7) / (o_orderkey % 7 + o_orderkey + 1000 + 1)::double) as rx_loss_pct from orders""",
     "shard_load": with_(PACKETS) + "select dstip % 7 as shard, count(*) as n from packets group by 1",
 }
+
+# A window is out when its end is no later than the newest packet less the allowed delay.
+SIX_HOURS = 6 * HOUR
+
+
+def closed_values() -> str:
+    return with_(
+        PACKETS,
+        RULES,
+        f"""
+vals as (
+  select r.rule_id, p.host, p.us // ({DAY} * r.n_days) as win, {grouped()}, r.n_days,
+    cast(sum(case r.agg when 'packet' then 1 else p.len end) as bigint) as value
+  from packets p join rules r on {match_on()} where r.agg in ('packet', 'volume') group by all),
+out as (select * from vals where (win + 1) * {DAY} * n_days <= (select max(us) from packets) - {SIX_HOURS})""",
+    )
+
+
+ORACLES |= {
+    "write_alerts": ORACLES["packet_alerts"],
+    "stream_packets": with_(PACKETS) + f"select pkt_no, host, {K5}, len, seq, ack from packets",
+    "stream_values": closed_values() + f"select {VALUE} from out",
+    "stream_alerts": closed_values()
+    + f"select {VALUE}, threshold from out join rules using (rule_id) where value >= threshold",
+    "stream_evaluate": with_(
+        PACKETS,
+        RULES,
+        f"""
+vals as (
+  select r.rule_id, p.host, p.us // ({DAY} * r.n_days) as win, {grouped()}, r.threshold,
+    cast(sum(case r.agg when 'packet' then 1 else p.len end) as bigint) as value
+  from packets p join rules r on {match_on()} where r.agg in ('packet', 'volume')
+    and (p.us // {DAY} + 1) * {DAY} <= (select max(us) from packets) - {SIX_HOURS} group by all)""",
+    )
+    + f"select {VALUE}, threshold from vals where value >= threshold",
+    "stream_bursts": with_(PACKETS, bursts(2 * DAY))
+    + f"select * from bursts where t1 + {2 * DAY} - 1 <= (select max(us) from packets) - {SIX_HOURS}",
+    "stream_flow_state": with_(
+        PACKETS,
+        sessions(3 * DAY),
+        LOST,
+        STATE,
+        f"""
+adm as (select pkt_no, coalesce(sum((len + 63) // 64) over (partition by {SES} order by us, pkt_no
+    rows between unbounded preceding and 1 preceding), 0) >= 9 as admitted from ps)""",
+    )
+    + "select pkt_no, session, lost, dup, admitted from lost join dups using (pkt_no, session) join adm using (pkt_no)",
+    "answer_requests": closed_values()
+    + f"""select o.rule_id, o.host, o.win, {", ".join("o.k_" + c for c in KEY)}, o.value
+from out o join events e on o.rule_id = 0 and e.event_type = 'error' and e.user_id % 4 = o.host
+  and epoch_us(e.ts) // {DAY} = o.win""",
+}

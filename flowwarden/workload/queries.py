@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import keys as fk
 from ..operators import admission, analytics, flowstats, lifecycle, matching, network, rulesets
 from ..operators import evaluate as ev
+from ..plans.sizing import ensure_checkpoint_dir
 from ..schema import FLOW, GROUP, KEY
 from ..sources import frames, logs, rules_text
+from ..sources.packets import write_alerts as write_alerts_to
+from ..streaming import evaluate as st
+from ..streaming import states
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -723,3 +728,69 @@ def loss_pct(spark, sf):
 @query
 def shard_load(spark, sf):
     return analytics.shard_load(v.packets(spark, sf), 7)
+
+
+# Sinks and streams. Streams run over the file once and what they wrote is returned.
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/runs/{uuid.uuid4().hex}"
+
+
+@query
+def write_alerts(spark, sf):
+    folder = _folder(spark)
+    write_alerts_to(_alerts(spark, sf, "packet"), folder)
+    return spark.read.parquet(folder)
+
+
+@query
+def stream_packets(spark, sf):
+    return st.run_to_table(v.packet_stream(spark, sf).select("pkt_no", "host", *KEY, "len", "seq", "ack"))
+
+
+@query
+def stream_values(spark, sf):
+    values = st.stream_values(v.packet_stream(spark, sf), v.rules(spark), "6 hours")
+    return st.run_to_table(values.drop("window"))
+
+
+@query
+def stream_alerts(spark, sf):
+    return st.run_to_table(st.stream_alerts(v.packet_stream(spark, sf), v.rules(spark), "6 hours"))
+
+
+@query
+def stream_evaluate(spark, sf):
+    folder = _folder(spark)
+    v.rules(spark).write.parquet(f"{folder}/rules")
+    packets = v.packet_stream(spark, sf)
+    st.stream_evaluate(packets, f"{folder}/rules", v.DAY_US, "6 hours", folder).awaitTermination()
+    values = spark.read.parquet(f"{folder}/values").drop("batch")
+    return st.window_alerts(values, v.rules(spark).where(F.col("agg").isin("packet", "volume")), v.DAY_US)
+
+
+@query
+def stream_bursts(spark, sf):
+    return st.run_to_table(st.stream_bursts(v.packet_stream(spark, sf), "6 hours", gap_us=2 * v.DAY_US))
+
+
+@query
+def stream_flow_state(spark, sf):
+    packets = states.stream_flow_state(v.packet_stream(spark, sf), 3 * v.DAY_US, 640, "6 hours")
+    return st.run_to_table(packets).select("pkt_no", "session", "lost", "dup", "admitted")
+
+
+@query
+def answer_requests(spark, sf):
+    rules = v.rules(spark).where(F.col("rule_id").isin(0, 3))
+    values = st.stream_values(v.packet_stream(spark, sf), rules, "6 hours")
+    # Every error asks for rule 0 on its host, in the window of its own time.
+    events = v.table(spark, sf, "events")
+    errors = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet").where("event_type = 'error'")
+    asked = errors.select(
+        F.lit(0).cast("bigint").alias("rule_id"),
+        (F.col("user_id") % 4).alias("host"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    return st.run_to_table(st.answer_requests(values, asked, v.DAY_US, "6 hours"))

@@ -23,7 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as two-way traffic between clients and eight servers."""
     events = table(spark, sf_dir, "events")
-    back = events.count() // 5
+    return _as_packets(events, events.count() // 5)
+
+
+def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packets as a stream over the file."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
+    return _as_packets(stream, events.count() // 5)
+
+
+def _as_packets(events: DataFrame, back: int) -> DataFrame:
     out = F.col("event_id") % 2 == 0
     client = F.lit(CLIENTS) + F.col("user_id")
     server = F.lit(SERVERS) + F.col("user_id") % 8
