@@ -32,6 +32,12 @@ def long_to_ip(ip: Column | str) -> Column:
     return F.concat_ws(".", *octets)
 
 
+def mask_sql(length: str, bits: int) -> str:
+    """SQL text of the mask with the top `length` of `bits` bits set, for lengths up to `bits`."""
+    full = (1 << bits) - 1
+    return f"(shiftleft({full}L, {bits} - {length}) & {full}L)"
+
+
 def prefix_mask(length: Column | str, bits: int) -> Column:
     """Mask with the top `length` of `bits` bits set; lengths beyond the width are clamped."""
     full = F.lit((1 << bits) - 1).cast("bigint")

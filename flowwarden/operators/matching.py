@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import epoch_of, mask_flow, prefix_mask
+from ..functions.keys import epoch_of, mask_sql
 from ..plans.sizing import BROADCAST_ROWS
 from ..schema import GROUP, KEY, WIDTH
 
@@ -23,15 +23,10 @@ _IP_LENS = ["len_srcip", "len_dstip"]
 
 def canonical(rules: DataFrame) -> DataFrame:
     """Clamp prefix lengths to the field widths and mask the filter."""
-    out = rules
-    for prefix in ("len_", "fg_"):
-        out = out.withColumns(
-            {
-                prefix + c: F.when(F.col(prefix + c) > WIDTH[c], WIDTH[c]).otherwise(F.col(prefix + c).cast("int"))
-                for c in KEY
-            }
-        )
-    return out.withColumns(mask_flow({c: F.col(f"len_{c}") for c in KEY}))
+    lens = {p + c: f"if({p}{c} > {WIDTH[c]}, {WIDTH[c]}, cast({p}{c} as int))" for p in ("len_", "fg_") for c in KEY}
+    clamped = rules.selectExpr(*[f"{lens[c]} as {c}" if c in lens else c for c in rules.columns])
+    masked = {c: f"{c} & {mask_sql('len_' + c, WIDTH[c])}" for c in KEY}
+    return clamped.selectExpr(*[f"{masked[c]} as {c}" if c in masked else c for c in rules.columns])
 
 
 def group_lengths() -> dict[str, Column]:
@@ -61,18 +56,15 @@ def _shape_number(lens: list) -> int:
 
 def _probe(flows: DataFrame, shapes: list, fields: list[str]) -> DataFrame:
     """One row per flow and mask shape, with the key masked to the shape."""
-    cells = [
-        (i, _shape_number([s[f"len_{c}"] for c in fields]), *[_literal_mask(s[f"len_{c}"], WIDTH[c]) for c in fields])
-        for i, s in enumerate(shapes)
-    ]
     names = ["_nth", "_shape", *[f"_m_{c}" for c in fields]]
-    array = F.array(*[F.struct(*[F.lit(x).cast("bigint").alias(n) for x, n in zip(cell, names)]) for cell in cells])
-    probed = flows.withColumn("_cell", F.explode(array))
-    return probed.select(
-        *flows.columns,
-        "_cell._nth",
-        "_cell._shape",
-        *[F.col(c).bitwiseAND(F.col(f"_cell._m_{c}")).alias(f"_c_{c}") for c in fields],
+    cells = []
+    for i, s in enumerate(shapes):
+        lens = [s[f"len_{c}"] for c in fields]
+        cell = [i, _shape_number(lens), *[_literal_mask(n, WIDTH[c]) for n, c in zip(lens, fields)]]
+        cells.append("named_struct(" + ", ".join(f"'{n}', {x}L" for n, x in zip(names, cell)) + ")")
+    masked = [f"{c} & _m_{c} as _c_{c}" for c in fields]
+    return flows.selectExpr("*", f"inline(array({', '.join(cells)}))").selectExpr(
+        *flows.columns, "_nth", "_shape", *masked
     )
 
 
@@ -94,19 +86,19 @@ def match(flows: DataFrame, rules: DataFrame, cap: int | None = None, extra: tup
         empty = flows.where(F.lit(False)).withColumns({c: F.lit(None).cast("bigint") for c in ["rule_id", *GROUP]})
         kept = [F.lit(None).cast(rules.schema[c].dataType).alias(c) for c in extra]
         return empty.select(*empty.columns, *kept)
-    lens = group_lengths()
-    number = F.lit(0).cast("bigint")
+    number = "0L"
     for c in fields:
-        number = number * 64 + F.col(f"len_{c}")
-    side = rules.select(
-        number.alias("_shape"),
+        number = f"({number} * 64 + len_{c})"
+    rest = [c for c in KEY if c not in fields]
+    side = rules.selectExpr(
+        f"{number} as _shape",
         "rule_id",
-        *[F.col(c).alias(f"_c_{c}") for c in KEY],
-        *[prefix_mask(lens[c], WIDTH[c]).alias(f"_g_{c}") for c in KEY],
-        *[prefix_mask(F.col(f"len_{c}"), WIDTH[c]).alias(f"_m_{c}") for c in KEY if c not in fields],
+        *[f"{c} as _c_{c}" for c in fields],
+        *[f"{c} as _f_{c}" for c in rest],
+        *[f"{mask_sql('len_' + c, WIDTH[c])} as _m_{c}" for c in rest],
+        *[f"{mask_sql(f'greatest(fg_{c}, len_{c})', WIDTH[c])} as _g_{c}" for c in KEY],
         *extra,
     )
-    side = side.withColumnsRenamed({f"_c_{c}": f"_f_{c}" for c in KEY if c not in fields})
     on = ["_shape", *[f"_c_{c}" for c in fields]]
     probed = _probe(flows, shapes, fields)
     if sum(s["n_rules"] for s in shapes) <= BROADCAST_ROWS:
@@ -116,13 +108,12 @@ def match(flows: DataFrame, rules: DataFrame, cap: int | None = None, extra: tup
         salted = probed.withColumn("_salt", F.pmod(F.xxhash64(*flows.columns), F.lit(SALTS)).cast("int"))
         copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(copies, [*on, "_salt"])
-    for c in KEY:
-        if c not in fields:
-            joined = joined.where(F.col(c).bitwiseAND(F.col(f"_m_{c}")) == F.col(f"_f_{c}"))
-    out = joined.select(
-        *[F.col(c) for c in flows.columns],
+    for c in rest:
+        joined = joined.where(f"{c} & _m_{c} = _f_{c}")
+    out = joined.selectExpr(
+        *flows.columns,
         "rule_id",
-        *[F.col(c).bitwiseAND(F.col(f"_g_{c}")).alias(f"k_{c}") for c in KEY],
+        *[f"{c} & _g_{c} as k_{c}" for c in KEY],
         *extra,
         *(["_nth"] if cap else []),
     )

@@ -20,43 +20,55 @@ CONTROLLER_TYPES = {
 HOST_TYPES = {"send": 1, "poll": 2, "add": 3, "del": 4}
 
 
-def _number(pattern: str, text: str = "value") -> Column:
-    return F.regexp_extract(text, pattern, 1).try_cast("bigint")
+def _code(names: dict[str, int], word: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[word]
 
 
-def _or_zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0).cast("bigint"))
+def _tokens(lines: DataFrame) -> DataFrame:
+    """Words of the lines that begin with a number and a colon, split once."""
+    words = F.split("value", "[ :]+")
+    return lines.where(F.col("value").rlike(r"^\d+:")).select(F.explode(F.array(words)).alias("w"))
 
 
-def _code(names: dict[str, int], word: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[word]
+def _at(i: int | Column, kind: str = "bigint") -> Column:
+    return F.get("w", i).try_cast(kind)
 
 
 def read_controller_log(lines: DataFrame) -> DataFrame:
-    """time, server, type, server_epoch, event, epoch; events without a server get server and epoch 0."""
-    word = F.regexp_extract("value", r"^\d+:(?: serverdata \d+:)? ([a-z_]+)", 1)
-    kept = lines.where(F.col("value").rlike(r"^\d+:") & ~F.col("value").contains("hello"))
-    return kept.select(
-        _number(r"^(\d+):").alias("time"),
-        _or_zero(_number(r" serverdata (\d+):")).cast("int").alias("server"),
-        _code(CONTROLLER_TYPES, word).alias("type"),
-        _or_zero(_number(r" time (\d+)")).alias("server_epoch"),
-        _number(r" event (\d+)").cast("int").alias("event"),
-        _number(r" ctime (\d+)").alias("epoch"),
-    ).where(F.col("type").isNotNull())
+    """time, server, type, server_epoch, event, epoch; events without a server get server and epoch 0.
+
+    `time: serverdata S: word time T event E ctime C` or `time: word event E ctime C`.
+    """
+    from_server = F.get("w", 1) == "serverdata"
+    zero = F.lit(0).cast("bigint")
+    return (
+        _tokens(lines)
+        .select(
+            _at(0).alias("time"),
+            F.when(from_server, _at(2)).otherwise(zero).cast("int").alias("server"),
+            _code(CONTROLLER_TYPES, F.when(from_server, F.get("w", 3)).otherwise(F.get("w", 1))).alias("type"),
+            F.when(from_server, _at(5)).otherwise(zero).alias("server_epoch"),
+            F.when(from_server, _at(7)).otherwise(_at(3)).cast("int").alias("event"),
+            F.when(from_server, _at(9)).otherwise(_at(5)).alias("epoch"),
+        )
+        .where(F.col("type").isNotNull())
+    )
 
 
 def read_host_log(lines: DataFrame) -> DataFrame:
-    """time, type, rtime, step, event; add and delete lines carry no time of their own."""
-    word = F.regexp_extract("value", r"^\d+: ([a-z]+)", 1)
+    """time, type, rtime, step, event; add and delete lines carry no time of their own.
+
+    `time: word time T step S event E` or `time: word step S event E`.
+    """
+    timed = F.get("w", 2) == "time"
     return (
-        lines.where(F.col("value").rlike(r"^\d+:"))
+        _tokens(lines)
         .select(
-            _number(r"^(\d+):").alias("time"),
-            _code(HOST_TYPES, word).alias("type"),
-            _or_zero(_number(r" time (\d+)")).alias("rtime"),
-            _number(r" step (\d+)").alias("step"),
-            _number(r" event (\d+)").cast("int").alias("event"),
+            _at(0).alias("time"),
+            _code(HOST_TYPES, F.get("w", 1)).alias("type"),
+            F.when(timed, _at(3)).otherwise(F.lit(0).cast("bigint")).alias("rtime"),
+            F.when(timed, _at(5)).otherwise(_at(3)).alias("step"),
+            F.when(timed, _at(7)).otherwise(_at(5)).cast("int").alias("event"),
         )
         .where(F.col("type").isNotNull())
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import long_to_ip
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _built(made: Column) -> Column:
+    """Made-up text as if it had been read: exploding an array keeps readers from building it again."""
+    return F.explode(F.array(made))
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as two-way traffic between clients and eight servers."""
     events = table(spark, sf_dir, "events")
@@ -120,7 +125,7 @@ def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, "0,0,0,0,0").otherwise(F.concat((k % 35).cast("string"), F.lit(",24,8,0,16"))),
         F.when(k % 29 == 0, "").otherwise(F.concat(F.lit(";"), (k % 9 * 5 + 10).cast("string"))),
     )
-    return table(spark, sf_dir, "customer").select(k.alias("line_no"), text.alias("value"))
+    return table(spark, sf_dir, "customer").select(k.alias("line_no"), _built(text).alias("value"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +153,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("0010000000000000"), field(F.col("seq"), 4))
     )
     frame = F.unhex(F.concat(F.lit("000000000001000000000002"), F.lit("0800"), ip, ports, l4))
-    return p.select("host", "ts", "pkt_no", frame.alias("frame"))
+    return p.select("host", "ts", "pkt_no", _built(frame).alias("frame"))
 
 
 def controller_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +178,7 @@ def controller_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     line = F.when((step == 9) & (gather % 3 == 2), body).otherwise(F.concat(time, F.lit(":"), body))
-    return table(spark, sf_dir, "events").select(e.alias("line_no"), line.alias("value"))
+    return table(spark, sf_dir, "events").select(e.alias("line_no"), _built(line).alias("value"))
 
 
 def host_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +194,8 @@ def host_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.concat(F.lit(" del"), step))
         .otherwise(" other words")
     )
-    return table(spark, sf_dir, "events").select(F.concat((e + 100).cast("string"), F.lit(":"), body).alias("value"))
+    line = F.concat((e + 100).cast("string"), F.lit(":"), body)
+    return table(spark, sf_dir, "events").select(_built(line).alias("value"))
 
 
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +212,7 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(64) + F.floor(F.col("value") * 3)).cast("string"),
         F.when(F.col("event_type").isin("click", "view", "error"), "6").otherwise("17"),
     )
-    return table(spark, sf_dir, "events").select(value.alias("value"))
+    return table(spark, sf_dir, "events").select(_built(value).alias("value"))
 
 
 RUN_CONFIG = {"interval": 1, "flows": 2, "rules_per_flow": 3, "offered": 4, "run": 5}
