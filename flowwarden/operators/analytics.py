@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.grid import spread
 from ..plans.ordered import before, split_hot
 
 # Message codes used below, controller clock in cycles per millisecond.
@@ -76,11 +77,7 @@ def throughput(trace: DataFrame, bin_ms: int = 10, pad_bins: int = 20, without_s
         .agg(F.sum("len").cast("bigint").alias("bytes"))
     )
     bins = (hi - lo) // width + 1 + pad_bins
-    grid = (
-        trace.select("src", "proto")
-        .distinct()
-        .withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
-    )
+    grid = spread(trace.select("src", "proto").distinct(), "bin", 0, bins - 1)
     joined = grid.join(binned, ["bin", "src", "proto"], "left")
     return joined.select("bin", "src", "proto", F.coalesce("bytes", F.lit(0).cast("bigint")).alias("bytes"))
 

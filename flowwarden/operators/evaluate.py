@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import epoch_of
-from ..plans.ordered import PIECE, is_split
+from ..plans.grid import spread
+from ..plans.ordered import is_split
 from ..plans.sizing import fits
 from ..registry import RULE_TYPES, STATS
 from ..schema import FLOW, GROUP, KEY
@@ -187,9 +188,7 @@ def dense_values(values: DataFrame, rules: DataFrame, hosts: DataFrame, wins: tu
     )
     kept = values.where(F.col("win").between(*wins))
     keys = always.unionByName(kept.select("rule_id", "host", *GROUP)).distinct()
-    first, last = (F.lit(w).cast("bigint") for w in wins)
-    grid = keys.withColumn("win", F.explode(F.sequence(first, last)))
-    joined = grid.join(kept, ["rule_id", "host", "win", *GROUP], "left")
+    joined = spread(keys, "win", *wins).join(kept, ["rule_id", "host", "win", *GROUP], "left")
     return joined.select("rule_id", "host", "win", *GROUP, F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.sizing import fits
 from ..registry import RULE_TYPES
 from ..schema import KEY
 from .matching import canonical
@@ -33,4 +34,5 @@ def delete_rules(rules: DataFrame, gone: DataFrame, at: Column | None = None) ->
 def lookup(alerts: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(alerts of rules placed on the reporting host, the others)."""
     known = placed.select("rule_id", "host").distinct()
+    known = F.broadcast(known) if fits(known) else known
     return alerts.join(known, ["rule_id", "host"], "left_semi"), alerts.join(known, ["rule_id", "host"], "left_anti")

@@ -81,8 +81,9 @@ def _label(df: DataFrame, piece: Column, keys: list[str], cut: bool) -> DataFram
     return df.withColumn(PIECE, piece.alias(PIECE, metadata={"keys": keys, "cut": cut}))
 
 
-def in_piece(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys, PIECE).orderBy(*order)
+def in_piece(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    """Rows of a key, or of a piece of it. Uncut frames keep the partitioning of the plain keys."""
+    return Window.partitionBy(*keys, *([PIECE] if is_split(df) else [])).orderBy(*order)
 
 
 def _pieces(keys: Sequence[str]) -> WindowSpec:
@@ -104,7 +105,7 @@ def before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Colu
     agg = {"sum": F.sum, "max": F.max}[how]
     columns = [*_without(df.columns, name), name]
     valued = df.withColumn("_v", value)
-    here = agg("_v").over(in_piece(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    here = agg("_v").over(in_piece(df, keys, order).rowsBetween(Window.unboundedPreceding, -1))
     if not is_split(df):
         return _restore(valued.withColumn(name, here), columns, df)
     totals = valued.where(F.col(PIECE).isNotNull()).groupBy(*keys, PIECE).agg(agg("_v").alias("_total"))
@@ -122,7 +123,7 @@ def before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Colu
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """`value` (never null) of the row before; null on the first row of a key."""
     columns = [*_without(df.columns, name), name]
-    here = F.lag(value).over(in_piece(keys, order))
+    here = F.lag(value).over(in_piece(df, keys, order))
     if not is_split(df):
         return _restore(df.withColumn(name, here), columns, df)
     lasts = (
@@ -143,7 +144,7 @@ def islands(
     `value` never falls along the order; a run ends where it jumps by `new_at` or more.
     """
     columns = [*_without(df.columns, name), name]
-    w = in_piece(keys, order)
+    w = in_piece(df, keys, order)
     jump = F.col(value) - F.lag(value).over(w)
     starts = df.withColumn("_start", F.when(jump.isNull() | (jump >= new_at), F.col(value)))
     here = F.max("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -178,7 +179,7 @@ def floored_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     """
     columns = [*_without(df.columns, name), name]
     zero = F.lit(0).cast("bigint")
-    w = in_piece(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    w = in_piece(df, keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumn("_s", F.sum(value).over(w)).withColumn("_low", F.min("_s").over(w))
     if not is_split(df):
         return _restore(local.withColumn(name, F.col("_s") - F.least(zero, F.col("_low"))), columns, df)

@@ -134,6 +134,7 @@ def read_run_summaries(lines: DataFrame, config: dict[str, int]) -> DataFrame:
         first(r"RX Packets *: \d+/(\d+)", "bigint").alias("rx_errors"),
         first(rf"RX Packet Loss: *{_FLOAT}", "double").alias("rx_loss"),
         first(rf"match delay {_FLOAT}", "double").alias("match_ns"),
+        first(rf"Avg match cycles {_FLOAT}", "double").alias("match_cycles"),
     )
     name = F.regexp_replace(F.substring_index("file", "/", -1), r"\.[a-z]+$", "")
     parts = F.split(name, "_")

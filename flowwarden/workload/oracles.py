@@ -381,7 +381,7 @@ from packets where pkt_no % 11 <> 0 and pkt_no % 13 <> 0""",
     || k || '.txt' as file, interval, flows, rules_per_flow, offered, run, cents as pkts, cents * 23 as cycles,
   k % 97 + 0.5::double as rate, k % 8 + 0.25::double as loss, cast(cents * 2 as double) as zerots,
   cents % 3 as notfinished, k % 1000 + 0.75::double as sweep_ticks, cents as rx_packets, k % 50 as rx_errors,
-  0.25::double as rx_loss, k % 400 + 0.125::double as match_ns from runs""",
+  0.25::double as rx_loss, k % 400 + 0.125::double as match_ns, (k % 500)::double as match_cycles from runs""",
     "ip_to_long": with_(PACKETS) + f"select pkt_no, {ip_text('srcip')} as ip, srcip from packets",
     "prefix_mask": with_(PACKETS)
     + f"""select pkt_no, {sql_mask('pkt_no % 40', 32)} as m32, {sql_mask('pkt_no % 40', 16)} as m16,

@@ -247,6 +247,7 @@ def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("|   RX Packets       : "), cents.cast("string"), F.lit("/"), (k % 50).cast("string"), F.lit(" (99 bytes)")),
         F.lit("|      RX Packet Loss: 0.25 "),
         F.concat(F.lit("match delay "), (k % 400).cast("string"), F.lit(".125000 ns")),
+        F.concat(F.lit("Avg match cycles "), (k % 500).cast("string"), F.lit(".000000")),
         F.lit("-----------------------------------------------------------"),
     )
     return table(spark, sf_dir, "orders").select(name.alias("file"), F.explode(lines).alias("value"))

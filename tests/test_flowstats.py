@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from replay import (
     EPOCH,
+    by_flow,
     frame,
     packet,
     replay,
@@ -11,8 +12,10 @@ from replay import (
     replay_congestion,
     replay_seen,
     traffic,
+    us_of,
 )
 
+from flowwarden.functions import keys as fk
 from flowwarden.operators import admission, evaluate, flowstats
 from flowwarden.plans import ordered
 from flowwarden.schema import FLOW
@@ -150,9 +153,22 @@ def test_histogram_merges_smallest_pair():
         assert flowstats.merge_least(ends, sizes, m) == naive_histogram(ends, sizes, m)
 
 
+def test_histogram_equals_packet_by_packet(spark):
+    rows = traffic(300, seed=6)
+    hist = flowstats.time_histogram(frame(spark, rows), 4, max_bins=10**9)
+    got = {}
+    for r in hist.orderBy("bucket").collect():
+        got.setdefault(tuple(r[c] for c in FLOW), []).append((r.ts_end, r.bytes))
+    for flow, packets in by_flow(rows).items():
+        per_us = {}
+        for p in packets:
+            per_us[us_of(p)] = per_us.get(us_of(p), 0) + p[8]
+        assert got[flow] == naive_histogram(list(per_us), list(per_us.values()), 4)
+
+
 def test_histogram_keeps_all_bytes(spark):
     df = frame(spark, traffic(300, seed=6))
-    hist = flowstats.time_histogram(df, 4)
+    hist = flowstats.time_histogram(df, 4, max_bins=50)
     per_flow = {tuple(r[c] for c in FLOW): (r.n, r.b) for r in hist.groupBy(*FLOW).agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).collect()}
     want = {tuple(r[c] for c in FLOW): r.b for r in df.groupBy(*FLOW).agg(F.sum("len").alias("b")).collect()}
     assert {k: b for k, (_, b) in per_flow.items()} == want
@@ -164,5 +180,10 @@ def test_hashed_admission_only_admits_more(spark):
     exact = {r.pkt_no for r in admission.admit(df, 6400, EPOCH).collect()}
     shared = {r.pkt_no for r in admission.admit(df, 6400, EPOCH, buckets=2).collect()}
     assert exact < shared
+    # The same counting by hand, with flows of a bucket sharing one counter.
+    bucket = F.pmod(fk.flow_hash(), F.lit(2))
+    where = {r.pkt_no: r.b for r in df.select("pkt_no", bucket.alias("b")).collect()}
+    rows = [(*r[:3], where[r[0]], 0, 0, 0, 0, *r[8:]) for r in traffic(500, seed=8)]
+    assert shared == {no for no, v in replay(rows, EPOCH, 6400).items() if v[4]}
     assert admission.admit(df, 0, EPOCH).count() == 500
     assert admission.admit(df, 64, EPOCH).count() == 500

@@ -240,3 +240,13 @@ def test_unmatched_reverse_gives_no_congestion(spark):
     rows = [packet(0, 0, 100), packet(1, 10_000, 200)]
     assert evaluate.congestion_flows(frame(spark, rows), 10_000).count() == 0
     assert flowstats.seq_state(frame(spark, rows), 10_000).count() == 2
+
+
+def test_spread_in_blocks(spark, monkeypatch):
+    from flowwarden.plans import grid
+
+    keys = spark.createDataFrame([(1,), (2,)], "k int")
+    monkeypatch.setattr(grid, "BLOCK", 7)
+    got = sorted(tuple(r) for r in grid.spread(keys, "n", 3, 40).collect())
+    assert got == [(k, n) for k in (1, 2) for n in range(3, 41)]
+    assert grid.spread(keys, "n", 3, 2).count() == 0
