@@ -22,7 +22,6 @@ from .flowstats import (
     ordered,
     retransmissions,
     retransmitted_seqs,
-    sessions,
     with_epoch,
     with_reverse,
 )

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import epoch_of_us, micros, reverse_flow, size_units
+from ..functions.keys import epoch_of_us, micros, reverse_flow
 from ..plans.ordered import PIECE, before, floored_sum, is_split, islands, previous, relabel, split_hot
-from ..schema import FLOW, KEY, ORDER
+from ..plans.sizing import checkpointed
+from ..schema import FLOW, ORDER
 
 ACK_CREDIT = 1460  # fixed value: bytes credited per duplicate ack
 BURST_GAP_US = 2  # about 5000 ticks of a 2.3 GHz clock
@@ -102,26 +103,22 @@ def recently_seen(
 ) -> DataFrame:
     """Packets + seen: the folded sequence number occurred in this generation or the one before.
 
-    Generations count the packets of a host. Every (host, cell, generation) holds at most
-    `gen_len` packets, and so does each group of the join below.
+    Generations count the packets of a host; the packet before in the same cell tells the rest.
     """
     out_columns = [c for c in packets.columns if c not in (PIECE, "us")]
-    packets = ordered(packets, ["host"])
     low = F.col("seq").bitwiseAND(F.lit(0xFFFFFFFF))
     folded = low.bitwiseXOR(F.shiftright(low, 16)).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
-    numbered = before(packets, ["host"], ORDER, F.lit(1).cast("bigint"), "sum", "_n").withColumns(
-        {
-            "_n": F.coalesce("_n", F.lit(0).cast("bigint")),
-            "_cell": F.col("seq") if exact else folded,
-        }
-    )
-    numbered = numbered.withColumn("_gen", F.call_function("div", F.col("_n"), F.lit(gen_len).cast("bigint")))
-    cell = ["host", "_cell", "_gen"]
-    firsts = numbered.groupBy(*cell).agg(F.min("_n").alias("_first"))
-    earlier = firsts.select("host", "_cell", (F.col("_gen") + 1).alias("_gen"), F.lit(True).alias("_earlier"))
-    state = firsts.join(earlier, cell, "left")
-    seen = F.coalesce("_earlier", F.lit(False)) | (F.col("_n") > F.col("_first"))
-    return numbered.join(state, cell).select(*out_columns, seen.alias("seen"))
+    celled = timed(packets).withColumn("_cell", F.col("seq") if exact else folded)
+    # Both cuts are found on the packets as read, before anything is computed from them.
+    cell = ["host", "_cell"]
+    by_cell = split_hot(celled, cell)
+    by_host = split_hot(by_cell.withColumnRenamed(PIECE, "_cell_piece"), ["host"])
+    count = before(by_host, ["host"], ORDER, F.lit(1).cast("bigint"), "sum", "_n")
+    gen = F.call_function("div", F.coalesce("_n", F.lit(0).cast("bigint")), F.lit(gen_len).cast("bigint"))
+    numbered = count.withColumn("_gen", gen).drop(PIECE).withColumnRenamed("_cell_piece", PIECE)
+    last = previous(relabel(numbered, by_cell), cell, ORDER, "_gen", "_last")
+    seen = F.coalesce(F.col("_last") >= F.col("_gen") - 1, F.lit(False))
+    return last.select(*out_columns, seen.alias("seen"))
 
 
 def seq_state(packets: DataFrame, epoch_us: int) -> DataFrame:
@@ -160,7 +157,11 @@ def _state(packets: DataFrame, epoch_us: int, with_seq: bool = True, with_ack: b
     if with_ack:
         aggs.append(F.max_by(F.struct("ack", "dup"), last).alias("_ack"))
     # A session has no idle epoch inside, so "the epoch before" is the row before.
-    out = relabel(source.groupBy(*SESSION, "epoch").agg(*aggs), packets)
+    out = source.groupBy(*SESSION, "epoch").agg(*aggs)
+    if is_split(packets):
+        # The steps below each look at all epochs again; a row per epoch is small to keep.
+        out = checkpointed(out)
+    out = relabel(out, packets)
     zero = F.lit(0).cast("bigint")
     columns = [*SESSION, "epoch"]
     if with_seq:
