@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import epoch_of
 from ..plans.grid import spread
 from ..plans.ordered import is_split
-from ..plans.sizing import fits
+from ..plans.sizing import few_rows, fits
 from ..registry import RULE_TYPES, STATS
 from ..schema import FLOW, GROUP, KEY
 from .flowstats import (
@@ -57,8 +57,11 @@ def _live(epoch_us: int) -> Column:
 
 def needed_stats(rules: DataFrame) -> list[str]:
     """Statistics that the rules present ask for."""
-    used = [r["agg"] for r in rules.select("agg").where(F.col("agg").isin(list(RULE_TYPES))).distinct().collect()]
-    return sorted({RULE_TYPES[a].needs for a in used if RULE_TYPES[a].needs in STATS})
+    few = few_rows(rules.select("agg"))
+    if few is None:
+        few = rules.where(F.col("agg").isin(list(RULE_TYPES))).select("agg").distinct().collect()
+    needs = {RULE_TYPES[r["agg"]].needs for r in few if r["agg"] in RULE_TYPES}
+    return sorted(needs & set(STATS))
 
 
 def evaluate(packets: DataFrame, rules: DataFrame, epoch_us: int, phase: str = "aligned") -> DataFrame:

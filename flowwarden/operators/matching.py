@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import epoch_of, mask_sql
-from ..plans.sizing import BROADCAST_ROWS
+from ..plans.sizing import BROADCAST_ROWS, few_rows
 from ..schema import GROUP, KEY, WIDTH
 
 MAX_SHAPES = 2_048
@@ -34,32 +34,40 @@ def group_lengths() -> dict[str, Column]:
     return {c: F.greatest(F.col(f"fg_{c}"), F.col(f"len_{c}")) for c in KEY}
 
 
-def _shapes(rules: DataFrame, lens: list[str], limit: int) -> list | None:
-    """Distinct mask shapes in order of first rule, or None when there are more than `limit`."""
-    per_shape = rules.groupBy(*lens).agg(F.min("rule_id").alias("first_rule"), F.count(F.lit(1)).alias("n_rules"))
-    shapes = per_shape.limit(limit + 1).collect()
-    if len(shapes) > limit:
+def _shapes(rules: DataFrame, lens: list[str], limit: int) -> tuple[list[tuple], int] | None:
+    """Distinct mask shapes in order of first rule and the number of rules; None beyond `limit` shapes."""
+    few = few_rows(rules.select("rule_id", *lens))
+    if few is not None:
+        first: dict[tuple, int] = {}
+        for row in few:
+            first[tuple(row[1:])] = min(row[0], first.get(tuple(row[1:]), row[0]))
+        n_rules = len(few)
+    else:
+        per_shape = rules.groupBy(*lens).agg(F.min("rule_id"), F.count(F.lit(1)))
+        found = per_shape.limit(limit + 1).collect()
+        first = {tuple(row[: len(lens)]): row[len(lens)] for row in found}
+        n_rules = sum(row[len(lens) + 1] for row in found)
+    if len(first) > limit:
         return None
-    return sorted(shapes, key=lambda s: s["first_rule"])
+    return sorted(first, key=first.get), n_rules
 
 
 def _literal_mask(length: int, bits: int) -> int:
     return ((1 << length) - 1) << (bits - length)
 
 
-def _shape_number(lens: list) -> int:
+def _shape_number(lens: tuple) -> int:
     number = 0
     for length in lens:
         number = number * 64 + length
     return number
 
 
-def _probe(flows: DataFrame, shapes: list, fields: list[str]) -> DataFrame:
+def _probe(flows: DataFrame, shapes: list[tuple], fields: list[str]) -> DataFrame:
     """One row per flow and mask shape, with the key masked to the shape."""
     names = ["_nth", "_shape", *[f"_m_{c}" for c in fields]]
     cells = []
-    for i, s in enumerate(shapes):
-        lens = [s[f"len_{c}"] for c in fields]
+    for i, lens in enumerate(shapes):
         cell = [i, _shape_number(lens), *[_literal_mask(n, WIDTH[c]) for n, c in zip(lens, fields)]]
         cells.append("named_struct(" + ", ".join(f"'{n}', {x}L" for n, x in zip(names, cell)) + ")")
     masked = [f"{c} & _m_{c} as _c_{c}" for c in fields]
@@ -75,12 +83,13 @@ def match(flows: DataFrame, rules: DataFrame, cap: int | None = None, extra: tup
     mask shape and rule; the default keeps all.
     """
     rules = canonical(rules)
-    shapes = _shapes(rules, _LENS, MAX_SHAPES)
+    summary = _shapes(rules, _LENS, MAX_SHAPES)
     fields = KEY
-    if shapes is None:
+    if summary is None:
         # Address prefixes alone have at most 33 * 33 shapes; ports and protocol become a filter.
         fields = ["srcip", "dstip"]
-        shapes = _shapes(rules, _IP_LENS, 33 * 33)
+        summary = _shapes(rules, _IP_LENS, 33 * 33)
+    shapes, n_rules = summary
     if not shapes:
         # No rules: keep the schema, no rows.
         empty = flows.where(F.lit(False)).withColumns({c: F.lit(None).cast("bigint") for c in ["rule_id", *GROUP]})
@@ -101,7 +110,7 @@ def match(flows: DataFrame, rules: DataFrame, cap: int | None = None, extra: tup
     )
     on = ["_shape", *[f"_c_{c}" for c in fields]]
     probed = _probe(flows, shapes, fields)
-    if sum(s["n_rules"] for s in shapes) <= BROADCAST_ROWS:
+    if n_rules <= BROADCAST_ROWS:
         joined = probed.join(F.broadcast(side), on)
     else:
         # A wide rule puts every flow in one cell, so flows of a cell are spread over salts.

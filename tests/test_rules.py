@@ -28,8 +28,10 @@ def theta(flows, rules):
     return {(*[x[c] for c in FLOW], x.rule_id) for x in joined.select(*[f"f.{c}" for c in FLOW], "rule_id").collect()}
 
 
-@pytest.mark.parametrize("way", ["broadcast", "few shapes", "salted"])
+@pytest.mark.parametrize("way", ["broadcast", "few shapes", "salted", "many rules"])
 def test_match_equals_theta_join(spark, monkeypatch, way):
+    if way == "many rules":
+        monkeypatch.setattr(matching, "few_rows", lambda df: None)
     if way == "few shapes":
         monkeypatch.setattr(matching, "MAX_SHAPES", 3)
     if way == "salted":
