@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.keys import long_to_ip
 from ..schema import HOSTS, PACKETS, RULES
@@ -93,11 +96,17 @@ def rules(spark: SparkSession) -> DataFrame:
         )
         for r in RULE_ROWS
     ]
-    return spark.createDataFrame(rows, RULES)
+    return _local(spark, rows, RULES)
 
 
 def hosts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h, 3 * h, None) for h in range(N_HOSTS)], HOSTS)
+    return _local(spark, [(h, 3 * h, None) for h in range(N_HOSTS)], HOSTS)
+
+
+def _local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """Rows as part of the plan; plain createDataFrame would start Python workers to read them."""
+    table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
 
 
 def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
