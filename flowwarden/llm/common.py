@@ -35,6 +35,14 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.octet_length(text))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """`name`, or a longer one if docs has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of arrow batches of about `limit` bytes of text at most (one row at least), with the texts as bytes."""
     for batch in batches:

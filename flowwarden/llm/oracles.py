@@ -33,3 +33,36 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.y)::BIGINT AS com
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.x = d.doc_id
 GROUP BY d.doc_id, s.n
 """
+
+ORACLES["op1_warc"] = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), s AS (
+    SELECT payload, max(page_id) AS response FROM p WHERE payload_bytes >= 1000 GROUP BY payload
+)
+SELECT page_id, payload_bytes, sha1(p.payload) AS payload_digest,
+    CASE WHEN response IS NULL OR response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN response <> page_id THEN response END AS refers_to
+FROM p LEFT JOIN s ON s.payload = p.payload
+"""
+
+ORACLES["op8_vectors"] = """
+WITH RECURSIVE good AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b
+        ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+    SELECT vec_id AS x, vec_id AS y FROM embeddings
+    UNION
+    SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+), counts AS (
+    SELECT x, count(*) AS n FROM links GROUP BY x
+)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, min(r.y)::BIGINT AS component_id, e.vec_id = min(r.y) AS kept
+FROM embeddings e LEFT JOIN counts c ON c.x = e.vec_id JOIN reach r ON r.x = e.vec_id
+GROUP BY e.vec_id, c.n
+"""

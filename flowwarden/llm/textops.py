@@ -11,7 +11,7 @@ _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _SPAN = 64
 #: A random number for each byte at each place of a word; a word's hash is their sum, mixed.
 _PLACES = _RANDOM.integers(0, 1 << 63, size=_SPAN * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ORDER = _RANDOM.integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ORDER = _RANDOM.integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -25,8 +25,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each text the place of its first word (one place more than texts)."""
+def words_of(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words; for each text the place of its first word (one place more than texts); the words' first
+    bytes in the texts joined by line feeds; and these joined texts."""
     data = np.frombuffer(b"\n".join([t or b"" for t in texts] + [b""]), np.uint8)
     sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
     begins = np.concatenate(([0], np.cumsum(sizes)))
@@ -37,7 +38,7 @@ def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarr
     starts = np.flatnonzero(first)
     bounds = np.searchsorted(starts, begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), bounds, starts, data
     at = np.flatnonzero(inner)
     head = np.flatnonzero(first[at])  # where words begin among the bytes of words
     length = np.diff(np.append(head, len(at)))
@@ -48,7 +49,12 @@ def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarr
     value = _PLACES[(place & (_SPAN - 1)) * 256 + byte]
     if length.max() > _SPAN:
         value = value * ((place // _SPAN).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    return mix64(np.add.reduceat(value, head) + length.astype(np.uint64)), bounds
+    return mix64(np.add.reduceat(value, head) + length.astype(np.uint64)), bounds, starts, data
+
+
+def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and for each text the place of its first word (one place more than texts)."""
+    return words_of(texts, lower)[:2]
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +71,7 @@ def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndar
     if len(long):
         whole = np.zeros(len(words) - k + 1, np.uint64)
         for j in range(k):
-            whole += words[j : len(words) - k + 1 + j] * _ORDER[j]
+            whole += words[j : len(words) - k + 1 + j] * ORDER[j]
         whole = mix64(whole)
     for i in np.flatnonzero(n):
         a, b = out_bounds[i], out_bounds[i + 1]
@@ -74,7 +80,7 @@ def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndar
             out[a:b].sort()
         else:
             part = words[bounds[i] : bounds[i + 1]]
-            out[a] = mix64(np.array([(part * _ORDER[: len(part)]).sum(dtype=np.uint64) + np.uint64(len(part))]))[0]
+            out[a] = mix64(np.array([(part * ORDER[: len(part)]).sum(dtype=np.uint64) + np.uint64(len(part))]))[0]
     keep = np.ones(len(out), bool)
     keep[1:] = out[1:] != out[:-1]
     keep[out_bounds[:-1][n > 0]] = True
