@@ -48,7 +48,7 @@ def fingerprint(kept: Column, text_hash: Column) -> Column:
     level = F.floor(F.log2(F.size(kept))).cast("int")
 
     def at(own: Column) -> Column:
-        cells = F.shiftleft(F.lit(1).cast("bigint"), own)
+        cells = F.pow(F.lit(2.0), own).cast("bigint")
         hashes = F.transform(
             F.sequence(F.lit(0), F.least(cells, F.lit(SUBSETS)).cast("int") - 1), lambda j: F.filter(kept, lambda t: t.bitwiseAND(cells - 1) == j)
         )

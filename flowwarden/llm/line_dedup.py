@@ -140,5 +140,5 @@ def without_repeated_lines(docs: DataFrame, wrap: int = WRAP_WORDS, window: int
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(own_id)) & (text_key(F.col("text")) == F.col(own_key))
     joined = docs.join(later, same, "left").drop(own_id, own_key)
     joined = joined.withColumn("_sources", F.coalesce("_sources", F.array().cast("array<bigint>")))
-    schema = T.StructType([f for f in joined.schema.fields if f.name != starts]).add("_removed", "array<int>")
+    schema = T.StructType([f for f in joined.schema.fields if f.name != starts]).add("_removed", T.ArrayType(T.IntegerType()))
     return joined.mapInArrow(_without(wrap, window, starts), schema)
