@@ -46,8 +46,9 @@ def vocabulary(model_file: str) -> list[str]:
 class Lattice:
     """All pieces of the vocabulary that occur in words, for many words at once."""
 
-    def __init__(self, vocab: list[str]):
-        self.longest = min(max(map(len, vocab)), STRETCH + 1)
+    def __init__(self, vocab: list[str], mark: str = MARK):
+        self.mark = mark  # stands before each word
+        self.longest = max(map(len, vocab))
         self.unknown = len(vocab)  # stands for a letter that no piece has
         hashes = np.array([self._hash(p) for p in vocab], np.uint64)
         order = np.argsort(hashes, kind="stable")
@@ -83,10 +84,10 @@ class Lattice:
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
         """Order of the words by length, longest first; their lengths with the mark, in that order; for each end place
         e = 1, 2, ... a list of (length, places in the order, piece ids) of the pieces that end there."""
-        lengths = np.array([len(w) + 1 for w in words])
+        lengths = np.array([len(w) + len(self.mark) for w in words])
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
-        codes = np.frombuffer("".join(MARK + words[i] for i in order).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        codes = np.frombuffer("".join(self.mark + words[i] for i in order).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
         start = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         left = np.repeat(start + lengths, lengths) - np.arange(len(codes))  # letters from a place to the word's end
         word = np.repeat(np.arange(len(words)), lengths)
