@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +204,7 @@ def _learn(vocab: list[str], block: int = 20_000, hold: int = 150_000):
 
 
 def train(docs: DataFrame, vocab: list[str]) -> tuple[list[str], np.ndarray]:
-    """Languages and log... probabilities[piece, language] learnt from all of docs(text, lang) where both are given.
+    """Languages and probabilities[piece, language] learnt from all of docs(text, lang) where both are given.
 
     One step of expectation and maximisation from `prior`: tasks sum the expected piece counts of their own words. What
     reaches the driver is a number for each piece and language.
@@ -220,7 +220,7 @@ def train(docs: DataFrame, vocab: list[str]) -> tuple[list[str], np.ndarray]:
     return langs, np.maximum(counts / counts.sum(axis=0), LEAST)
 
 
-def _predict(vocab: list[str], langs: list[str], probs: np.ndarray, block: int = 20_000):
+def _predict(vocab: list[str], langs: list[str], probs: np.ndarray, columns: list[str], names: list[str], block: int = 20_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocab)
         known: dict[str, int] = {}
@@ -265,9 +265,8 @@ def _predict(vocab: list[str], langs: list[str], probs: np.ndarray, block: int =
                 i = int(np.argmax(logs))
                 best.append(langs[i])
                 scores.append(float(1 / np.exp(logs - logs[i]).sum()))
-            arrays = [part.column(i) for i, n in enumerate(part.schema.names) if n != "text"]
-            names = [n for n in part.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(best), pa.array(scores)], names=names + ["lang_pred", "score"])
+            arrays = [part.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=columns + names)
 
     return run
 
@@ -277,8 +276,10 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def identify(docs: DataFrame, labelled: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, key, lang_pred and score for each row of docs(doc_id, text[, key]), learnt from labelled(text, lang).
+def identify(
+    docs: DataFrame, labelled: DataFrame, model_file: str, columns: Sequence[str] = ("doc_id",), names: Sequence[str] = ("lang_pred", "score")
+) -> DataFrame:
+    """`columns` of docs, and the language and score of docs(text) under `names`, learnt from labelled(text, lang).
 
     The score is the language's share of the likelihood of the whole text under all languages. A text that is null or
     has no letter is `und` with score 0, and so is every text if nothing is labelled; of equal scores the first language
@@ -287,7 +288,6 @@ def identify(docs: DataFrame, labelled: DataFrame, model_file: str) -> DataFrame
     """
     vocab = vocabulary(model_file)
     langs, probs = train(labelled, vocab)
-    keep = [c for c in ("doc_id", "key") if c in docs.columns]
-    docs = docs.select(*keep, "text")
-    schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(_predict(vocab, langs, probs), schema)
+    docs = docs.select(*dict.fromkeys([*columns, "text"]))
+    schema = T.StructType([docs.schema[c] for c in columns]).add(names[0], "string").add(names[1], "double")
+    return docs.mapInArrow(_predict(vocab, langs, probs, list(columns), list(names)), schema)
