@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import components, pieces, saved, text_key
+from .common import components, groups_of, pieces, saved, text_key
 
 SHINGLE_WORDS = 5
 BANDS = 32
 BAND_ROWS = 4
+#: Most documents on one side of a tile, about, and shingles that are looked at in one go.
+TILE_NODES = 256
+COLUMNS = 4096
 SIMILAR_PERCENT = 75
 _BLOCK = 1 << 15
 _SALTS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, size=64, dtype=np.uint64)
@@ -120,15 +123,87 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.select("a", "b", "left_text", "right_text").mapInArrow(_verify(k, percent), "a binary, b binary, linked boolean")
 
 
+def _compare(k: int, percent: int):
+    """Links between the left and the right documents of each tile, apart from those within a component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in groups_of(batches, ["bucket", "i", "j"]):
+            node, right = tile.column("node").to_pylist(), tile.column("right").to_numpy()
+            component = tile.column("component").to_pylist()
+            names = {c: n for n, c in enumerate(dict.fromkeys(component))}
+            own = np.array([names[c] for c in component])
+            texts = [t.encode() for t in tile.column("text").to_pylist()]
+            sets, bounds = textops.shingle_sets(texts, k)
+            size = np.diff(bounds)
+            shared = np.zeros(((~right).sum(), right.sum()), np.float32)
+            element, often = np.unique(sets, return_inverse=True, return_counts=True)[1:]
+            owner = np.repeat(np.arange(len(node)), size)
+            some = often[element] > 1
+            element, owner = np.unique(element[some], return_inverse=True)[1], owner[some]
+            order = np.argsort(element, kind="stable")
+            element, owner = element[order], owner[order]
+            place = np.where(right, np.cumsum(right), np.cumsum(~right)) - 1
+            for a in range(0, int(element[-1]) + 1 if len(element) else 0, COLUMNS):
+                p, q = np.searchsorted(element, [a, a + COLUMNS])
+                here, column = owner[p:q], element[p:q] - a
+                x, y = np.zeros((shared.shape[0], COLUMNS), np.float32), np.zeros((shared.shape[1], COLUMNS), np.float32)
+                y[place[here[right[here]]], column[right[here]]] = 1
+                x[place[here[~right[here]]], column[~right[here]]] = 1
+                shared += x @ y.T
+            left_at, right_at = np.flatnonzero(~right), np.flatnonzero(right)
+            all_ = size[left_at][:, None] + size[right_at][None, :] - shared
+            u, v = np.nonzero((100 * shared >= percent * all_) & (own[left_at][:, None] != own[right_at][None, :]))
+            if len(u):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node[i] for i in left_at[u]], pa.binary()), pa.array([node[i] for i in right_at[v]], pa.binary())], names=["a", "b"]
+                )
+
+    return run
+
+
+def _linked(buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) of the nodes of buckets(bucket, node, degree) that are linked with others.
+
+    First each bucket's pivot is compared with its other nodes. Where several components remain, the nodes that are not
+    in a bucket's largest one are compared with all of the bucket, in tiles of bounded size that return links only.
+    """
+    pivots = buckets.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("pivot"))
+    buckets = saved(buckets.join(pivots.select("bucket", F.col("pivot.node").alias("pivot")), "bucket").where("node <> pivot"), "near_pivots")
+    pairs = saved(buckets.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "near_pairs")
+    links = saved(_verified(pairs, texts, k, percent).where("linked").select("a", "b"), "near_linked")
+    found = saved(components(links, "near_links"), "near_components")
+
+    rest = buckets.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    open_ = groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest"))
+    open_ = open_.where("groups > 1").select(
+        "bucket",
+        F.col("largest.component").alias("largest"),
+        F.ceil((F.col("n") - F.col("largest.n")) / TILE_NODES).cast("int").alias("lefts"),
+        F.ceil(F.col("n") / TILE_NODES).cast("int").alias("rights"),
+    )
+    rest = saved(rest.join(open_, "bucket"), "near_open")
+    chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.where("component <> largest").select("bucket", chunk("lefts").alias("i"), others("rights").alias("j"), F.lit(False).alias("right"), "node", "component")
+    right = rest.select("bucket", others("lefts").alias("i"), chunk("rights").alias("j"), F.lit(True).alias("right"), "node", "component")
+    tiles = left.unionByName(right).join(texts.select("node", "text"), "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = saved(tiles.mapInArrow(_compare(k, percent), "a binary, b binary").distinct(), "near_more")
+    if more.isEmpty():
+        return found
+    before = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return saved(components(before.unionByName(more), "near_links"), "near_components")
+
+
 def near_duplicates(
     docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT, bands: int = BANDS, rows: int = BAND_ROWS
 ) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept for each row of docs(doc_id, text).
 
     Documents are linked when 100 * shared shingles >= percent * all their shingles. Equal sets are one node, so copies
-    cost one row each. In every band's bucket the least node is compared with all others. Only where a bucket still
-    holds several components after that, its remaining pairs across components are compared, too, apart from those of
-    the largest component among themselves; so no link between components is lost and no group becomes all its pairs.
+    cost one row each. In every band's bucket the node that meets most others is compared with all of them. Only where
+    a bucket still holds several components after that, its nodes outside the largest one are compared with the rest,
+    within tasks; so no link between components is lost and no group becomes all its pairs.
 
     Null or empty texts and texts without words have no shingles and are linked with nothing. Rows that repeat a doc_id
     and text are one document. A null doc_id takes part, but names a component only if all its ids are null. Other
@@ -144,11 +219,14 @@ def near_duplicates(
     )
     one = keyed.where("doc_id <=> d and text_key = t").dropDuplicates(["node"])
     buckets = one.select("node", F.explode("bands").alias("bucket"))
-    pivots = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    buckets = saved(buckets.join(pivots.select("bucket", "pivot"), "bucket"), "near_buckets")
-    pairs = saved(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "near_pairs")
-    involved = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "near_involved")
-    wanted = involved.select("node", F.col("of.doc_id").alias("d"), F.col("of.text_key").alias("t"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = saved(buckets.join(shared, "bucket"), "near_buckets")
+    # the node that meets most others is most likely to be what the others were copied from
+    degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
+    buckets = saved(buckets.drop("n").join(degree, "node"), "near_buckets")
+
+    involved = saved(degree.select("node").join(nodes, "node"), "near_involved")
+    wanted = involved.select("node", F.col("of.doc_id").alias("d"), F.col("of.text_key").alias("t")).hint("merge")
     sizes = found.select("node", "n_shingles").dropDuplicates(["node"])
     texts = (
         docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
@@ -157,35 +235,7 @@ def near_duplicates(
         .join(sizes, "node")
     )
     texts = saved(texts, "near_texts")
-    first = saved(_verified(pairs, texts, k, percent), "near_verified")
-    links = first.where("linked").select("a", "b")
-    found_in = components(links, "near_links")
-
-    # what the pivots leave open: buckets with several components
-    in_bucket = (
-        buckets.join(found_in, "node", "left")
-        .select("bucket", "node", F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("pivot")).alias("done"))
-    )
-    groups = in_bucket.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(F.col("done").cast("int")).alias("done"))
-    open_ = groups.groupBy("bucket").agg(
-        F.count("*").alias("groups"), F.max(F.struct("n", "component")).alias("largest"), F.sum(F.expr("if(done = 1 and n = 1, 1, 0)")).alias("alone")
-    )
-    # a pivot alone in its component has been compared with the whole bucket
-    open_ = open_.where("groups - alone > 1").select("bucket", F.col("largest.component").alias("largest"))
-    rest = saved(in_bucket.where("not done").join(open_, "bucket"), "near_open")
-    others = rest.where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("x_component"))
-    cross = (
-        others.join(rest, "bucket")
-        .where("x_component <> component and (component = largest or x < node)")
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        .distinct()
-    )
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(saved(cross.join(tested, ["a", "b"], "left_anti"), "near_more"), texts, k, percent).where("linked").select("a", "b")
-    more = saved(more, "near_more_links")
-    if not more.isEmpty():
-        found_in = components(found_in.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "near_links")
-    found_in = saved(found_in, "near_components")
+    found_in = _linked(buckets, texts, k, percent)
 
     rooted = found.join(found_in, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
