@@ -161,7 +161,7 @@ def _compare(k: int, percent: int):
     return run
 
 
-def _linked(buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def linked_nodes(buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of the nodes of buckets(bucket, node, degree) that are linked with others.
 
     First each bucket's pivot is compared with its other nodes. Where several components remain, the nodes that are not
@@ -213,7 +213,7 @@ def near_duplicates(
     schema = "doc_id bigint, text_key bigint, n_shingles bigint, node binary, bands array<bigint>"
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text_key", "text").mapInArrow(_features(k, bands, rows), schema)
     found = saved(found, "near_features")
-    nodes = found.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("of"))
+    nodes = found.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.min("doc_id").alias("least"))
     keyed = found.select("doc_id", "text_key", "node", "n_shingles", "bands").join(
         nodes.select("node", F.col("of.doc_id").alias("d"), F.col("of.text_key").alias("t")), "node"
     )
@@ -225,7 +225,7 @@ def near_duplicates(
     degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
     buckets = saved(buckets.drop("n").join(degree, "node"), "near_buckets")
 
-    involved = saved(degree.select("node").join(nodes, "node"), "near_involved")
+    involved = saved(degree.select("node").join(nodes.drop("least"), "node"), "near_involved")
     wanted = involved.select("node", F.col("of.doc_id").alias("d"), F.col("of.text_key").alias("t")).hint("merge")
     sizes = found.select("node", "n_shingles").dropDuplicates(["node"])
     texts = (
@@ -235,10 +235,13 @@ def near_duplicates(
         .join(sizes, "node")
     )
     texts = saved(texts, "near_texts")
-    found_in = _linked(buckets, texts, k, percent)
-
-    rooted = found.join(found_in, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(least, "root", "left")
-    out = out.withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    found_in = linked_nodes(buckets, texts, k, percent)
+
+    # named per node first, so that rows meet on their node only
+    named = nodes.select("node", "least").join(found_in, "node", "left")
+    named = named.withColumn("root", F.coalesce("component", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = saved(named.join(least, "root").select("node", "component_id"), "near_named")
+    out = found.join(named, "node", "left")
+    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -84,3 +84,19 @@ def op8_vectors(spark, sf):
     from .vector_links import near_vectors
 
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op3_paragraphs(spark, sf):
+    from .paragraph_dedup import repeated_paragraphs
+
+    return repeated_paragraphs(table(spark, sf, "documents"))
+
+
+@query
+def op6_nbest(spark, sf):
+    import public_tokenizers
+
+    from .nbest import n_best
+
+    return n_best(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
