@@ -78,6 +78,14 @@ def flow_hash() -> Column:
     return F.xxhash64(*KEY)
 
 
+def flow_bucket(buckets: int) -> Column:
+    """Which of `buckets` counters a flow shares: the key's fields as digits of one number, modulo their count."""
+    number = F.lit(0).cast("bigint")
+    for c in KEY:
+        number = number * 31 + F.col(c)
+    return F.pmod(number, F.lit(buckets).cast("bigint"))
+
+
 def rule_matches(flow: str = "f", rule: str = "r") -> Column:
     """Whether the flow of alias `flow` falls in the filter of alias `rule`."""
     cond = F.lit(True)

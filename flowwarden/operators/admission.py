@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import flow_hash, size_units
+from ..functions.keys import flow_bucket, size_units
 from ..plans.ordered import PIECE, before
 from ..schema import ORDER
 from .flowstats import sessions
@@ -22,7 +22,7 @@ def admission(packets: DataFrame, threshold: int, epoch_us: int, buckets: int |
     """
     keys = ["host", "srcip", "dstip", "sport", "dport", "proto"]
     if buckets:
-        packets = packets.withColumn("_bucket", F.pmod(flow_hash(), F.lit(buckets)).cast("bigint"))
+        packets = packets.withColumn("_bucket", flow_bucket(buckets))
         keys = ["host", "_bucket"]
     live = sessions(packets, epoch_us, keys)
     counted = before(live, [*keys, "session"], ORDER, size_units("len"), "sum", "_units")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import epoch_of
-from ..plans.grid import spread
+from ..plans.grid import spread, spread_between
 from ..plans.ordered import is_split
-from ..plans.sizing import few_rows, fits
+from ..plans.sizing import checkpointed, few_rows, fits
 from ..registry import RULE_TYPES, STATS
 from ..schema import FLOW, GROUP, KEY
 from .flowstats import (
@@ -22,6 +23,8 @@ from .flowstats import (
     ordered,
     retransmissions,
     retransmitted_seqs,
+    sessions,
+    timed,
     with_epoch,
     with_reverse,
 )
@@ -56,27 +59,44 @@ def _live(epoch_us: int) -> Column:
 
 
 def needed_stats(rules: DataFrame) -> list[str]:
-    """Statistics that the rules present ask for."""
+    """Statistics that the rules present ask for. A rule type that nobody registered is an error."""
     few = few_rows(rules.select("agg"))
-    if few is None:
-        few = rules.where(F.col("agg").isin(list(RULE_TYPES))).select("agg").distinct().collect()
-    needs = {RULE_TYPES[r["agg"]].needs for r in few if r["agg"] in RULE_TYPES}
-    return sorted(needs & set(STATS))
+    kinds = {r["agg"] for r in few} if few is not None else {r["agg"] for r in rules.select("agg").distinct().collect()}
+    unknown = sorted(str(k) for k in kinds if k not in RULE_TYPES)
+    if unknown:
+        raise ValueError(f"unknown rule types: {', '.join(unknown)}")
+    return sorted({RULE_TYPES[k].needs for k in kinds})
 
 
-def evaluate(packets: DataFrame, rules: DataFrame, epoch_us: int, phase: str = "aligned") -> DataFrame:
-    """Values of all counting rules: rule_id, host, win, group key, value.
+def evaluate(
+    packets: DataFrame,
+    rules: DataFrame,
+    epoch_us: int,
+    phase: str = "aligned",
+    gap_us: int = BURST_GAP_US,
+    min_n: int = BURST_MIN,
+) -> DataFrame:
+    """Values of all rules, whatever their type: rule_id, host, win, group key, value.
 
     Packets shrink to one row per flow and epoch before any rule is looked at, and a hot flow or
-    hot group is summed before it is shuffled.
+    hot group is summed before it is shuffled. `gap_us` and `min_n` say what a burst is.
     """
     stats = needed_stats(rules)
-    if "lost" in stats and "lost" not in packets.columns:
-        packets = retransmissions(packets, epoch_us)
-    else:
-        packets = with_epoch(packets, epoch_us)
-    flows = packets.groupBy(*FLOW, "epoch").agg(*[STATS[s]().alias(s) for s in stats or ["n"]])
-    return rule_values(flows, rules, epoch_us, phase)
+    counted = [s for s in stats if s in STATS]
+    special = {"unacked": lambda p: congestion_flows(p, epoch_us), "burst_lost": lambda p: burst_flows(p, epoch_us, gap_us, min_n)}
+    packets = timed(packets)
+    if {"lost", *special} & set(stats):
+        packets = sessions(packets, epoch_us)
+    missing = [s for s in stats if s not in STATS and s not in special]
+    if missing:
+        raise ValueError(f"nobody registered the statistics {', '.join(missing)}")
+    sources = [special[s](packets) for s in stats if s in special and s not in STATS]
+    if counted or not sources:
+        if "lost" in counted and "lost" not in packets.columns:
+            packets = retransmissions(packets, epoch_us)
+        flows = with_epoch(packets, epoch_us).groupBy(*FLOW, "epoch")
+        sources.append(flows.agg(*[STATS[s]().alias(s) for s in counted or ["n"]]))
+    return reduce(DataFrame.unionByName, [rule_values(flows, rules, epoch_us, phase) for flows in sources])
 
 
 def rule_values(flows: DataFrame, rules: DataFrame, epoch_us: int, phase: str = "aligned") -> DataFrame:
@@ -120,25 +140,19 @@ def congestion(packets: DataFrame, rules: DataFrame, epoch_us: int) -> DataFrame
     )
 
 
-def burst_loss(
-    packets: DataFrame,
-    rules: DataFrame,
-    epoch_us: int,
-    gap_us: int = BURST_GAP_US,
-    min_n: int = BURST_MIN,
-) -> DataFrame:
-    """Values of burst-loss rules: retransmitted sequence numbers that lie in a burst of their flow."""
+def burst_flows(packets: DataFrame, epoch_us: int, gap_us: int = BURST_GAP_US, min_n: int = BURST_MIN) -> DataFrame:
+    """Per flow and epoch, the retransmitted sequence numbers that lie in a burst of their flow."""
     packets = ordered(packets)
     lost = retransmitted_seqs(packets, epoch_us)
     hits = in_burst(lost, bursts(packets, gap_us, min_n), may_be_hot=is_split(packets)).where("hit")
-    flows = hits.groupBy(*FLOW, "epoch").agg(F.count(F.lit(1)).alias("_v"))
-    chosen = rules.where(F.col("agg") == "burstloss")
-    matched = match(flows, chosen, extra=("interval_ms", "valid_from", "valid_to")).where(_live(epoch_us))
-    return (
-        matched.withColumn("win", window_of(epoch_us, "aligned"))
-        .groupBy("rule_id", "host", "win", *GROUP)
-        .agg(F.sum("_v").cast("bigint").alias("value"))
-    )
+    return hits.groupBy(*FLOW, "epoch").agg(F.count(F.lit(1)).alias("burst_lost"))
+
+
+def burst_loss(
+    packets: DataFrame, rules: DataFrame, epoch_us: int, gap_us: int = BURST_GAP_US, min_n: int = BURST_MIN
+) -> DataFrame:
+    """Values of burst-loss rules."""
+    return evaluate(packets, rules.where(F.col("agg") == "burstloss"), epoch_us, gap_us=gap_us, min_n=min_n)
 
 
 def with_thresholds(values: DataFrame, limits: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -172,14 +186,17 @@ def value_ago(values: DataFrame, k: int) -> DataFrame:
     """values + past_value: the value of the same rule, host and group `k` windows earlier, 0 if none."""
     if not 0 <= k < HISTORY:
         raise ValueError(f"a rule remembers {HISTORY} windows")
-    key = ["rule_id", "host", "win", *GROUP]
-    past = values.select("rule_id", "host", (F.col("win") + k).alias("win"), *GROUP, F.col("value").alias("_past"))
-    joined = values.join(past, key, "left")
-    return joined.withColumn("past_value", F.coalesce("_past", F.lit(0).cast("bigint"))).drop("_past")
+    then = Window.partitionBy("rule_id", "host", *GROUP).orderBy("win").rangeBetween(-k, -k)
+    return values.withColumn("past_value", F.coalesce(F.max("value").over(then), F.lit(0).cast("bigint")))
+
 
+def dense_values(
+    values: DataFrame, rules: DataFrame, hosts: DataFrame, wins: tuple[int, int] | None = None
+) -> DataFrame:
+    """Values with a row for every window: ungrouped rules on every host, grouped rules per group seen.
 
-def dense_values(values: DataFrame, rules: DataFrame, hosts: DataFrame, wins: tuple[int, int]) -> DataFrame:
-    """Values with a row for every window: ungrouped rules on every host, grouped rules per group seen."""
+    Without `wins` a rule's windows go from its first value to its last.
+    """
     from .network import place
 
     ungrouped = F.lit(True)
@@ -188,9 +205,14 @@ def dense_values(values: DataFrame, rules: DataFrame, hosts: DataFrame, wins: tu
     always = place(rules.where(ungrouped), hosts, ("rule_id", *KEY)).select(
         "rule_id", "host", *[F.col(c).alias(f"k_{c}") for c in KEY]
     )
-    kept = values.where(F.col("win").between(*wins))
+    kept = checkpointed(values if wins is None else values.where(F.col("win").between(*wins)))
     keys = always.unionByName(kept.select("rule_id", "host", *GROUP)).distinct()
-    joined = spread(keys, "win", *wins).join(kept, ["rule_id", "host", "win", *GROUP], "left")
+    if wins is None:
+        bounds = kept.groupBy("rule_id").agg(F.min("win").alias("_lo"), F.max("win").alias("_hi"))
+        grid = spread_between(with_thresholds(keys, bounds, ["rule_id"]), "win", "_lo", "_hi")
+    else:
+        grid = spread(keys, "win", *wins)
+    joined = grid.join(kept, ["rule_id", "host", "win", *GROUP], "left")
     return joined.select("rule_id", "host", "win", *GROUP, F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import epoch_of_us, micros, reverse_flow
+from ..functions.keys import epoch_of_us, micros
 from ..plans.ordered import PIECE, before, floored_sum, is_split, islands, previous, relabel, split_hot
 from ..plans.sizing import checkpointed
 from ..schema import FLOW, ORDER
@@ -182,10 +181,35 @@ def _state(packets: DataFrame, epoch_us: int, with_seq: bool = True, with_ack: b
 
 
 def with_reverse(state: DataFrame) -> DataFrame:
-    """Flow epochs joined with the opposite direction in the same epoch; its columns get `r_`."""
+    """Flow epochs with the opposite direction in the same epoch; its columns get `r_`.
+
+    Both directions meet under one name of the pair of endpoints, so `state` is computed once.
+    """
     values = [c for c in state.columns if c not in (*FLOW, "epoch")]
-    other = state.select("host", *reverse_flow(), "epoch", *[F.col(c).alias(f"r_{c}") for c in values])
-    return state.join(other, [*FLOW, "epoch"])
+    ends = [F.struct(F.col(f"{a}ip").alias("ip"), F.col(f"{a[0]}port").alias("port")) for a in ("src", "dst")]
+    forward = ends[0] <= ends[1]
+    own = F.struct(*values)
+    pairs = state.groupBy(
+        "host", F.least(*ends).alias("_low"), F.greatest(*ends).alias("_high"), "proto", "epoch"
+    ).agg(F.any_value(F.when(forward, own), True).alias("_there"), F.any_value(F.when(~forward, own), True).alias("_back"))
+    itself = F.col("_low") == F.col("_high")
+    pairs = pairs.withColumn("_back", F.when(itself, F.col("_there")).otherwise(F.col("_back")))
+
+    def direction(start: str, end: str, mine: str, other: str):
+        fields = [F.col(f"{start}.ip").alias("srcip"), F.col(f"{end}.ip").alias("dstip")]
+        fields += [F.col(f"{start}.port").alias("sport"), F.col(f"{end}.port").alias("dport")]
+        return F.struct(*fields, F.col(mine).alias("mine"), F.col(other).alias("other"))
+
+    there, back = direction("_low", "_high", "_there", "_back"), direction("_high", "_low", "_back", "_there")
+    both = pairs.where(F.col("_there").isNotNull() & F.col("_back").isNotNull()).select(
+        "host", "proto", "epoch", F.explode(F.when(itself, F.array(there)).otherwise(F.array(there, back))).alias("_d")
+    )
+    key = [F.col(c) if c in ("host", "proto") else F.col(f"_d.{c}").alias(c) for c in FLOW]
+    columns = {c: F.col(f"_d.mine.{c}").alias(c) for c in values}
+    return both.select(
+        *[columns[c] if c in columns else next(k for k, f in zip(key, FLOW) if f == c) if c in FLOW else F.col(c) for c in state.columns],
+        *[F.col(f"_d.other.{c}").alias(f"r_{c}") for c in values],
+    )
 
 
 def bursts(packets: DataFrame, gap_us: int = BURST_GAP_US, min_n: int = BURST_MIN) -> DataFrame:
@@ -242,69 +266,50 @@ def seq_gaps(packets: DataFrame) -> DataFrame:
     return seen.groupBy("host").agg(F.coalesce(F.sum(gap), F.lit(0)).cast("bigint").alias("missing"))
 
 
-def time_histogram(packets: DataFrame, m: int, max_bins: int = 100_000) -> DataFrame:
+def time_histogram(packets: DataFrame, m: int, bin_us: int = 1) -> DataFrame:
     """At most `m` buckets of bytes over time per flow.
 
-    While a flow has more than `m` buckets, the adjacent pair with the least bytes becomes one.
-    Bytes are first summed in `max_bins` equal bins over the whole trace (one microsecond at the
-    finest), which bounds what one flow hands to Python.
+    While a flow has more than `m` buckets, the adjacent pair with the least bytes becomes one, the
+    earlier of equal ones. Bytes are first summed in bins of `bin_us` microseconds, so a flow's answer
+    depends on its own packets alone. A task goes through its flows' bins in order and holds at most
+    m + 1 buckets, however long a flow is.
     """
-    packets = timed(packets)
-    span = packets.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
-    if span["lo"] is None:
-        span = {"lo": 0, "hi": 0}
-    width = -(-(span["hi"] - span["lo"] + 1) // max_bins)
-    slot = F.call_function("div", F.col("us") - F.lit(span["lo"]), F.lit(width).cast("bigint"))
+    if m < 1 or bin_us < 1:
+        raise ValueError("at least one bucket and one microsecond")
     bins = (
-        packets.where(F.col("len") > 0)
-        .withColumn("bin", slot)
+        timed(packets)
+        .where(F.col("len") > 0)
+        .withColumn("bin", epoch_of_us("us", bin_us))
         .groupBy(*FLOW, "bin")
         .agg(F.max("us").alias("ts_end"), F.sum("len").cast("bigint").alias("bytes"))
     )
+    columns = [*FLOW, "bin", "ts_end", "bytes"]
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flow, ends, sizes = None, [], []
+
+        def finished() -> pd.DataFrame:
+            out = pd.DataFrame({"bucket": range(len(ends)), "ts_end": ends, "bytes": sizes})
+            return out.assign(**dict(zip(FLOW, flow)))[[*FLOW, "bucket", "ts_end", "bytes"]]
+
+        for batch in batches:
+            done = []
+            for row in batch[columns].itertuples(index=False, name=None):
+                if row[: len(FLOW)] != flow:
+                    if flow is not None:
+                        done.append(finished())
+                    flow, ends, sizes = row[: len(FLOW)], [], []
+                ends.append(row[-2])
+                sizes.append(row[-1])
+                if len(sizes) > m:
+                    i = min(range(m), key=lambda j: sizes[j] + sizes[j + 1])
+                    sizes[i] += sizes.pop(i + 1)
+                    ends.pop(i)
+            if done:
+                yield pd.concat(done)
+        if flow is not None:
+            yield finished()
+
+    sorted_ = bins.select(*columns).repartition(*FLOW).sortWithinPartitions(*FLOW, "bin")
     fields = ", ".join(f"{c} bigint" for c in FLOW)
-
-    def shrink(flow: pd.DataFrame) -> pd.DataFrame:
-        flow = flow.sort_values("bin")
-        kept = merge_least(flow["ts_end"].tolist(), flow["bytes"].tolist(), m)
-        out = pd.DataFrame(kept, columns=["ts_end", "bytes"])
-        for c in FLOW:
-            out[c] = flow[c].iloc[0]
-        out["bucket"] = range(len(out))
-        return out[[*FLOW, "bucket", "ts_end", "bytes"]]
-
-    return bins.groupBy(*FLOW).applyInPandas(shrink, f"{fields}, bucket bigint, ts_end bigint, bytes bigint")
-
-
-def merge_least(ends: list[int], sizes: list[int], m: int) -> list[tuple[int, int]]:
-    """Feed buckets in time order, joining the smallest adjacent pair whenever there are m + 1."""
-    following: dict[int, int] = {}
-    preceding: dict[int, int] = {}
-    size: dict[int, int] = {}
-    end: dict[int, int] = {}
-    pairs: list[tuple[int, int, int]] = []  # (joint size, left bucket, right bucket)
-    tail = None
-    for i, (e, s) in enumerate(zip(ends, sizes)):
-        size[i], end[i] = s, e
-        if tail is not None:
-            following[tail], preceding[i] = i, tail
-            heapq.heappush(pairs, (size[tail] + s, tail, i))
-        tail = i
-        while len(size) > m and len(size) > 1:
-            joint, left, right = heapq.heappop(pairs)
-            stale = left not in size or following.get(left) != right or size[left] + size[right] != joint
-            if stale:
-                continue
-            after = following.pop(right, None)
-            size[left] += size.pop(right)
-            end[left] = end.pop(right)
-            preceding.pop(right)
-            if after is None:
-                following.pop(left)
-                tail = left
-            else:
-                following[left], preceding[after] = after, left
-                heapq.heappush(pairs, (size[left] + size[after], left, after))
-            if left in preceding:
-                first = preceding[left]
-                heapq.heappush(pairs, (size[first] + size[left], first, left))
-    return [(end[i], size[i]) for i in sorted(size)]
+    return sorted_.mapInPandas(shrink, f"{fields}, bucket bigint, ts_end bigint, bytes bigint")

@@ -31,8 +31,15 @@ def delete_rules(rules: DataFrame, gone: DataFrame, at: Column | None = None) ->
     return marked.withColumn("valid_to", end).select(*rules.columns)
 
 
+def with_known(alerts: DataFrame, placed: DataFrame) -> DataFrame:
+    """alerts + known: whether the rule is placed on the reporting host."""
+    where = placed.select("rule_id", "host").distinct().withColumn("known", F.lit(True))
+    where = F.broadcast(where) if fits(where) else where
+    joined = alerts.join(where, ["rule_id", "host"], "left")
+    return joined.select(*alerts.columns, F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def lookup(alerts: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(alerts of rules placed on the reporting host, the others)."""
-    known = placed.select("rule_id", "host").distinct()
-    known = F.broadcast(known) if fits(known) else known
-    return alerts.join(known, ["rule_id", "host"], "left_semi"), alerts.join(known, ["rule_id", "host"], "left_anti")
+    marked = with_known(alerts, placed)
+    return marked.where("known").drop("known"), marked.where("not known").drop("known")

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import epoch_of, mask_sql
-from ..plans.sizing import BROADCAST_ROWS, few_rows
+from ..plans.sizing import BROADCAST_ROWS, checkpointed, few_rows, fits
 from ..schema import GROUP, KEY, WIDTH
 
 MAX_SHAPES = 2_048
-SALTS = 32
+CELL_ROWS = 1_000_000  # probes of one cell that one task may get
 CAP = 16  # fixed value: rules kept per flow by a bounded match list
 
 _LENS = [f"len_{c}" for c in KEY]
@@ -65,24 +65,26 @@ def _shape_number(lens: tuple) -> int:
 
 def _probe(flows: DataFrame, shapes: list[tuple], fields: list[str]) -> DataFrame:
     """One row per flow and mask shape, with the key masked to the shape."""
-    names = ["_nth", "_shape", *[f"_m_{c}" for c in fields]]
+    names = ["_shape", *[f"_m_{c}" for c in fields]]
     cells = []
-    for i, lens in enumerate(shapes):
-        cell = [i, _shape_number(lens), *[_literal_mask(n, WIDTH[c]) for n, c in zip(lens, fields)]]
+    for lens in shapes:
+        cell = [_shape_number(lens), *[_literal_mask(n, WIDTH[c]) for n, c in zip(lens, fields)]]
         cells.append("named_struct(" + ", ".join(f"'{n}', {x}L" for n, x in zip(names, cell)) + ")")
     masked = [f"{c} & _m_{c} as _c_{c}" for c in fields]
     return flows.selectExpr("*", f"inline(array({', '.join(cells)}))").selectExpr(
-        *flows.columns, "_nth", "_shape", *masked
+        *flows.columns, "_shape", *masked
     )
 
 
 def match(flows: DataFrame, rules: DataFrame, cap: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """flows + rule_id + group key, one row per flow and matching rule.
 
-    `extra` names rule columns to carry along. `cap` keeps the first rules per flow in order of
-    mask shape and rule; the default keeps all.
+    `extra` names rule columns to carry along. `cap` keeps the first rules of each row of `flows`,
+    in order of the first rule of their mask shape and of their own number; the default keeps all.
     """
     rules = canonical(rules)
+    if cap:
+        return _capped(flows, rules, cap, extra)
     summary = _shapes(rules, _LENS, MAX_SHAPES)
     fields = KEY
     if summary is None:
@@ -113,10 +115,7 @@ def match(flows: DataFrame, rules: DataFrame, cap: int | None = None, extra: tup
     if n_rules <= BROADCAST_ROWS:
         joined = probed.join(F.broadcast(side), on)
     else:
-        # A wide rule puts every flow in one cell, so flows of a cell are spread over salts.
-        salted = probed.withColumn("_salt", F.pmod(F.xxhash64(*flows.columns), F.lit(SALTS)).cast("int"))
-        copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, [*on, "_salt"])
+        joined = _salted_join(probed, side, on, flows.columns)
     for c in rest:
         joined = joined.where(f"{c} & _m_{c} = _f_{c}")
     out = joined.selectExpr(
@@ -124,14 +123,35 @@ def match(flows: DataFrame, rules: DataFrame, cap: int | None = None, extra: tup
         "rule_id",
         *[f"{c} & _g_{c} as k_{c}" for c in KEY],
         *extra,
-        *(["_nth"] if cap else []),
     )
-    if cap:
-        w = Window.partitionBy(*flows.columns).orderBy("_nth", "rule_id")
-        out = out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n", "_nth")
     return out
 
 
+def _salted_join(probed: DataFrame, side: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    """Probes joined with the rules of their cell. A wide rule puts every flow in one cell, so the probes of a
+    cell are spread over as many salts as its size asks for, and only such cells' rules are copied."""
+    cells = probed.join(side.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cells.where(F.col("_n") > CELL_ROWS).select(*on, F.ceil(F.col("_n") / CELL_ROWS).cast("int").alias("_salts"))
+    hot = checkpointed(hot)
+    few = F.broadcast(hot) if fits(hot) else hot
+    salts = F.coalesce("_salts", F.lit(1))
+    spread = probed.join(few, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*columns), salts).cast("int"))
+    copies = side.join(few, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return spread.drop("_salts").join(copies.drop("_salts"), [*on, "_salt"])
+
+
+def _capped(flows: DataFrame, rules: DataFrame, cap: int, extra: tuple[str, ...]) -> DataFrame:
+    """The first `cap` rules of every row; equal rows are matched once and repeated afterwards."""
+    shapes = rules.groupBy(*_LENS).agg(F.min("rule_id").alias("_first"))
+    ranked = rules.join(F.broadcast(shapes) if fits(shapes) else shapes, _LENS)
+    rows = flows.groupBy(*flows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    matched = match(rows, ranked.select(*rules.columns, "_first"), extra=("_first", *extra))
+    w = Window.partitionBy(*flows.columns).orderBy("_first", "rule_id")
+    kept = matched.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap)
+    kept = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
+    return kept.select(*flows.columns, "rule_id", *GROUP, *extra)
+
+
 def match_mask(flows: DataFrame, rules: DataFrame, mask: dict[str, int]) -> DataFrame:
     """Flows in a cell of one mask shape, with every rule of that cell."""
     same = F.lit(True)
@@ -151,8 +171,8 @@ def match_live(flow_epochs: DataFrame, rules: DataFrame, epoch_us: int) -> DataF
 def any_match(packets: DataFrame, rules: DataFrame) -> DataFrame:
     """Packets that fall in at least one rule."""
     # Each distinct key is tested once, however many packets carry it.
-    hits = match(packets.select(*KEY).distinct(), rules).select(*KEY).distinct()
-    return packets.join(hits, KEY, "left_semi")
+    hits = checkpointed(match(packets.select(*KEY).distinct(), rules).select(*KEY).distinct())
+    return packets.join(F.broadcast(hits) if fits(hits) else hits, KEY, "left_semi")
 
 
 def matched_flows(matched: DataFrame) -> DataFrame:

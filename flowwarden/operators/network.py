@@ -10,33 +10,43 @@ from pyspark.sql import functions as F
 from ..plans.ordered import islands, split_hot
 from ..plans.sizing import checkpointed, fits
 from ..schema import GROUP
+from .evaluate import epochs_per_window
 
-MAX_HOSTS = 100_000
 KEEP_EPOCHS = 10  # fixed value: epochs a history is kept
 
 GATHERED = ["rule_id", "win", *GROUP]
 
 
-def host_ids(hosts: DataFrame) -> list[int]:
-    """The monitors' ids: machine inventory, not data, so a short list; checked all the same."""
-    rows = hosts.select("host").limit(MAX_HOSTS + 1).collect()
-    if len(rows) > MAX_HOSTS:
-        raise ValueError(f"more than {MAX_HOSTS} hosts")
-    return sorted({r["host"] for r in rows})
+def _inventory(hosts: DataFrame) -> DataFrame:
+    """All monitors in one row, by id: machine inventory, not data."""
+    return hosts.agg(F.sort_array(F.collect_set(F.struct("host", "join_epoch", "left_epoch"))).alias("_all"))
 
 
-def _id_array(ids: Sequence[int]) -> Column:
-    return F.array(*[F.lit(i).cast("bigint") for i in ids]) if ids else F.array().cast("array<bigint>")
+def _present(at: Column) -> Column:
+    """Ids of the hosts of the inventory that are joined at an epoch."""
+    here = F.filter(
+        "_all",
+        lambda h: (h["join_epoch"].isNull() | (h["join_epoch"] <= at)) & (h["left_epoch"].isNull() | (h["left_epoch"] > at)),
+    )
+    return F.transform(here, lambda h: h["host"])
+
 
+def place(
+    rules: DataFrame, hosts: DataFrame, columns: Sequence[str] = ("rule_id", "threshold"), at: int | None = None
+) -> DataFrame:
+    """A row per rule and active host, with the rule's threshold split evenly (integer division).
 
-def place(rules: DataFrame, hosts: DataFrame, columns: Sequence[str] = ("rule_id", "threshold")) -> DataFrame:
-    """A row per rule and host, with the rule's threshold split evenly (integer division)."""
-    ids = host_ids(hosts)
-    placed = rules.select(*columns, F.explode(_id_array(ids)).alias("host"))
+    Active are the hosts joined at epoch `at`, or by default those that have not left.
+    """
+    staying = F.transform(F.filter("_all", lambda h: h["left_epoch"].isNull()), lambda h: h["host"])
+    ids = staying if at is None else _present(F.lit(at))
+    one_row = _inventory(hosts).select(ids.alias("_ids"))
+    joined = rules.select(*columns).join(F.broadcast(one_row))
+    placed = joined.select(*columns, F.size("_ids").alias("_n"), F.explode("_ids").alias("host"))
     if "threshold" not in columns:
-        return placed
-    share = F.call_function("div", F.col("threshold"), F.lit(max(1, len(ids))).cast("bigint"))
-    return placed.withColumn("local_threshold", share)
+        return placed.drop("_n")
+    share = F.call_function("div", F.col("threshold"), F.col("_n").cast("bigint"))
+    return placed.withColumn("local_threshold", share).drop("_n")
 
 
 def gather(
@@ -45,55 +55,57 @@ def gather(
     hosts: DataFrame,
     mode: str = "strict",
     require: str | None = None,
+    epoch_us: int | None = None,
 ) -> DataFrame:
-    """Every host's value for each (rule, window, group) on which some host reached its share.
+    """A row (key, host, value) for every active host and each (rule, window, group) on which some
+    host reached its share of the threshold.
 
-    strict: emitted only when all hosts have a value. lenient: a missing value is 0.
+    strict: emitted only when all active hosts have a value. lenient: a missing value is 0.
     require="sum": the hosts' total must reach the whole threshold; "all_half": each of the first
-    two hosts must reach half of it.
+    two hosts must reach half of it. Active are the hosts joined in the window's last epoch; without
+    `epoch_us` a window is one epoch.
     """
-    ids = host_ids(hosts)
-    share = F.call_function("div", F.col("threshold"), F.lit(max(1, len(ids))).cast("bigint"))
-    limits = rules.select("rule_id", "threshold", share.alias("_share"))
-    per_key = values.groupBy(*GATHERED).agg(
-        F.map_from_entries(F.collect_list(F.struct("host", "value"))).alias("_values"),
-        F.max("value").alias("_top"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    joined = per_key.join(F.broadcast(limits) if fits(limits) else limits, "rule_id")
-    found = joined.where(F.col("_top") >= F.col("_share"))
+    if require not in (None, "sum", "all_half"):
+        raise ValueError(require)
+    values = checkpointed(values)  # rows per window, looked at three times below
+    n = epochs_per_window(epoch_us) if epoch_us else F.lit(1).cast("bigint")
+    limits = rules.select("rule_id", "threshold", n.alias("_epochs"))
+    windows = values.select("rule_id", "win").distinct()
+    windows = windows.join(F.broadcast(limits) if fits(limits) else limits, "rule_id").join(F.broadcast(_inventory(hosts)))
+    last = (F.col("win") + 1) * F.col("_epochs") - 1
+    windows = checkpointed(windows.select("rule_id", "win", "threshold", _present(last).alias("_hosts")))
+    windows = F.broadcast(windows) if fits(windows) else windows
+
+    own = values.join(windows, ["rule_id", "win"]).where(F.array_contains("_hosts", F.col("host")))
+    per_key = own.groupBy(*GATHERED).agg(F.max("value").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    keys = per_key.join(windows, ["rule_id", "win"])
+    keys = keys.where(F.col("_top") >= F.call_function("div", F.col("threshold"), F.size("_hosts").cast("bigint")))
     if mode == "strict":
-        found = found.where(F.col("_n") == len(ids))
-    hosts_col = _id_array(ids)
-    zero = F.lit(0).cast("bigint")
-    by_host = F.transform(hosts_col, lambda h: F.coalesce(F.col("_values")[h], zero))
-    out = found.withColumn("values", F.map_from_arrays(hosts_col, by_host))
+        keys = keys.where(F.col("_n") == F.size("_hosts"))
+    grid = keys.select(*GATHERED, "threshold", F.slice("_hosts", 1, 2).alias("_two"), F.explode("_hosts").alias("host"))
+    out = grid.join(values.select(*GATHERED, "host", "value"), [*GATHERED, "host"], "left")
+    out = out.withColumn("value", F.coalesce("value", F.lit(0).cast("bigint")))
+    per_key = Window.partitionBy(*GATHERED)  # as many rows as hosts
     if require == "sum":
-        out = out.where(F.aggregate(F.map_values("values"), zero, lambda a, v: a + v) >= F.col("threshold"))
+        out = out.withColumn("_total", F.sum("value").over(per_key)).where(F.col("_total") >= F.col("threshold"))
     elif require == "all_half":
         half = F.call_function("div", F.col("threshold"), F.lit(2).cast("bigint"))
-        for h in ids[:2]:
-            out = out.where(F.col("values")[F.lit(h).cast("bigint")] >= half)
-    elif require is not None:
-        raise ValueError(require)
-    return out.select(*GATHERED, "values")
-
-
-def long_form(gathered: DataFrame) -> DataFrame:
-    return gathered.select(*GATHERED, F.explode("values").alias("host", "value"))
+        least = F.min(F.when(F.array_contains("_two", F.col("host")), F.col("value"))).over(per_key)
+        out = out.withColumn("_least", least).where(F.col("_least") >= half)
+    return out.select(*GATHERED, "host", "value")
 
 
 def all_data(gathered: DataFrame, hosts: DataFrame) -> DataFrame:
-    """One row per gathered key with a column per host."""
-    return gathered.select(
-        *GATHERED, *[F.col("values")[F.lit(h).cast("bigint")].alias(f"host_{h}") for h in host_ids(hosts)]
-    )
+    """One row per gathered key with a column per host; null where the host was not active."""
+    ids = sorted({r["host"] for r in hosts.select("host").distinct().collect()})  # columns need names
+    wide = gathered.groupBy(*GATHERED).pivot("host", ids).agg(F.max("value"))
+    return wide.select(*GATHERED, *[F.col(f"`{h}`").alias(f"host_{h}") for h in ids])
 
 
-def network_alerts(values: DataFrame, rules: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Keys whose total over all hosts reaches the threshold."""
-    total = F.aggregate(F.map_values("values"), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return gather(values, rules, hosts, "lenient", "sum").select(*GATHERED, total.alias("value"))
+def network_alerts(values: DataFrame, rules: DataFrame, hosts: DataFrame, epoch_us: int | None = None) -> DataFrame:
+    """Keys whose total over all active hosts reaches the threshold."""
+    found = gather(values, rules, hosts, "lenient", "sum", epoch_us)
+    return found.groupBy(*GATHERED).agg(F.sum("value").cast("bigint").alias("value"))
 
 
 def schedule(rules: DataFrame, delay_us: int, joined_at: Column) -> DataFrame:
@@ -118,9 +130,11 @@ def align(values: DataFrame, hosts: DataFrame, column: str = "win") -> DataFrame
 
 def expire(values: DataFrame, n: int = KEEP_EPOCHS, now: int | None = None, column: str = "win") -> DataFrame:
     """Keep the last `n` epochs."""
-    if now is None:
-        now = values.agg(F.max(column).alias("now")).first()["now"]
-    return values if now is None else values.where(F.lit(now) - F.col(column) < n)
+    if now is not None:
+        return values.where(F.lit(now) - F.col(column) < n)
+    values = checkpointed(values)
+    newest = values.agg(F.max(column).alias("_now"))
+    return values.join(F.broadcast(newest)).where(F.col("_now") - F.col(column) < n).drop("_now")
 
 
 def active_hosts(hosts: DataFrame, epoch: int) -> DataFrame:
@@ -131,11 +145,10 @@ def active_hosts(hosts: DataFrame, epoch: int) -> DataFrame:
 
 def reset_on_leave(rules: DataFrame, hosts: DataFrame, now_us: int, epoch_us: int) -> DataFrame:
     """When any host has left, every rule ends at the first leaving."""
-    left = hosts.where(F.col("left_epoch") * epoch_us <= now_us).agg(F.min("left_epoch").alias("e")).first()["e"]
-    if left is None:
-        return rules
-    end = F.timestamp_micros(F.lit(left * epoch_us))
-    return rules.withColumn("valid_to", F.least(F.coalesce("valid_to", end), end))
+    left = hosts.where(F.col("left_epoch") * epoch_us <= now_us).agg(F.min("left_epoch").alias("_left"))
+    end = F.timestamp_micros(F.col("_left") * epoch_us)
+    ended = F.least(F.coalesce("valid_to", end), F.coalesce(end, "valid_to"))
+    return rules.join(F.broadcast(left)).withColumn("valid_to", ended).drop("_left")
 
 
 def rearm(triggers: DataFrame, active: int, keys: Sequence[str] = (), at: str = "epoch") -> DataFrame:

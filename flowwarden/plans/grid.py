@@ -28,3 +28,12 @@ def spread(keys: DataFrame, column: str, first: int, last: int) -> DataFrame:
     lo = start + F.col("_block") * BLOCK
     laid = cut.repartition(*keys.columns, "_block").withColumn(column, numbers(lo, F.least(lo + BLOCK - 1, end)))
     return laid.drop("_block")
+
+
+def spread_between(keys: DataFrame, column: str, first: str, last: str) -> DataFrame:
+    """A row per key and number between its own columns `first` and `last`, which are dropped; laid out in blocks."""
+    lo, hi = F.col(first), F.col(last)
+    cut = keys.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", hi - lo, F.lit(BLOCK).cast("bigint")))))
+    start = lo + F.col("_block") * BLOCK
+    laid = cut.repartition(*keys.columns, "_block").withColumn(column, F.explode(F.sequence(start, F.least(start + BLOCK - 1, hi))))
+    return laid.drop("_block", first, last)

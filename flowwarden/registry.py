@@ -8,8 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_STATS = 8  # fixed value: statistics per flow
-
 
 @dataclass(frozen=True)
 class RuleType:
@@ -32,15 +30,15 @@ RULE_TYPES: dict[str, RuleType] = {
     "volume": RuleType("bytes"),
     "loss": RuleType("lost"),
     "congestion": RuleType("unacked", "max"),
+    "burstloss": RuleType("burst_lost"),
 }
 
-_CALLBACKS: list[Callable[[DataFrame], None]] = []
+# What a user of the monitor can hook into: its start and end, a host that joins, a batch of alerts.
+HOOKS: dict[str, list[Callable[[DataFrame], None]]] = {"start": [], "host_join": [], "alert": [], "finish": []}
 
 
 def register_stat(name: str, fn: Callable[[], Column]) -> None:
     """`fn` returns an aggregate Column; a GROUPED_AGG pandas_udf works where no built-in does."""
-    if name not in STATS and len(STATS) >= MAX_STATS:
-        raise ValueError(f"at most {MAX_STATS} statistics per flow")
     STATS[name] = fn
 
 
@@ -56,16 +54,34 @@ def unregister_rule_type(name: str) -> None:
     RULE_TYPES.pop(name, None)
 
 
+def hook(event: str) -> Callable[[Callable[[DataFrame], None]], Callable[[DataFrame], None]]:
+    """Call a function at an event of HOOKS: with the rules at start and finish, the new hosts when hosts join, and
+    every batch of alerts."""
+
+    def add(fn: Callable[[DataFrame], None]) -> Callable[[DataFrame], None]:
+        HOOKS[event].append(fn)
+        return fn
+
+    return add
+
+
+def unhook(event: str, fn: Callable[[DataFrame], None]) -> None:
+    HOOKS[event].remove(fn)
+
+
+def fire(event: str, rows: DataFrame) -> None:
+    for fn in list(HOOKS[event]):
+        fn(rows)
+
+
 def on_alert(fn: Callable[[DataFrame], None]) -> Callable[[DataFrame], None]:
     """Call `fn` with every batch of alerts."""
-    _CALLBACKS.append(fn)
-    return fn
+    return hook("alert")(fn)
 
 
 def remove_callback(fn: Callable[[DataFrame], None]) -> None:
-    _CALLBACKS.remove(fn)
+    unhook("alert", fn)
 
 
 def notify(alerts: DataFrame) -> None:
-    for fn in list(_CALLBACKS):
-        fn(alerts)
+    fire("alert", alerts)

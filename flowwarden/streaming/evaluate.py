@@ -44,8 +44,13 @@ def stream_values(packets: DataFrame, rules: DataFrame, watermark: str) -> DataF
         flows = stream_flow_epochs(packets, interval_ms * 1000, watermark)
         mine = rules.where(F.col("interval_ms") == interval_ms)
         statistic = F.when(F.col("agg") == "packet", F.col("n")).otherwise(F.col("bytes"))
+        end = F.unix_micros("window.end")
+        since, until = F.unix_micros("valid_from"), F.unix_micros("valid_to")
+        # A rule counts in the windows that lie within its lifetime, rounded down to whole windows as in batch.
+        alive = (since.isNull() | (end > since)) & (until.isNull() | (end <= until))
         values = (
-            match(flows, mine, extra=("agg",))
+            match(flows, mine, extra=("agg", "valid_from", "valid_to"))
+            .where(alive)
             .groupBy("window", "rule_id", "host", *GROUP)
             .agg(F.sum(statistic).cast("bigint").alias("value"))
         )
@@ -143,11 +148,15 @@ def answer_requests(values: DataFrame, requests: DataFrame, interval_us: int, wa
 
 
 class SlowBatches(StreamingQueryListener):
-    """Counts trigger periods missed because a batch took longer than one period."""
+    """Counts trigger periods missed because a batch took longer than one period.
 
-    def __init__(self, period_ms: int, keep: int = 10_000) -> None:
+    Totals are kept for every run, and the latest `recent` batches of it.
+    """
+
+    def __init__(self, period_ms: int, recent: int = 1_000) -> None:
         self.period_ms = period_ms
-        self.rows: deque = deque(maxlen=keep)
+        self.recent = recent
+        self.runs: dict[str, dict] = {}
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -155,7 +164,10 @@ class SlowBatches(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         p = event.progress
         took = int(p.durationMs.get("triggerExecution", 0))
-        self.rows.append((str(p.runId), int(p.batchId), int(p.numInputRows), took, max(0, took - 1) // self.period_ms))
+        skipped = max(0, took - 1) // self.period_ms
+        run = self.runs.setdefault(str(p.runId), {"totals": [0, 0, 0, 0], "rows": deque(maxlen=self.recent)})
+        run["totals"] = [a + b for a, b in zip(run["totals"], (1, int(p.numInputRows), took, skipped))]
+        run["rows"].append((str(p.runId), int(p.batchId), int(p.numInputRows), took, skipped))
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -164,9 +176,14 @@ class SlowBatches(StreamingQueryListener):
         pass
 
     def metrics(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
-            list(self.rows), "run string, batch bigint, input_rows bigint, took_ms bigint, skipped bigint"
-        )
+        """The latest batches of all runs."""
+        rows = [r for run in self.runs.values() for r in run["rows"]]
+        return spark.createDataFrame(rows, "run string, batch bigint, input_rows bigint, took_ms bigint, skipped bigint")
+
+    def totals(self, spark: SparkSession) -> DataFrame:
+        """All batches of each run, summed."""
+        rows = [(name, *run["totals"]) for name, run in self.runs.items()]
+        return spark.createDataFrame(rows, "run string, batches bigint, input_rows bigint, took_ms bigint, skipped bigint")
 
 
 def run_to_table(stream: DataFrame) -> DataFrame:

@@ -88,25 +88,10 @@ lost as (select *, seq <= greatest(coalesce(max(seq) over (partition by {SES} or
     rows between unbounded preceding and 1 preceding), 0), 0) as lost from ps)"""
 
 
-def values_cte(where: str = "true", win: str = "epoch // r.n_days", live: str = "true") -> str:
-    """Values of the packet, volume and loss rules."""
-    return f"""
-vals as (
-  select rule_id, host, win, {GROUP}, cast(sum(x) as bigint) as value from (
-    select r.rule_id, p.host, {win} as win, {grouped()},
-      case r.agg when 'packet' then 1 when 'volume' then p.len else cast(p.lost as bigint) end as x
-    from lost p join rules r on {match_on()}
-    where r.agg in ('packet', 'volume', 'loss') and {where} and {live})
-  group by all)"""
-
-
 def with_(*ctes: str) -> str:
     return "with " + ",".join(ctes) + "\n"
 
 
-VALS = with_(PACKETS, RULES, sessions(DAY), LOST, values_cte())
-VALUE = f"rule_id, host, win, {GROUP}, value"
-
 STATE = f"""
 acks as (select *, coalesce(lag(ack) over (partition by {SES} order by us, pkt_no), 0) as pa from ps),
 steps as (select *, case when ack = pa then 1460
@@ -159,6 +144,33 @@ hits as (select l.*, exists (select 1 from bursts b where {" and ".join(f"b.{c}
     and l.seq between b.seq1 and b.seq2) as hit from lost l where l.lost)"""
 
 
+def values_cte(where: str = "true", win: str = "epoch // r.n_days", live: str = "true") -> str:
+    """Values of all rules; needs `lost`."""
+
+    def part(source: str, x: str, kinds: str, more: str = "true") -> str:
+        return f"""
+    select r.rule_id, r.agg, p.host, {win} as win, {grouped()}, {x} as x
+    from {source} p join rules r on {match_on()} where r.agg in ({kinds}) and {where} and {live} and {more}"""
+
+    counted = part("lost", "case r.agg when 'packet' then 1 when 'volume' then p.len else cast(p.lost as bigint) end", "'packet', 'volume', 'loss'")
+    congested, in_bursts = part("unack", "p.unacked", "'congestion'"), part("hits", "1", "'burstloss'", "p.hit")
+    return ",".join(
+        [
+            STATE,
+            CONGESTED,
+            bursts(2 * DAY),
+            IN_BURST,
+            f"""
+vals as (
+  select rule_id, host, win, {GROUP}, cast(case when agg = 'congestion' then max(x) else sum(x) end as bigint) as value
+  from ({counted} union all {congested} union all {in_bursts}) group by rule_id, agg, host, win, {GROUP})""",
+        ]
+    )
+
+
+VALS = with_(PACKETS, RULES, sessions(DAY), LOST, values_cte())
+VALUE = f"rule_id, host, win, {GROUP}, value"
+
 def seen(exact: bool) -> str:
     cell = "seq" if exact else "(xor(seq & 4294967295, (seq & 4294967295) >> 16)) & 1048575"
     return with_(
@@ -407,8 +419,8 @@ from packets""",
     + f"""select pkt_no, (srcip & {_mask(29, 32)}) = 167837696 and (dstip & {_mask(28, 32)}) = 167772160 as matches
 from packets""",
     "epoch_of": with_(PACKETS) + "select pkt_no, us // 10000 as epoch, (len + 63) // 64 as units from packets",
-    "any_match": with_(PACKETS, RULES)
-    + f"select pkt_no from packets p where exists (select 1 from rules r where r.rule_id in (3, 4) and {match_on()})",
+    "any_match": with_(PACKETS, PARTITIONS)
+    + f"select pkt_no from packets p where exists (select 1 from rules r where {match_on()})",
     "match": with_(PACKETS, RULES, flow_days())
     + f"select {', '.join('p.' + c for c in ['host', *KEY, 'epoch', 'n', 'bytes'])}, rule_id, {grouped()} "
     + f"from fd p join rules r on {match_on()}",
@@ -486,12 +498,13 @@ where value >= threshold // 4""",
     + f"""select {", ".join('a.' + c.strip() for c in VALUE.split(','))}, coalesce(b.value, 0) as past_value
 from vals a left join vals b on a.rule_id = b.rule_id and a.host = b.host and a.win = b.win + 2
   and {" and ".join(f"a.k_{c} = b.k_{c}" for c in KEY)}""",
-    "dense_values": with_(PACKETS, RULES, HOSTS, sessions(DAY), LOST, values_cte("r.rule_id in (0, 1, 3)"))
+    "dense_values": with_(PACKETS, RULES, HOSTS, sessions(DAY), LOST, values_cte())
     + f"""select g.rule_id, g.host, g.win, {", ".join('g.k_' + c for c in KEY)}, coalesce(v.value, 0) as value
-from (select * from (
+from (select k.*, unnest(range(lo, hi + 1)) as win from (
     select rule_id, cast(host as bigint) as host, {", ".join(f"f_{c} as k_{c}" for c in KEY)} from rules, hosts
-      where rule_id in (0, 3)
-    union select rule_id, host, {GROUP} from vals), (select unnest(range({DAY0}, {DAY0 + 32})) as win)) g
+      where {" and ".join(f"g_{c} = m_{c}" for c in KEY)}
+    union select rule_id, host, {GROUP} from vals) k
+  join (select rule_id, min(win) as lo, max(win) as hi from vals group by rule_id) using (rule_id)) g
 left join vals v on v.rule_id = g.rule_id and v.host = g.host and v.win = g.win
   and {" and ".join(f"v.k_{c} = g.k_{c}" for c in KEY)}""",
     "rule_report": with_(PACKETS, RULES, sessions(DAY), LOST, values_cte())
@@ -525,7 +538,7 @@ group by rule_id, win, {GROUP}, threshold having sum(value) >= threshold""",
 from vals a left join vals b on a.rule_id = b.rule_id and a.host = b.host and a.win - 1 = b.win
   and {" and ".join(f"a.k_{c} = b.k_{c}" for c in KEY)}""",
     "align": VALS + f"select rule_id, host, win + 3 * host as win, {GROUP}, value from vals",
-    "expire": with_(PACKETS, RULES, sessions(DAY), LOST, values_cte("r.n_days = 1"))
+    "expire": with_(PACKETS, RULES, sessions(DAY), LOST, values_cte(win="p.epoch"))
     + f"select {VALUE} from vals where win > (select max(win) from vals) - 10",
     "schedule": with_(CUSTOMER_RULES)
     + "select rule_id, rule_id * 5000000 + 1000000 as valid_from from crules where not _corrupt",
@@ -534,7 +547,7 @@ from vals a left join vals b on a.rule_id = b.rule_id and a.host = b.host and a.
     "reset_on_leave": with_(CUSTOMER_RULES, EVENT_HOSTS)
     + f"""select rule_id, (select min(left_epoch) from ehosts) * {DAY} as valid_to from crules where not _corrupt""",
     "rearm": recursive(
-        f"hours as (select distinct user_id % 4 as host, epoch_us(ts) // {HOUR} as epoch from events where event_type = 'error')",
+        f"hours as (select distinct user_id % 4 as host, epoch_us(ts) // {HOUR} as epoch from events)",
         """
 on_(host, epoch) as (
   select host, min(epoch) from hours group by host
@@ -566,7 +579,7 @@ from packets p join rules r on {match_on()} group by all""",
     "load_rules": load_rules("spread"),
     "load_rules_equal": load_rules("equal"),
     "load_rules_all": load_rules("all"),
-    "load_rules_none": load_rules("none"),
+    "load_rules_none": "select range as rule_id, cast(0 as bigint) as value from range(4096)",
     "gather_latency": with_(LOG) + "select * from lat",
     "latency_stats": with_(LOG)
     + "select event, "
@@ -657,6 +670,91 @@ adm as (select pkt_no, coalesce(sum((len + 63) // 64) over (partition by {SES} o
     + "select pkt_no, session, lost, dup, admitted from lost join dups using (pkt_no, session) join adm using (pkt_no)",
     "answer_requests": closed_values()
     + f"""select o.rule_id, o.host, o.win, {", ".join("o.k_" + c for c in KEY)}, o.value
-from out o join events e on o.rule_id = 0 and e.event_type = 'error' and e.user_id % 4 = o.host
+from out o join events e on o.rule_id in (0, 3) and e.user_id % 4 = o.host
   and epoch_us(e.ts) // {DAY} = o.win""",
 }
+
+CHANGING = f"chosts(host, join_epoch, left_epoch) as (values (0, 0, null), (1, 0, {DAY0 + 20}), (2, 0, null), (3, {DAY0 + 10}, null))"
+
+
+def gather_changing(mode: str) -> str:
+    whole = "having count(distinct v.host) = max(n_hosts) and" if mode == "strict" else "having"
+    return with_(
+        PACKETS,
+        RULES,
+        CHANGING,
+        sessions(DAY),
+        LOST,
+        values_cte(),
+        f"""
+days as (select distinct rule_id, win, (win + 1) * n_days - 1 as last_day, threshold from vals join rules using (rule_id)),
+here as (select d.rule_id, d.win, d.threshold, h.host, count(*) over (partition by d.rule_id, d.win) as n_hosts
+  from days d join chosts h on h.join_epoch <= d.last_day and (h.left_epoch is null or h.left_epoch > d.last_day)),
+keys as (select v.rule_id, v.win, {GROUP} from vals v join here h on v.rule_id = h.rule_id and v.win = h.win and v.host = h.host
+  group by v.rule_id, v.win, {GROUP}, threshold {whole} max(value) >= threshold // max(n_hosts))""",
+    ) + f"""select k.*, cast(h.host as bigint) as host, coalesce(v.value, 0) as value
+from keys k join here h on h.rule_id = k.rule_id and h.win = k.win
+left join vals v on v.rule_id = k.rule_id and v.win = k.win and v.host = h.host and {" and ".join(f"v.k_{c} = k.k_{c}" for c in KEY)}"""
+
+
+ORACLES |= {
+    "time_histogram": with_(
+        PACKETS,
+        f"""
+bins as (select {FLOW}, us as e, sum(len)::bigint as b from packets where len > 0 group by {FLOW}, us),
+lists as (select {FLOW}, list([{{'e': e, 'b': b}}] order by e) as parts from bins group by {FLOW}),
+merged as (select {FLOW}, list_reduce(parts, lambda a, x: (
+    CASE WHEN len(a || x) <= 8 THEN a || x ELSE
+      list_transform(range(1, 9), lambda i: CASE
+        WHEN i < list_position(list_transform(range(1, 9), lambda j: (a || x)[j].b + (a || x)[j + 1].b),
+            list_min(list_transform(range(1, 9), lambda j: (a || x)[j].b + (a || x)[j + 1].b))) THEN (a || x)[i]
+        WHEN i = list_position(list_transform(range(1, 9), lambda j: (a || x)[j].b + (a || x)[j + 1].b),
+            list_min(list_transform(range(1, 9), lambda j: (a || x)[j].b + (a || x)[j + 1].b)))
+          THEN {{'e': (a || x)[i + 1].e, 'b': ((a || x)[i].b + (a || x)[i + 1].b)::bigint}}
+        ELSE (a || x)[i + 1] END) END)) as kept
+  from lists),
+numbered as (select {FLOW}, generate_subscripts(kept, 1) - 1 as bucket, unnest(kept) as k from merged)""",
+    )
+    + f"select {FLOW}, bucket, k.e as ts_end, k.b as bytes from numbered",
+    "admit_hashed": with_(
+        PACKETS,
+        f"""
+keyed as (select *, ((((srcip * 31 + dstip) * 31 + sport) * 31 + dport) * 31 + proto) % 64 as bucket, us // {3 * DAY} as epoch from packets),
+ke as (select distinct host, bucket, epoch from keyed),
+kl as (select *, lag(epoch) over (partition by host, bucket order by epoch) as pe from ke),
+ks as (select host, bucket, epoch, max(case when pe is null or epoch - pe > 1 then epoch end)
+    over (partition by host, bucket order by epoch) as session from kl),
+adm as (select pkt_no, coalesce(sum((len + 63) // 64) over (partition by host, bucket, session order by us, pkt_no
+    rows between unbounded preceding and 1 preceding), 0) >= 9 as admitted from keyed join ks using (host, bucket, epoch))""",
+    )
+    + "select pkt_no from adm where admitted",
+    "gather_changing": gather_changing("strict"),
+    "gather_changing_lenient": gather_changing("lenient"),
+    "place_changing": with_(CUSTOMER_RULES)
+    + """select rule_id, threshold, cast(host as bigint) as host, threshold // 3 as local_threshold
+from crules cross join (values (0), (2), (3)) h(host) where not _corrupt""",
+    "slow_batches": "select count(*) as input_rows from events",
+    "stream_lifetimes": with_(
+        PACKETS,
+        RULES,
+        f"""
+vals as (
+  select r.rule_id, p.host, p.us // {DAY} as win, {grouped()},
+    cast(sum(case r.agg when 'packet' then 1 else p.len end) as bigint) as value
+  from packets p join rules r on {match_on()} and p.us // {DAY} >= r.vf and p.us // {DAY} < r.vt
+  where r.agg in ('packet', 'volume') group by all)""",
+    )
+    + f"select {VALUE} from vals where (win + 1) * {DAY} <= (select max(us) from packets) - {SIX_HOURS}",
+    "custom_rule_type": with_(
+        PACKETS,
+        RULES,
+        f"""
+vals as (select r.rule_id, p.host, p.us // {DAY} as win, {grouped()}, r.threshold, count(*) filter (p.len > 200) as value
+  from packets p join rules r on {match_on()} group by all)""",
+    )
+    + f"select {VALUE}, threshold from vals where value > threshold",
+    "alert_hooks": VALS
+    + """select 'start' as event, count(*) as n from rules where agg = 'packet'
+union all select 'finish', count(*) from rules where agg = 'packet' union all select 'host_join', 4
+union all select 'alert', count(*) from vals join rules using (rule_id) where agg = 'packet' and value >= threshold""",
+}

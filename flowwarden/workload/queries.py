@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import keys as fk
 from ..operators import admission, analytics, flowstats, lifecycle, matching, network, rulesets
 from ..operators import evaluate as ev
-from ..plans.sizing import ensure_checkpoint_dir
+from .. import registry
+from ..plans.sizing import checkpointed, ensure_checkpoint_dir
 from ..schema import FLOW, GROUP, KEY
 from ..sources import frames, logs, rules_text
 from ..sources.packets import write_alerts as write_alerts_to
@@ -23,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 GAP_US = 12 * v.HOUR_US
+BURST_US = 2 * v.DAY_US
 DAY0 = 19723  # 2024-01-01 as a day number
 
 
@@ -49,7 +51,7 @@ def _flow_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _values(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.evaluate(v.packets(spark, sf), v.rules(spark), v.DAY_US)
+    return ev.evaluate(v.packets(spark, sf), v.rules(spark), v.DAY_US, gap_us=BURST_US)
 
 
 # Sources and sinks
@@ -162,8 +164,8 @@ def epoch_of(spark, sf):
 
 @query
 def any_match(spark, sf):
-    few = v.rules(spark).where(F.col("rule_id").isin(3, 4))
-    return matching.any_match(v.packets(spark, sf), few).select("pkt_no")
+    rules = rulesets.partition_rules(spark, 256, base="10.0.0.0", sport=2500, dport=None, interval_ms=v.DAY_MS)
+    return matching.any_match(v.packets(spark, sf), rules).select("pkt_no")
 
 
 # Matching and rule lifetimes
@@ -221,11 +223,7 @@ def delete_rules(spark, sf):
 @query
 def lookup(spark, sf):
     placed = network.place(v.rules(spark), v.hosts(spark)).where((F.col("rule_id") + F.col("host")) % 2 == 0)
-    known, unknown = lifecycle.lookup(_values(spark, sf), placed)
-    columns = [*ev.VALUE]
-    return known.select(*columns, F.lit(True).alias("known")).unionByName(
-        unknown.select(*columns, F.lit(False).alias("known"))
-    )
+    return lifecycle.with_known(_values(spark, sf), placed).select(*ev.VALUE, "known")
 
 
 @query
@@ -332,7 +330,7 @@ def evaluate(spark, sf):
 
 @query
 def evaluate_install_phase(spark, sf):
-    return ev.evaluate(v.packets(spark, sf), _timed_rules(spark), v.DAY_US, phase="install")
+    return ev.evaluate(v.packets(spark, sf), _timed_rules(spark), v.DAY_US, phase="install", gap_us=BURST_US)
 
 
 def _alerts(spark: SparkSession, sf: str, agg: str) -> DataFrame:
@@ -383,9 +381,7 @@ def value_ago(spark, sf):
 
 @query
 def dense_values(spark, sf):
-    packet_like = v.rules(spark).where(F.col("rule_id").isin(0, 1, 3))
-    values = ev.evaluate(v.packets(spark, sf), packet_like, v.DAY_US)
-    return ev.dense_values(values, packet_like, v.hosts(spark), (DAY0, DAY0 + 31))
+    return ev.dense_values(_values(spark, sf), v.rules(spark), v.hosts(spark))
 
 
 @query
@@ -435,8 +431,7 @@ def predict_threshold(spark, sf):
 
 
 def _gather(spark: SparkSession, sf: str, mode: str, require: str | None = None) -> DataFrame:
-    gathered = network.gather(_values(spark, sf), v.rules(spark), v.hosts(spark), mode, require)
-    return network.long_form(gathered)
+    return network.gather(_values(spark, sf), v.rules(spark), v.hosts(spark), mode, require)
 
 
 @query
@@ -459,6 +454,26 @@ def gather_all_half(spark, sf):
     return _gather(spark, sf, "lenient", "all_half")
 
 
+def _changing(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    return network.gather(_values(spark, sf), v.rules(spark), v.changing_hosts(spark), mode, epoch_us=v.DAY_US)
+
+
+@query
+def gather_changing(spark, sf):
+    """Hosts that join late and leave early: shares and completeness follow the hosts of the window."""
+    return _changing(spark, sf, "strict")
+
+
+@query
+def gather_changing_lenient(spark, sf):
+    return _changing(spark, sf, "lenient")
+
+
+@query
+def place_changing(spark, sf):
+    return network.place(_customer_rules(spark, sf), v.changing_hosts(spark))
+
+
 @query
 def all_data(spark, sf):
     gathered = network.gather(_values(spark, sf), v.rules(spark), v.hosts(spark), "strict")
@@ -472,7 +487,7 @@ def network_alerts(spark, sf):
 
 @query
 def with_code(spark, sf):
-    values = _values(spark, sf)
+    values = checkpointed(_values(spark, sf))
     asked = values.select("rule_id", "host", (F.col("win") - 1).alias("win"), *GROUP)
     return network.with_code(asked, values)
 
@@ -484,8 +499,8 @@ def align(spark, sf):
 
 @query
 def expire(spark, sf):
-    daily = v.rules(spark).where(F.col("interval_ms") == v.DAY_MS)
-    return network.expire(ev.evaluate(v.packets(spark, sf), daily, v.DAY_US))
+    daily = v.rules(spark).withColumn("interval_ms", F.lit(v.DAY_MS))
+    return network.expire(ev.evaluate(v.packets(spark, sf), daily, v.DAY_US, gap_us=BURST_US))
 
 
 @query
@@ -521,8 +536,7 @@ def reset_on_leave(spark, sf):
 
 @query
 def rearm(spark, sf):
-    errors = v.table(spark, sf, "events").where(F.col("event_type") == "error")
-    hours = errors.select(
+    hours = v.table(spark, sf, "events").select(
         (F.col("user_id") % 4).alias("host"), fk.epoch_of("ts", v.HOUR_US).alias("epoch")
     )
     return network.rearm(hours, 9, ["host"])
@@ -606,7 +620,12 @@ def load_rules_all(spark, sf):
 
 @query
 def load_rules_none(spark, sf):
-    return _load_values(spark, sf, "none")
+    """Rules that nothing matches: a zero for each."""
+    rules = rulesets.load_rules(
+        spark, 4096, 8, 32, "none", dst="10.0.0.0", src="10.1.0.3", sport=2500, dport=50001, interval_ms=v.DAY_MS
+    )
+    found = rules.select("rule_id").join(_load_values(spark, sf, "none"), "rule_id", "left")
+    return found.select("rule_id", F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
 
 
 # Logs and traces
@@ -785,12 +804,69 @@ def stream_flow_state(spark, sf):
 def answer_requests(spark, sf):
     rules = v.rules(spark).where(F.col("rule_id").isin(0, 3))
     values = st.stream_values(v.packet_stream(spark, sf), rules, "6 hours")
-    # Every error asks for rule 0 on its host, in the window of its own time.
+    # Every event asks for the one-day, ungrouped rules on its host, in the window of its own time.
     events = v.table(spark, sf, "events")
-    errors = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet").where("event_type = 'error'")
-    asked = errors.select(
-        F.lit(0).cast("bigint").alias("rule_id"),
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet")
+    asked = stream.select(
+        F.explode(F.array(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("rule_id"),
         (F.col("user_id") % 4).alias("host"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
     return st.run_to_table(st.answer_requests(values, asked, v.DAY_US, "6 hours"))
+
+
+@query
+def stream_lifetimes(spark, sf):
+    """Rules with lifetimes in a stream over several files, one at a time."""
+    packets = v.packet_stream_in_files(spark, sf, _folder(spark))
+    rules = _timed_rules(spark).withColumn("interval_ms", F.lit(v.DAY_MS))
+    return st.run_to_table(st.stream_values(packets, rules, "6 hours").drop("window"))
+
+
+@query
+def slow_batches(spark, sf):
+    """Input rows of all batches of a stream, as the listener counted them."""
+    listener = st.SlowBatches(period_ms=1_000)
+    spark.streams.addListener(listener)
+    try:
+        packets = v.packet_stream_in_files(spark, sf, _folder(spark))
+        st.run_to_table(packets.select("pkt_no"))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    return listener.totals(spark).select("input_rows")
+
+
+@query
+def custom_rule_type(spark, sf):
+    """A statistic and a rule type of the user's own."""
+    registry.register_stat("large", lambda: F.count_if(F.col("len") > 200))
+    registry.register_rule_type("large", registry.RuleType("large", predicate=lambda value, threshold: value > threshold))
+    try:
+        rules = v.rules(spark).withColumns({"agg": F.lit("large"), "interval_ms": F.lit(v.DAY_MS)})
+        values = ev.evaluate(v.packets(spark, sf), rules, v.DAY_US)
+        return ev.alerts(values, rules)
+    finally:
+        registry.unregister_stat("large")
+        registry.unregister_rule_type("large")
+
+
+@query
+def alert_hooks(spark, sf):
+    """What hooks at all four events were given, written by the hooks."""
+    folder = _folder(spark)
+
+    def writer(event):
+        return lambda rows: rows.agg(F.lit(event).alias("event"), F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/{event}")
+
+    fns = {event: registry.hook(event)(writer(event)) for event in registry.HOOKS}
+    try:
+        rules = v.rules(spark).where(F.col("agg") == "packet")
+        registry.fire("start", rules)
+        registry.fire("host_join", v.hosts(spark))
+        registry.notify(_alerts(spark, sf, "packet"))
+        registry.fire("finish", rules)
+    finally:
+        for event, fn in fns.items():
+            registry.unhook(event, fn)
+    return spark.read.parquet(f"{folder}/*")

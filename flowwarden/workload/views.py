@@ -103,6 +103,25 @@ def hosts(spark: SparkSession) -> DataFrame:
     return _local(spark, [(h, 3 * h, None) for h in range(N_HOSTS)], HOSTS)
 
 
+def changing_hosts(spark: SparkSession) -> DataFrame:
+    """One host that joins on 11 January 2024, one that leaves on the 21st, and two that stay."""
+    day0 = 19723
+    rows = [(0, 0, None), (1, 0, day0 + 20), (2, 0, None), (3, day0 + 10, None)]
+    return _local(spark, rows, HOSTS)
+
+
+def packet_stream_in_files(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> DataFrame:
+    """The packets as a stream over several files in order of time, give or take two hours; one in each batch."""
+    whole = packets(spark, sf_dir)
+    us = F.unix_micros("ts") + F.col("pkt_no") % 3 * HOUR_US
+    span = whole.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    width = (span["hi"] - span["lo"]) // files + 1
+    for i in range(files):
+        mine = whole.where(F.call_function("div", us - F.lit(span["lo"]), F.lit(width)) == i)
+        mine.coalesce(1).write.mode("append").parquet(f"{folder}/packets")
+    return spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/packets")
+
+
 def _local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """Rows as part of the plan; plain createDataFrame would start Python workers to read them."""
     table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], to_arrow_schema(schema))

@@ -145,17 +145,9 @@ def naive_histogram(ends, sizes, m):
     return [tuple(k) for k in kept]
 
 
-def test_histogram_merges_smallest_pair():
-    rnd = random.Random(4)
-    for m in (1, 2, 5, 32):
-        ends = sorted(rnd.sample(range(10_000), 200))
-        sizes = [rnd.randrange(1, 100) for _ in ends]
-        assert flowstats.merge_least(ends, sizes, m) == naive_histogram(ends, sizes, m)
-
-
 def test_histogram_equals_packet_by_packet(spark):
     rows = traffic(300, seed=6)
-    hist = flowstats.time_histogram(frame(spark, rows), 4, max_bins=10**9)
+    hist = flowstats.time_histogram(frame(spark, rows), 4)
     got = {}
     for r in hist.orderBy("bucket").collect():
         got.setdefault(tuple(r[c] for c in FLOW), []).append((r.ts_end, r.bytes))
@@ -168,20 +160,30 @@ def test_histogram_equals_packet_by_packet(spark):
 
 def test_histogram_keeps_all_bytes(spark):
     df = frame(spark, traffic(300, seed=6))
-    hist = flowstats.time_histogram(df, 4, max_bins=50)
+    hist = flowstats.time_histogram(df, 4, bin_us=700)
     per_flow = {tuple(r[c] for c in FLOW): (r.n, r.b) for r in hist.groupBy(*FLOW).agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).collect()}
     want = {tuple(r[c] for c in FLOW): r.b for r in df.groupBy(*FLOW).agg(F.sum("len").alias("b")).collect()}
     assert {k: b for k, (_, b) in per_flow.items()} == want
     assert max(n for n, _ in per_flow.values()) == 4
 
 
+def test_a_far_packet_of_another_flow_changes_nothing(spark):
+    rows = [packet(i, 7 * i, 100) for i in range(12)]
+    far = [(99, *rows[0][1:3], *[x + 1 for x in rows[0][3:7]], *rows[0][7:])]
+    far = [(*far[0][:1], rows[0][1].replace(year=2030), *far[0][2:])]
+    one = flowstats.time_histogram(frame(spark, rows), 8)
+    two = flowstats.time_histogram(frame(spark, rows + far), 8)
+    first = {tuple(r) for r in one.collect()}
+    assert len(first) == 8 and first <= {tuple(r) for r in two.collect()}
+
+
 def test_hashed_admission_only_admits_more(spark):
     df = frame(spark, traffic(500, seed=8))
     exact = {r.pkt_no for r in admission.admit(df, 6400, EPOCH).collect()}
     shared = {r.pkt_no for r in admission.admit(df, 6400, EPOCH, buckets=2).collect()}
     assert exact < shared
     # The same counting by hand, with flows of a bucket sharing one counter.
-    bucket = F.pmod(fk.flow_hash(), F.lit(2))
+    bucket = fk.flow_bucket(2)
     where = {r.pkt_no: r.b for r in df.select("pkt_no", bucket.alias("b")).collect()}
     rows = [(*r[:3], where[r[0]], 0, 0, 0, 0, *r[8:]) for r in traffic(500, seed=8)]
     assert shared == {no for no, v in replay(rows, EPOCH, 6400).items() if v[4]}

@@ -163,10 +163,80 @@ def test_strict_gather_waits_for_every_host(spark):
     rules = some_rules(spark, 1).withColumn("threshold", F.lit(10).cast("bigint"))
     strict = network.gather(values, rules, hosts(spark), "strict").collect()
     lenient = network.gather(values, rules, hosts(spark), "lenient").orderBy("win").collect()
-    assert [(r.win, r["values"]) for r in strict] == [(1, {0: 9, 1: 1})]
-    assert [(r.win, r["values"]) for r in lenient] == [(1, {0: 9, 1: 1}), (2, {0: 9, 1: 0})]
+    assert sorted((r.win, r.host, r.value) for r in strict) == [(1, 0, 9), (1, 1, 1)]
+    assert sorted((r.win, r.host, r.value) for r in lenient) == [(1, 0, 9), (1, 1, 1), (2, 0, 9), (2, 1, 0)]
     assert network.gather(values, rules, hosts(spark), "lenient", "all_half").count() == 0
-    assert [r.win for r in network.gather(values, rules, hosts(spark), "lenient", "sum").collect()] == [1]
+    assert {r.win for r in network.gather(values, rules, hosts(spark), "lenient", "sum").collect()} == {1}
+
+
+def test_hosts_that_left_or_join_later_have_no_share(spark):
+    rules = some_rules(spark, 1).withColumn("threshold", F.lit(6).cast("bigint"))
+    inventory = spark.createDataFrame([(0, 0, None), (1, 0, 5), (2, 0, None), (3, 8, None)], HOSTS)
+    assert {(r.host, r.local_threshold) for r in network.place(rules, inventory).collect()} == {(0, 2), (2, 2), (3, 2)}
+    assert {(r.host, r.local_threshold) for r in network.place(rules, inventory, at=6).collect()} == {(0, 3), (2, 3)}
+    rows = [(0, h, w, 0, 0, 0, 0, 0, 3) for w in (2, 6, 9) for h in (0, 1, 2) if not (h == 1 and w > 4)]
+    values = spark.createDataFrame(rows, evaluate.VALUE)
+    strict = network.gather(values, rules, inventory, "strict").collect()
+    # Epoch 2: hosts 0-2 answered. Epoch 6: 1 has left. Epoch 9: 3 has joined and is silent.
+    assert sorted((r.win, r.host) for r in strict) == [(2, 0), (2, 1), (2, 2), (6, 0), (6, 2)]
+    lenient = network.gather(values, rules, inventory, "lenient").where("win = 9").collect()
+    assert {(r.host, r.value) for r in lenient} == {(0, 3), (2, 3), (3, 0)}
+
+
+@pytest.mark.parametrize("way", ["few rules", "many shapes", "salted"])
+def test_cap_is_the_same_on_every_way_and_for_repeated_rows(spark, monkeypatch, way):
+    if way == "many shapes":
+        monkeypatch.setattr(matching, "MAX_SHAPES", 3)
+        monkeypatch.setattr(matching, "few_rows", lambda df: None)
+    if way == "salted":
+        monkeypatch.setattr(matching, "BROADCAST_ROWS", 2)
+        monkeypatch.setattr(matching, "CELL_ROWS", 5)
+    flows = frame(spark, traffic(60, seed=2)).select(*FLOW).distinct()
+    rules = some_rules(spark)
+    lens = [f"len_{c}" for c in KEY]
+    first = {}
+    for r in matching.canonical(rules).orderBy("rule_id").collect():
+        first.setdefault(tuple(r[c] for c in lens), r.rule_id)
+    shape = {r.rule_id: first[tuple(r[c] for c in lens)] for r in matching.canonical(rules).collect()}
+    hits = {}
+    for *flow, rule in theta(flows, rules):
+        hits.setdefault(tuple(flow), []).append(rule)
+    want = {f: sorted(sorted(found, key=lambda r: (shape[r], r))[:2] * 2) for f, found in hits.items()}
+    got = {}
+    for r in matching.match(flows.union(flows), rules, cap=2).collect():
+        got.setdefault(tuple(r[c] for c in FLOW), []).append(r.rule_id)
+    assert {f: sorted(x) for f, x in got.items()} == want
+
+
+def test_one_evaluation_for_all_rule_types(spark):
+    df = frame(spark, traffic(400, seed=12))
+    kinds = ["packet", "volume", "loss", "congestion", "burstloss"]
+    rules = some_rules(spark, 10).withColumn("agg", F.element_at(F.array(*map(F.lit, kinds)), (F.col("rule_id") % 5 + 1).cast("int")))
+    rules = rules.withColumns({**{f"len_{c}": F.lit(0) for c in KEY}, **{f"fg_{c}": F.lit(0) for c in KEY}})
+    rules = matching.canonical(rules)
+    got = evaluate.evaluate(df, rules, 10_000, gap_us=5_000)
+    parts = [evaluate.evaluate(df, rules.where(F.col("agg") == k), 10_000, gap_us=5_000) for k in kinds]
+    want = [tuple(r) for p in parts for r in p.select(got.columns).collect()]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    accepted, rejects = lifecycle.add_rules(rules.limit(0), rules)
+    assert accepted.count() == 10 and rejects.count() == 0
+    with pytest.raises(ValueError):
+        evaluate.evaluate(df, rules.withColumn("agg", F.lit("median")), 10_000)
+
+
+def test_reverse_without_a_join(spark):
+    rows = [packet(0, 0, 1), packet(1, 5, 2)]
+    flows = flowstats.flow_epochs(frame(spark, traffic(200, seed=3) + rows), 10_000)
+    both = flowstats.with_reverse(flows)
+    seen = {(*[r[c] for c in FLOW], r.epoch): (r.n, r.bytes) for r in flows.collect()}
+    want = {}
+    for k, v in seen.items():
+        host, src, dst, sp, dp, proto, epoch = k
+        other = (host, dst, src, dp, sp, proto, epoch)
+        if other in seen:
+            want[k] = (*v, *seen[other])
+    got = {(*[r[c] for c in FLOW], r.epoch): (r.n, r.bytes, r.r_n, r.r_bytes) for r in both.collect()}
+    assert got == want
 
 
 @pytest.mark.parametrize("active", [1, 3, 10])

@@ -109,6 +109,25 @@ def test_slow_batches_are_counted(spark, tmp_path):
     rows = listener.metrics(spark).collect()
     assert sum(r.input_rows for r in rows) == 50
     assert all(r.skipped == max(0, r.took_ms - 1) for r in rows)
+    total = listener.totals(spark).first()
+    assert total.input_rows == 50 and total.batches == len(rows) and total.skipped == sum(r.skipped for r in rows)
+
+
+def test_rules_in_a_stream_end_and_begin(spark, tmp_path):
+    rows = [packet(i, i * 1000) for i in range(100)]
+    in_files(spark, rows, str(tmp_path / "in"), 3)
+    at = lambda us: F.timestamp_micros(F.lit(int(START.timestamp()) * 10**6 + us))
+    always = rules(spark).where("rule_id = 0")
+    for since, until in ((None, -1), (30_000, None), (20_000, 55_000), (200_000, None)):
+        own = always.withColumn("valid_from", at(since) if since is not None else F.lit(None).cast("timestamp"))
+        own = own.withColumn("valid_to", at(until) if until is not None else F.lit(None).cast("timestamp"))
+        stream = st.run_to_table(st.stream_values(stream_packets(spark, str(tmp_path / "in")), own, "1 second").drop("window"))
+        batch = evaluate.evaluate(frame(spark, rows), own, EPOCH)
+        newest = batch.agg(F.max("win")).first()[0]
+        closed = set() if newest is None else {tuple(r) for r in stream.collect()}
+        assert closed <= {tuple(r) for r in batch.select(stream.columns).collect()}
+        if until == -1:
+            assert stream.count() == 0
 
 
 @pytest.mark.parametrize("split", [1, 7, 50])
