@@ -30,6 +30,7 @@ VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αεηιου"}
 
 _TITLE = "|".join(MALE_TITLES + FEMALE_TITLES + TITLES)
 _GIVEN = "|".join(sorted({n for own in GIVEN.values() for n in own}))
+_INITIALS = "".join(sorted({n[0] for n in f"{_TITLE}|{_GIVEN}".split("|")}))
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 #: Ways to write each kind; the first that fits at a place wins.
 EMAIL = r"(?<![\p{L}\d._%+-])[\p{L}\d_%+-]+(?:\.[\p{L}\d_%+-]+)*@[\p{L}\d-]+(?:\.[\p{L}\d-]+)*\.\p{L}{2,}"
@@ -40,9 +41,33 @@ IBAN = r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![
 CARD = r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?:\d{1,3})?(?!\d)|(?<!\d)\d{13,19}(?!\d)"
 SECRET = r"(?<![\p{L}\d])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\p{L}\d])"
 NAME = rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME})(?!\p{{L}})"
-PATTERN = "|".join([EMAIL, IPV4, PHONE, SOCIAL, IBAN, SECRET, CARD, NAME])
+#: Tried at each place; what can't begin with the letter there is passed over at once.
+UNMAILED = "|".join(
+    [
+        rf"(?=[\d(+])(?:{IPV4}|{PHONE}|{SOCIAL}|{SECRET}|{CARD})",
+        rf"(?=[A-Z]){IBAN}",
+        rf"(?=[a-fA-F]){SECRET}",
+        rf"(?=[{_INITIALS}]){NAME}",
+    ]
+)
+PATTERN = f"{EMAIL}|{UNMAILED}"
 
-Atom = Column  # a struct of kind and canonical spelling
+
+def entities(text: Column) -> Column:
+    """All entities of a text in their order. Addresses are looked for where there is an @ only."""
+    every = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    return F.when(text.contains("@"), every(PATTERN)).otherwise(every(UNMAILED))
+
+
+def between(text: Column) -> Column:
+    """What stands before, between and behind the entities."""
+    return F.when(text.contains("@"), F.split(text, PATTERN, -1)).otherwise(F.split(text, UNMAILED, -1))
+
+
+def described(found: Column) -> Column:
+    """Entities with their kind and canonical spelling."""
+    kinds = F.transform(found, lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
+    return F.transform(kinds, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), canonical(x["entity"], x["kind"]).alias("text")))
 
 
 def kind_of(entity: Column) -> Column:
@@ -199,15 +224,14 @@ def _name_parts(entity: Column) -> Column:
     return F.transform(words, kind)
 
 
-def atoms(entity: Column) -> Column:
-    """What of an entity gets a surrogate of its own: the whole, or the invented parts of a name."""
-    kind = kind_of(entity)
-    whole = F.array(F.struct(kind.alias("kind"), canonical(entity, kind).alias("text")))
+def atoms(x: Column) -> Column:
+    """What of a described entity gets a surrogate of its own: the whole, or the invented parts of a name."""
+    whole = F.array(F.struct(x["kind"].alias("kind"), x["text"].alias("text")))
     parts = F.transform(
-        F.filter(_name_parts(entity), lambda p: ~p["kind"].isin("title", "given")),
+        F.filter(_name_parts(x["entity"]), lambda p: ~p["kind"].isin("title", "given")),
         lambda p: F.struct(p["kind"].alias("kind"), F.lower(p["word"]).alias("text")),
     )
-    return F.when(kind == "name", parts).otherwise(whole)
+    return F.when(x["kind"] == "name", parts).otherwise(whole)
 
 
 def _formatted(entity: Column, surrogate: Column, marks_too: Column) -> Column:
@@ -225,8 +249,8 @@ def _formatted(entity: Column, surrogate: Column, marks_too: Column) -> Column:
     return F.aggregate(F.split(entity, ""), start, put, lambda s: s["out"])
 
 
-def replacement(entity: Column, key: str, attempts: Column | None = None) -> Column:
-    """The surrogate of an entity as it is written. attempts: a map from `kind:canonical` to the attempt to use."""
+def replacement(x: Column, key: str, attempts: Column | None = None) -> Column:
+    """The surrogate of a described entity as it is written. attempts: a map from `kind:canonical` to the attempt to use."""
     none = F.lit(0)
     attempt = lambda kind, text: none if attempts is None else F.coalesce(attempts[F.concat_ws(":", kind, text)], none)
 
@@ -238,13 +262,11 @@ def replacement(entity: Column, key: str, attempts: Column | None = None) -> Col
             .otherwise(F.initcap(drawn(key, p["kind"], text, attempt(p["kind"], text))))
         )
 
-    kind = kind_of(entity)
-    text = canonical(entity, kind)
-    sur = drawn(key, kind, text, attempt(kind, text))
+    sur = drawn(key, x["kind"], x["text"], attempt(x["kind"], x["text"]))
     return (
-        F.when(kind == "name", F.array_join(F.transform(_name_parts(entity), part), " "))
-        .when(kind == "ip", sur)
-        .otherwise(_formatted(entity, sur, kind == "email"))
+        F.when(x["kind"] == "name", F.array_join(F.transform(_name_parts(x["entity"]), part), " "))
+        .when(x["kind"] == "ip", sur)
+        .otherwise(_formatted(x["entity"], sur, x["kind"] == "email"))
     )
 
 
@@ -280,26 +302,32 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     text alone, so repeated rows are rewritten alike, whatever their doc_id, null included. Other columns stay as they
     are, but for a column named `_kinds`, which is replaced. An empty table gives no rows.
     """
-    found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
-    own = docs.select(F.explode(found).alias("entity")).select(F.explode(atoms(F.col("entity"))).alias("atom")).select("atom.kind", "atom.text")
+    docs = docs.drop("_kinds")
+    columns = docs.columns
+    name = unused(docs, "pii_found")
+    found = F.col(name)
+    marked = docs.withColumn(name, described(entities(F.col("text"))))
+    own = marked.select(F.explode(name).alias("x")).select(F.explode(atoms(F.col("x"))).alias("atom")).select("atom.kind", "atom.text")
     again = collisions(own, key)
 
     def rewritten(attempts: Column | None) -> Column:
-        parts = F.split("text", PATTERN, -1)
-        put = F.transform(found, lambda e: replacement(e, key, attempts))
-        return F.array_join(F.zip_with(parts, put, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+        put = F.transform(found, lambda x: replacement(x, key, attempts))
+        whole = F.array_join(F.zip_with(between(F.col("text")), put, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+        return F.when(F.size(found) > 0, whole).otherwise(F.col("text")).alias("text")
+
+    def out(rows: DataFrame, attempts: Column | None) -> DataFrame:
+        kinds = F.coalesce(F.transform(found, lambda x: x["kind"]), F.array().cast("array<string>"))
+        return rows.select(*[rewritten(attempts) if c == "text" else F.col(c) for c in columns], kinds.alias("_kinds"))
 
-    kinds = F.coalesce(F.transform(found, kind_of), F.array().cast("array<string>"))
     if again.isEmpty():
-        return docs.withColumns({"_kinds": kinds, "text": rewritten(None)})
+        return out(marked, None)
     # only documents that hold an entity with another attempt need its number
-    marked = F.transform(found, lambda e: F.transform(atoms(e), lambda a: F.concat_ws(":", a["kind"], a["text"])))
+    spelt = F.transform(found, lambda x: F.transform(atoms(x), lambda a: F.concat_ws(":", a["kind"], a["text"])))
     key_name, text_name, map_name = (unused(docs, n) for n in ("pii_key", "pii_text", "pii_attempts"))
-    place = docs.select(text_key(F.col("text")).alias(key_name), F.col("text").alias(text_name), F.explode(F.array_distinct(F.flatten(marked))).alias("atom"))
+    place = marked.select(text_key(F.col("text")).alias(key_name), F.col("text").alias(text_name), F.explode(F.array_distinct(F.flatten(spelt))).alias("atom"))
     again = again.select(F.concat_ws(":", "kind", "text").alias("atom"), "attempt")
     needed = place.join(again, "atom").dropDuplicates([key_name, text_name, "atom"])
     needed = needed.groupBy(key_name, text_name).agg(F.map_from_entries(F.collect_list(F.struct("atom", "attempt"))).alias(map_name))
     needed = saved(needed, "pii_needed")
-    joined = docs.join(needed, (text_key(F.col("text")) == F.col(key_name)) & (F.col("text") == F.col(text_name)), "left")
-    attempts = F.coalesce(map_name, F.create_map().cast("map<string,int>"))
-    return joined.withColumns({"_kinds": kinds, "text": rewritten(attempts)}).drop(key_name, text_name, map_name)
+    joined = marked.join(needed, (text_key(F.col("text")) == F.col(key_name)) & (F.col("text") == F.col(text_name)), "left")
+    return out(joined, F.coalesce(map_name, F.create_map().cast("map<string,int>")))
