@@ -25,8 +25,8 @@ _MARK = 0  # stands in every text, so that texts without terms stay
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct words, runs of letters and digits in lower case, and the mark."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_distinct(F.concat(F.array(F.lit(_MARK).cast("bigint")), F.transform(words, lambda w: F.xxhash64(w))))
+    words = F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
+    return F.concat(F.array(F.lit(_MARK).cast("bigint")), F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
@@ -39,23 +39,34 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
     return saved(found, "imatch_lexicon")
 
 
-def fingerprint(kept: Column, text_hash: Column) -> Column:
-    """The fingerprint of a text with the sorted terms `kept`, the mark not among them.
+def with_cells(kept: DataFrame, name: str) -> DataFrame:
+    """Columns for the fingerprint of the terms in column `name`: the level, and of each level the terms of the first
+    SUBSETS cells with the mask that tells a term's cell. They are columns of their own, so that no loop repeats them."""
+    kept = kept.withColumn(f"{name}_level", F.floor(F.log2(F.size(name))).cast("int"))
+    for n in (0, 1):
+        kept = kept.withColumn(f"{name}_mask{n}", F.pow(F.lit(2.0), F.col(f"{name}_level") + n).cast("bigint") - 1)
+        own = F.filter(name, lambda t, m=F.col(f"{name}_mask{n}"): t.bitwiseAND(m) < SUBSETS)
+        kept = kept.withColumn(f"{name}_cells{n}", own)
+    return kept
+
+
+def fingerprint(name: str, text_hash: Column) -> Column:
+    """The fingerprint of a text with the sorted terms in column `name`, the mark not among them, after `with_cells`.
 
     At level L the lexicon falls into 2^L random subsets; a text has the hashes of the first SUBSETS of them at the level
     that leaves one to two terms in each, and at the next. Without terms the text's own hash stands in.
     """
-    level = F.floor(F.log2(F.size(kept))).cast("int")
 
-    def at(own: Column) -> Column:
-        cells = F.pow(F.lit(2.0), own).cast("bigint")
-        hashes = F.transform(
-            F.sequence(F.lit(0), F.least(cells, F.lit(SUBSETS)).cast("int") - 1), lambda j: F.filter(kept, lambda t: t.bitwiseAND(cells - 1) == j)
-        )
-        names = F.transform(hashes, lambda h: F.when(F.size(h) == 0, "-").otherwise(F.substr(F.lpad(F.hex(F.xxhash64(h)), 16, "0"), F.lit(9), F.lit(8))))
-        return F.concat(own.cast("string"), F.lit(":"), F.array_join(names, ","))
+    def at(n: int) -> Column:
+        mask, own = F.col(f"{name}_mask{n}"), F.col(f"{name}_cells{n}")
+        cells = F.sequence(F.lit(0), F.least(mask, F.lit(SUBSETS - 1)).cast("int"))
+        subsets = F.transform(cells, lambda j: F.filter(own, lambda t: t.bitwiseAND(mask) == j))
+        names = F.transform(subsets, lambda h: F.when(F.size(h) == 0, "-").otherwise(F.substr(F.lpad(F.hex(F.xxhash64(h)), 16, "0"), F.lit(9), F.lit(8))))
+        # naming `own` here, too, keeps it a column: the planner would put an expression used once into the loop
+        some = F.when(F.size(own) >= 0, F.array_join(names, ","))
+        return F.concat((F.col(f"{name}_level") + n).cast("string"), F.lit(":"), some)
 
-    return F.when(F.size(kept) > 0, F.concat(at(level), F.lit(";"), at(level + 1))).otherwise(F.concat(F.lit("text:"), text_hash))
+    return F.when(F.size(name) > 0, F.concat(at(0), F.lit(";"), at(1))).otherwise(F.concat(F.lit("text:"), text_hash))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -130,14 +141,15 @@ def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float
         F.explode(F.array(F.struct(F.lit(0).alias("w"), terms(F.col("text")).alias("t")), F.struct(F.lit(1).alias("w"), terms(F.col("edited")).alias("t")))).alias("own"),
     ).select("doc_id", "key", "n_chars", "sha256", "edited_sha256", "own.w", F.explode("own.t").alias("term"))
     known = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
-    own = lambda w: F.sort_array(F.collect_set(F.when((F.col("w") == w) & (F.col("term") != _MARK), F.col("term"))))
-    kept = each.join(known, "term").groupBy("doc_id", "key").agg(
-        F.first("n_chars").alias("n_chars"), F.first("sha256").alias("sha256"), F.first("edited_sha256").alias("edited_sha256"), own(0).alias("t"), own(1).alias("e")
-    )
-    found = kept.select(
+    # the row of the mark alone carries what is said once for a document
+    once = {c: F.when((F.col("term") == _MARK) & (F.col("w") == 0), F.col(c)) for c in ("n_chars", "sha256", "edited_sha256")}
+    own = lambda w: F.sort_array(F.collect_list(F.when((F.col("w") == w) & (F.col("term") != _MARK), F.col("term"))))
+    kept = each.select("doc_id", "key", "w", "term", *[v.alias(c) for c, v in once.items()]).join(known, "term")
+    kept = kept.groupBy("doc_id", "key").agg(*[F.first(c, ignorenulls=True).alias(c) for c in once], own(0).alias("t"), own(1).alias("e"))
+    found = with_cells(with_cells(kept, "t"), "e").select(
         "doc_id", "key", "n_chars", "edited_sha256",
-        fingerprint(F.col("t"), F.col("sha256")).alias("fingerprint"),
-        fingerprint(F.col("e"), F.col("edited_sha256")).alias("edited_fingerprint"),
+        fingerprint("t", F.col("sha256")).alias("fingerprint"),
+        fingerprint("e", F.col("edited_sha256")).alias("edited_fingerprint"),
     )
     found = saved(found, "imatch_prints")
     after = order.select("doc_id", "key", "next_id", "next_key").join(
