@@ -235,28 +235,18 @@ def in_burst(seqs: DataFrame, found: DataFrame, may_be_hot: bool = True) -> Data
     bursts that start at or before it reaches it. No pair of number and burst is formed.
     """
     columns = [c for c in seqs.columns if c != PIECE]
-    marks = found.select(
-        *FLOW,
-        F.col("seq1").alias("_at"),
-        F.lit(0).alias("_kind"),
-        F.col("seq2").alias("_end"),
-        *[F.lit(None).cast(seqs.schema[c].dataType).alias(c) for c in columns if c not in FLOW],
-    )
-    asked = seqs.select(
-        *FLOW,
-        F.col("seq").alias("_at"),
-        F.lit(1).alias("_kind"),
-        F.lit(None).cast("bigint").alias("_end"),
-        *[c for c in columns if c not in FLOW],
-    )
+    marks = found.select(*FLOW, F.col("seq1").alias("_at"), F.lit(0).alias("_kind"), F.col("seq2").alias("_end"))
+    # A number is asked once, however many packets of its flow carry it.
+    numbers = seqs.select(*FLOW, "seq").distinct()
+    asked = numbers.select(*FLOW, F.col("seq").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_end"))
     both = marks.unionByName(asked)
     if may_be_hot:
         both = split_hot(both, FLOW, at="_at")
     else:
         both = both.withColumn(PIECE, F.lit(None).cast("bigint"))
-    reach = before(both, FLOW, ["_at", "_kind"], F.col("_end"), "max", "_reach")
-    asked_only = reach.where(F.col("_kind") == 1)
-    return asked_only.select(*columns, F.coalesce(F.col("_reach") >= F.col("_at"), F.lit(False)).alias("hit"))
+    reach = before(both, FLOW, ["_at", "_kind"], F.col("_end"), "max", "_reach").where(F.col("_kind") == 1)
+    hits = reach.select(*FLOW, F.col("_at").alias("seq"), F.coalesce(F.col("_reach") >= F.col("_at"), F.lit(False)).alias("hit"))
+    return seqs.select(*columns).join(hits, [*FLOW, "seq"]).select(*columns, "hit")
 
 
 def seq_gaps(packets: DataFrame) -> DataFrame:

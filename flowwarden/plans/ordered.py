@@ -18,20 +18,14 @@ from .sizing import checkpointed, fits
 
 PIECE = "piece"
 ROWS_PER_PIECE = 4_000_000
-MAX_HOT_KEYS = 100_000
+PARTS = 64  # pieces that one round makes of one
 
 
-def split_hot(
-    df: DataFrame,
-    keys: Sequence[str],
-    at: str = "us",
-    rows_per_piece: int | None = None,
-    rounds: int = 3,
-) -> DataFrame:
+def split_hot(df: DataFrame, keys: Sequence[str], at: str = "us", rows_per_piece: int | None = None) -> DataFrame:
     """Add `piece`: null for ordinary keys, the start of an `at` range for keys with many rows.
 
-    Only the MAX_HOT_KEYS heaviest keys are cut, which bounds the broadcast; any other key holds
-    less than 1/MAX_HOT_KEYS of the rows. Each round cuts the pieces that are still too large.
+    A key or piece with more than `rows_per_piece` rows is cut at quantiles of its own rows, again and
+    again until every piece fits or holds rows of a single `at` only.
     """
     rows_per_piece = rows_per_piece or ROWS_PER_PIECE
     keys = list(keys)
@@ -42,26 +36,25 @@ def split_hot(
     whole = _label(df, F.lit(None).cast("bigint"), keys, cut=False)
     if df.count() <= rows_per_piece:
         return whole
-    out, cut = whole, False
-    for level in range(rounds):
-        rows = out if level == 0 else out.where(F.col(PIECE).isNotNull())
-        on = [*keys, PIECE] if level else keys
-        pieces = F.ceil(F.col("n") / F.lit(max(1, rows_per_piece // 4)))
-        hot = checkpointed(
-            rows.groupBy(*keys, PIECE)
-            .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-            .where((F.col("n") > rows_per_piece) & (F.col("_hi") > F.col("_lo")))
-            .orderBy(F.desc("n"))
-            .limit(MAX_HOT_KEYS)
-            .withColumn("_width", F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces))
-            .select(*on, "_lo", "_width")
-        )
-        if hot.isEmpty():
+    out, cut, before = whole, False, None
+    while True:
+        rows = out.where(F.col(PIECE).isNotNull()) if cut else out
+        on = [*keys, PIECE] if cut else keys
+        sizes = rows.groupBy(*keys, PIECE).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+        hot = checkpointed(sizes.where((F.col("_n") > rows_per_piece) & (F.col("_hi") > F.col("_lo"))).select(*on, "_n", "_lo"))
+        # as many as total rows / rows_per_piece at most
+        now = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("n")).first()
+        if not now["k"] or now == before:
             break
+        before = now
+        small = F.broadcast(hot) if fits(hot) else hot
+        shares = [i / PARTS for i in range(1, PARTS)]
+        found = rows.join(small, on).groupBy(*on, "_lo").agg(F.percentile_approx(at, shares, 100 * PARTS).alias("_cuts"))
+        cuts = checkpointed(found)
         cut = True
-        start = F.col("_lo") + F.call_function("div", F.col(at) - F.col("_lo"), F.col("_width")) * F.col("_width")
+        start = F.coalesce(F.array_max(F.filter("_cuts", lambda c: c <= F.col(at))), F.col("_lo"))
         out = (
-            out.join(F.broadcast(hot), on, "left")
+            out.join(F.broadcast(cuts) if fits(cuts) else cuts, on, "left")
             .withColumn(PIECE, F.coalesce(start, F.col(PIECE)))
             .select(*df.columns, PIECE)
         )

@@ -71,6 +71,23 @@ def test_bunched_key_is_cut_again(spark):
     assert labelled.groupBy("piece").count().agg(F.max("count")).first()[0] <= 50
 
 
+def test_times_that_grow_exponentially_are_cut_to_size(spark):
+    rows = [packet(i, int(1.02**i)) for i in range(1200)]
+    labelled = ordered.split_hot(flowstats.timed(frame(spark, rows)), FLOW, rows_per_piece=40)
+    sizes = {r.piece: r["count"] for r in labelled.groupBy("piece").count().collect()}
+    # Only packets of one microsecond stay together.
+    same = max(sum(1 for x in rows if us_of(x) == us_of(r)) for r in rows[:200:20])
+    assert max(sizes.values()) <= max(40, same) and sum(sizes.values()) == len(rows)
+
+
+def test_equal_numbers_are_asked_once(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_PIECE", 50)
+    rows = [packet(i, i, seq=0) for i in range(400)] + [packet(400 + i, 10_000 + i, seq=7) for i in range(10)]
+    df = flowstats.ordered(frame(spark, rows))
+    hits = flowstats.in_burst(flowstats.retransmitted_seqs(df, EPOCH), flowstats.bursts(df, 5))
+    assert {(r.seq, r.hit) for r in hits.collect()} == {(0, True), (7, True)} and hits.count() == 409
+
+
 @pytest.mark.parametrize("cut", [False, True])
 def test_bursts(spark, monkeypatch, cut):
     rnd = random.Random(1)
