@@ -29,7 +29,7 @@ def test_against_all_pairs(frame, monkeypatch):
     rng = random.Random(2)
     lines = family(1, 25, 80) + family(2, 25, 40) + [prose(i, rng.randrange(3, 60)) for i in range(60)] + ["", "short line here"]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 6)))) for i in range(70)]
-    got = paragraph_dedup.repeated_paragraphs(frame(rows)).collect()
+    got = paragraph_dedup.repeated_paragraphs(frame(rows)).where("kind = 'paragraph'").collect()
     assert {(r.doc_id, r.paragraph): (r.n_words, r.cluster_doc, r.cluster_paragraph, r.n_paragraphs, r.removed) for r in got} == brute(rows)
     text = dict(rows)
     for r in got:
@@ -38,7 +38,7 @@ def test_against_all_pairs(frame, monkeypatch):
 
 def test_odd_rows(frame):
     rows = [r for r in odd_rows() if r[0] != 7]
-    got = paragraph_dedup.repeated_paragraphs(frame(rows)).collect()
+    got = paragraph_dedup.repeated_paragraphs(frame(rows)).where("kind = 'paragraph'").collect()
     want = {k: v[1:3] for k, v in brute(rows).items()}
     assert {(r.doc_id, r.paragraph): (r.cluster_doc, r.cluster_paragraph) for r in got} == want
     assert paragraph_dedup.repeated_paragraphs(frame([(1, "a")]).limit(0)).count() == 0
@@ -49,3 +49,31 @@ def test_odd_rows(frame):
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, prose(1, 30), 1, "x"), (2, prose(1, 30), 2, "y")], "doc_id int, text string, node int, bands string")
     assert paragraph_dedup.repeated_paragraphs(docs).count() == 2
+
+
+def test_passages_inside_other_text(frame):
+    passages = [prose(500 + i, 52 + i) for i in range(8)]
+    rows, planted = [], {}
+    for d in range(60):
+        around = prose(1000 + d, 40), prose(2000 + d, 45)
+        if d < 40:
+            rows.append((d, "first line\n" + around[0] + " " + passages[d % 8] + " " + around[1] + "\nlast"))
+            planted[d] = passages[d % 8]
+        else:
+            rows.append((d, " ".join(around)))
+    rows.append((None, rows[3][1].replace("last", "end")))
+    got = paragraph_dedup.repeated_paragraphs(frame(rows)).where("kind = 'passage'").collect()
+    by_doc = {r.doc_id: r for r in got}
+    assert set(planted) - {3} <= set(by_doc) <= {*planted, None}
+    text = dict(rows)
+    for d, r in by_doc.items():
+        if d is not None:
+            part = text[d].encode()[r.start_byte : r.start_byte + r.n_bytes].decode()
+            assert len(part.split()) == r.n_words >= 16 and part in passages[d % 8] and r.paragraph == 1
+            assert r.removed == (r.cluster_doc != d)
+
+
+def test_a_passage_of_equal_words_and_repeated_rows(frame):
+    rows = [(1, "x " * 500), (1, "x " * 500), (2, prose(1, 100)), (2, prose(1, 100)), (3, None), (4, "")]
+    got = paragraph_dedup.repeated_paragraphs(frame(rows)).collect()
+    assert {r.doc_id for r in got} <= {1}
