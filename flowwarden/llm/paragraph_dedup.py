@@ -85,6 +85,8 @@ def repeated_paragraphs(
     as least. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
+    if not docs.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text_key"])
     schema = (
         "doc_id bigint, text_key bigint, paragraph int, start_byte bigint, n_bytes bigint, n_words bigint, n_shingles bigint, "
         "node binary, bands array<bigint>"
