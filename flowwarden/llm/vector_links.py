@@ -215,8 +215,9 @@ def near_vectors(docs: DataFrame, cosine: float = COSINE, block_dims: int = BLOC
         placed = own.select("node", "copies", "embedding").mapInArrow(
             _place(space), f"node binary, copies bigint, embedding {kind}, block int, cx int, cy int, guest boolean"
         )
-        tiles = _tiles(placed, tile_rows).groupBy("block", "cx", "cy", "kind", "a", "b")
-        found = found.unionByName(tiles.applyInArrow(_tile(space), out_schema))
+        keys = ["block", "cx", "cy", "kind", "a", "b"]
+        tiles = _tiles(placed, tile_rows).repartition(*keys)  # else a cell's tiles would stay where the cell was counted
+        found = found.unionByName(tiles.groupBy(*keys).applyInArrow(_tile(space), out_schema))
     found = saved(found, "vector_links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector_edges")
