@@ -7,6 +7,7 @@ lattice falls apart at places that no piece of the vocabulary spans; parts that
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import math
@@ -191,6 +192,7 @@ class Solver:
             if len(self.ids) > CACHE_PARTS:
                 self.place.clear()
                 self.ids.clear()
+            if len(self.paths) > CACHE_PARTS:
                 self.paths.clear()
             new = sorted({p for p in parts if p not in self.place}, key=len)
             block: list[str] = []
@@ -217,7 +219,7 @@ class Solver:
         return self.paths[part]
 
 
-def segmentations(parts: list[str], n: int, solver: Solver) -> tuple[list[float], list[bytes]]:
+def segmentations(parts: list[str], n: int, solver: Solver, places: np.ndarray | None = None) -> tuple[list[float], list[bytes]]:
     """Scores and ids of the n best segmentations of a text given as parts, best first.
 
     A path that leaves the best one in some part is at least as far behind as that part's second best path. So n best
@@ -225,8 +227,8 @@ def segmentations(parts: list[str], n: int, solver: Solver) -> tuple[list[float]
     """
     if not parts:
         return [0.0], [b""]
-    places = solver.places(parts)
-    own = [solver.ids[i] for i in places]
+    places = solver.places(parts) if places is None else places
+    own = [solver.ids[i] for i in places.tolist()]
     top = float(solver.score[places].sum())
     behind = solver.behind[places]
     few = np.argsort(behind, kind="stable")[: n - 1] if len(behind) <= 64 else _least(behind, n - 1)
@@ -237,8 +239,7 @@ def segmentations(parts: list[str], n: int, solver: Solver) -> tuple[list[float]
     for choice in paths:
         path = own.copy()
         for i, option, c in zip(few, options, choice):
-            if c:
-                path[i] = option[c][1]
+            path[i] = option[c][1]  # also the first: of equally good paths it needn't be the one remembered
         scores.append(top - sum(o[c][0] for o, c in zip(options, choice)))
         ids.append(b"".join(path))
     return scores, ids
@@ -258,16 +259,23 @@ def parts_of(text: str, vocab: Vocabulary) -> list[str]:
     return vocab.parts.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+@functools.cache
+def _tools(model_file: str) -> tuple[Vocabulary, Solver, dict[int, bytes]]:
+    """Made once in a worker, for all of its tasks."""
+    vocab = Vocabulary(model_file)
+    return vocab, Solver(vocab), byte_table(vocab)
+
+
 def _segment(model_file: str, n: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(model_file)
-        solver, table = Solver(vocab), byte_table(vocab)
+        vocab, solver, table = _tools(model_file)
         for part, texts in small_batches(batches, "text"):
             found = [parts_of(t.decode(), vocab) if t else [] for t in texts]
-            solver.places([p for own in found for p in own])
+            places = solver.places([p for own in found for p in own])
+            ends = np.cumsum([len(own) for own in found])
             rows = []
-            for text, own in zip(texts, found):
-                scores, ids = segmentations(own, n, solver)
+            for text, own, end in zip(texts, found, ends):
+                scores, ids = segmentations(own, n, solver, places[end - len(own) : end])
                 whole = decode(np.frombuffer(ids[0], "<u4").tolist(), table) == (text or b"")
                 rows.append((len(own), whole, scores, [len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], ids))
             columns = list(zip(*rows))
@@ -297,7 +305,7 @@ def n_best(docs: DataFrame, model_file: str, n: int = BEST, with_ids: bool = Fal
 
 def _decode(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_table(Vocabulary(model_file))
+        table = _tools(model_file)[2]
         for batch in batches:
             ids = batch.column("ids").to_pylist()
             texts = [None if x is None else decode(np.frombuffer(x, "<u4").tolist(), table) for x in ids]

@@ -7,6 +7,7 @@ consecutive sequences; tasks look up a piece by its length and its rank among pi
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -94,11 +95,17 @@ class WordEncoder:
         return b"".join(out)
 
 
+@functools.cache
+def _encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker, with the words it remembers."""
+    return WordEncoder(path)
+
+
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = _encoder(path)
         for part, texts in small_batches(batches, "text"):
             rows = []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
