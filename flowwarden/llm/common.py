@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +48,14 @@ def unused(docs: DataFrame, name: str) -> str:
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of arrow batches of about `limit` bytes of text at most (one row at least), with the texts as bytes."""
     for batch in batches:
-        texts = batch.column(column).cast(pa.large_binary()).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, size = 0, 0
-        for i, text in enumerate(texts):
-            more = len(text) if text is not None else 0
-            if i > start and size + more > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, more in enumerate([*lengths, limit]):
+            if i > start and (size + more > limit or i == len(lengths)):
+                part = batch.slice(start, i - start)
+                yield part, part.column(column).cast(pa.large_binary()).to_pylist()
                 start, size = i, 0
             size += more
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -26,7 +26,7 @@ STRETCH = 40
 LEAST = 1e-7
 SMOOTHING = 0.5
 #: Words whose probabilities a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _UNIT = 1_000_000  # expected counts are added up as whole millionths, so their sum doesn't depend on the order
 _WORD = re.compile(r"[^\W\d_]+")
 _SLICE = 1 << 20
@@ -169,7 +169,7 @@ def words_of(text: str) -> Iterator[list[str]]:
         at = end
 
 
-def _learn(vocab: list[str], block: int = 20_000, hold: int = 150_000):
+def _learn(vocab: list[str], block: int = 20_000, hold: int = 80_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, probs = Lattice(vocab), prior(len(vocab))
         counts: dict[str, Counter] = {}

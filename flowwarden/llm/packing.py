@@ -29,7 +29,7 @@ END_ID = 1
 LARGE_SHARE = 1 / 8
 GROUPS = 64
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _SLICE = 1 << 20
 _LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Byte-level vocabularies spell bytes that don't print as letters from 256 on: 33 lie below the letters of 127 to 160.
