@@ -2,7 +2,8 @@
 
 Long lines are wrapped after a number of words, anew from each line's start, so a unit is a short line or a stretch of a
 long one. Of every window of units the one with the least hash is its fingerprint: equal windows select the same unit,
-so a repeated run of as many units as a window, or more, is certain to share a fingerprint.
+so a repeated run of as many units as a window, or more, is certain to share a fingerprint. Lines of fewer units than a
+window can have a fingerprint of their own, so that they are found between any neighbours.
 """
 
 from __future__ import annotations
@@ -20,13 +21,18 @@ from .common import pieces, saved, text_key, unused
 
 WRAP_WORDS = 16
 WINDOW_UNITS = 3
+#: Shorter lines, in words, have no fingerprint of their own.
+LINE_WORDS = 1
+_LINES = 1 << 30  # the places of whole lines: their numbers from here on; units are counted below
+_LINE_MARK = np.uint64(0x5851F42D4C957F2D)
 
 
-def units(texts: list[bytes | None], wrap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all units, their line numbers, and for each text the place of its first unit (one more than texts)."""
+def units(texts: list[bytes | None], wrap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all units, their line numbers, for each text the place of its first unit (one more than texts), and the
+    units' words."""
     words, bounds, starts, data = textops.words_of(texts, lower=False)
     if not len(words):
-        return words, np.zeros(0, np.int64), bounds
+        return words, np.zeros(0, np.int64), bounds, np.zeros(0, np.uint64)
     line = np.searchsorted(np.flatnonzero(data == 10), starts)  # over all texts: each text ends with a line feed
     head = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     place = np.arange(len(words)) - np.repeat(head, np.diff(np.append(head, len(words))))
@@ -36,13 +42,32 @@ def units(texts: list[bytes | None], wrap: int) -> tuple[np.ndarray, np.ndarray,
     unit_bounds = np.searchsorted(begin, bounds)
     first_line = np.searchsorted(np.flatnonzero(data == 10), np.concatenate(([0], np.cumsum([len(t or b"") + 1 for t in texts]))))
     own_first = np.repeat(first_line[:-1], np.diff(unit_bounds))
-    return hashes, line[begin] - own_first, unit_bounds
-
-
-def _windows(wrap: int, window: int):
+    return hashes, line[begin] - own_first, unit_bounds, size
+
+
+def _whole_lines(part: pa.RecordBatch, hashes: np.ndarray, lines: np.ndarray, bounds: np.ndarray, sizes: np.ndarray, window: int, least: int) -> pa.RecordBatch | None:
+    """A row for each line of `least` words or more that has fewer units than a window: longer ones are windows."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    head = np.flatnonzero(np.concatenate(([True], (lines[1:] != lines[:-1]) | (owner[1:] != owner[:-1]))))
+    count = np.diff(np.append(head, len(hashes)))
+    inner = np.minimum(np.arange(len(hashes)) - np.repeat(head, count), window)
+    whole = textops.mix64(np.add.reduceat(hashes * textops.ORDER[inner], head) ^ _LINE_MARK)
+    some = (count < window) & (np.add.reduceat(sizes, head) >= least)
+    if not some.any():
+        return None
+    rows, own = pa.array(owner[head][some]), pa.array(whole[some].view(np.int64))
+    one = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32)), own)
+    start = pa.array((lines[head][some] + _LINES).astype(np.int32))
+    columns = [part.column("doc_id").take(rows), part.column("text_key").take(rows), own, start, one]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "print", "start", "windows"])
+
+
+def _windows(wrap: int, window: int, alone: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text"):
-            hashes, _, bounds = units(texts, wrap)
+            hashes, lines, bounds, sizes = units(texts, wrap)
+            if alone is not None and len(hashes) and (own := _whole_lines(part, hashes, lines, bounds, sizes, window, alone)):
+                yield own
             counts = np.maximum(np.diff(bounds) - window + 1, 0)
             if not counts.sum():
                 continue
@@ -74,15 +99,18 @@ def _windows(wrap: int, window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, wrap: int = WRAP_WORDS, window: int = WINDOW_UNITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, wrap: int = WRAP_WORDS, window: int = WINDOW_UNITS, alone: int | None = None) -> DataFrame:
     """doc_id, text_key, start, source for each window of units that occurs earlier, by doc_id and place, in `source`.
 
+    With `alone`, also for each line of so many words or more that has fewer units than a window; `start` is then _LINES
+    and its number.
+
     Only fingerprints that occur more than once are followed up. Around them, a match is extended to the window that
     selected it, unit by unit; a group of equal windows yields its first place and joins it to the others.
     """
     schema = "doc_id bigint, text_key bigint, print bigint, start int, windows array<bigint>"
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
-    found = saved(docs.mapInArrow(_windows(wrap, window), schema), "line_prints")
+    found = saved(docs.mapInArrow(_windows(wrap, window, alone), schema), "line_prints")
     often = found.groupBy("print").count().where("count > 1").select("print")
     around = found.join(often, "print").select("doc_id", "text_key", "start", F.posexplode("windows").alias("more", "window"))
     around = saved(around.select("doc_id", "text_key", (F.col("start") + F.col("more")).alias("start"), "window"), "line_windows")
@@ -96,7 +124,7 @@ def _without(wrap: int, window: int, starts_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text"):
             starts = part.column(starts_column).to_pylist()
-            _, lines, bounds = units([t if s else None for t, s in zip(texts, starts)], wrap)
+            _, lines, bounds, _ = units([t if s else None for t, s in zip(texts, starts)], wrap)
             rest: list[bytes | None] = []
             removed: list[list[int]] = []
             for i, (text, own) in enumerate(zip(texts, starts)):
@@ -105,9 +133,11 @@ def _without(wrap: int, window: int, starts_column: str):
                     removed.append([])
                     continue
                 covered = np.zeros(bounds[i + 1] - bounds[i], bool)
-                for j in range(window):
-                    covered[np.array(own) + j] = True
                 line = lines[bounds[i] : bounds[i + 1]]
+                own = np.array(own)
+                for j in range(window):
+                    covered[own[own < _LINES] + j] = True
+                covered |= np.isin(line, own[own >= _LINES] - _LINES)
                 gone = sorted(set(line.tolist()) - set(line[~covered].tolist()))
                 removed.append(gone)
                 drop, kept, after_gone = set(gone), [], False
@@ -123,19 +153,20 @@ def _without(wrap: int, window: int, starts_column: str):
     return run
 
 
-def without_repeated_lines(docs: DataFrame, wrap: int = WRAP_WORDS, window: int = WINDOW_UNITS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, wrap: int = WRAP_WORDS, window: int = WINDOW_UNITS, alone: int | None = None) -> DataFrame:
     """docs with the lines of later repeated runs taken from `text`, and two columns more: `_removed`, the numbers of
     these lines from 0, and `_sources`, the documents where their runs stood first.
 
     A line goes if all its words lie in windows of `window` units that occur earlier, in a document with a lesser doc_id
     or further up in the same; units are lines or, after `wrap` words, parts of them, compared word for word. Blank lines
-    go with the line before them. Lines of texts shorter than a window stay, as do null and empty texts. A null doc_id
-    counts as least. Rows that repeat a doc_id and text are one document and lose the same lines. Other columns of docs
+    go with the line before them. With `alone`, a line of so many words or more also goes if it occurs earlier between any
+    neighbours; without, lines of texts shorter than a window stay. Null and empty texts stay. A null doc_id counts as
+    least. Rows that repeat a doc_id and text are one document and lose the same lines. Other columns of docs
     stay as they are, but for columns with the names of the two new ones. An empty table gives no rows.
     """
     docs = docs.drop("_removed", "_sources")
     own_id, own_key, starts = (unused(docs, n) for n in ("_line_doc", "_line_key", "_line_starts"))
-    later = repeated_windows(docs, wrap, window).groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
+    later = repeated_windows(docs, wrap, window, alone).groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
     later = saved(later.agg(F.collect_set("start").alias(starts), F.sort_array(F.collect_set("source")).alias("_sources")), "line_runs")
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(own_id)) & (text_key(F.col("text")) == F.col(own_key))
     joined = docs.join(later, same, "left").drop(own_id, own_key)

@@ -37,9 +37,9 @@ def op9_pack(spark, sf):
 @query
 def op5_winnow_lines(spark, sf):
     """What goes from each document, where it stood first, and a digest of what stays."""
-    from .line_dedup import without_repeated_lines
+    from .line_dedup import LINE_WORDS, without_repeated_lines
 
-    found = without_repeated_lines(table(spark, sf, "documents"))
+    found = without_repeated_lines(table(spark, sf, "documents"), alone=LINE_WORDS)
     rest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("rest_sha256")
     return found.select("doc_id", F.col("_removed").alias("removed_lines"), F.col("_sources").alias("source_docs"), rest)
 

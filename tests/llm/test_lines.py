@@ -73,3 +73,31 @@ def test_one_id_with_two_texts_and_clashing_columns(spark):
 
 def test_empty_table(frame):
     assert line_dedup.without_repeated_lines(frame([(1, "a")]).limit(0)).count() == 0
+
+
+def test_lines_alone_between_other_neighbours(spark, tmp_path):
+    from flowwarden.llm.queries import QUERIES
+
+    cc = "This work is licensed under the GNU license, version three or later."
+    long = prose(900, 31)
+    rows = [(d, "\n".join([prose(10 * d, 40), cc, prose(10 * d + 1, 40), long, prose(10 * d + 2, 3)])) for d in range(1, 5)]
+    rows += [(5, cc), (6, "x\nx"), (7, cc + " " + prose(7, 2)), (8, None), (9, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op5_winnow_lines"](spark, str(tmp_path)).collect()}
+    want = {1: [], 2: [1, 3], 3: [1, 3], 4: [1, 3], 5: [0], 6: [1], 7: [], 8: [], 9: []}
+    assert {d: r.removed_lines for d, r in got.items()} == want
+    assert got[4].source_docs == [1] and got[6].source_docs == [6]
+
+
+@pytest.mark.parametrize("least", [1, 9])
+def test_against_all_windows_and_lines(frame, least):
+    rows = corpus(3)
+    seen, want = set(), {d: set(gone) for (d, _), (gone, _) in brute(rows, 16, 3).items()}
+    for d, t in rows:
+        for n, line in enumerate(t.encode().split(b"\n")):
+            words = tuple(line.split())
+            if least <= len(words) <= 32:
+                want[d] |= {n} if words in seen else set()
+                seen.add(words)
+    got = {r.doc_id: set(r["_removed"]) for r in line_dedup.without_repeated_lines(frame(rows), alone=least).collect()}
+    assert got == want
