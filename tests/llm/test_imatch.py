@@ -68,3 +68,24 @@ def test_odd_rows(spark, frame):
     one = run(frame([(5, "abcdefgh")]))
     assert one[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one[0].near_next == 1.0
     assert run(frame([(1, "a")]).limit(0)) == []
+
+
+def test_groups_that_hold_much_of_the_table(frame):
+    rows = [(i, prose(i, 40, MANY)) for i in range(100)]  # other texts
+    copy, near = prose(500, 60), prose(501, 60).split()
+    rows += [(1000 + i, copy) for i in range(40)]  # equal texts
+    for i in range(40):  # near copies: another word in each
+        rows.append((2000 + i, " ".join(near[:i] + [f"own{i}"] + near[i + 1 :])))
+    got = {r.doc_id: r for r in run(frame(rows))}
+    assert not any(r.fingerprint.startswith("text:") for r in got.values())
+    copies, nears = ([got[a + i] for i in range(39)] for a in (1000, 2000))
+    assert all(r.near_next == 1.0 for r in copies)
+    assert min(r.near_edited for r in copies + nears) > 0.2
+    assert sum(r.near_next for r in nears) / len(nears) > 0.7
+    assert len({r.fingerprint for r in got.values()} - {r.fingerprint for r in copies}) > 100
+
+
+def test_copies_do_not_count_for_the_band(frame):
+    rows = [(i, prose(i, 40, MANY)) for i in range(50)] + [(100 + i, prose(3, 40, MANY)) for i in range(50)]
+    plain = {r.doc_id: r.fingerprint for r in run(frame(rows[:50]), most=1 / 5)}
+    assert {r.doc_id: r.fingerprint for r in run(frame(rows), most=1 / 5) if r.doc_id < 50} == plain
