@@ -78,8 +78,8 @@ def repeated_paragraphs(
     Paragraphs are lines of at least `least` words. Two are linked when 100 * shared shingles >= percent * all their
     k-word shingles; clusters are the connected components. Columns: doc_id, paragraph (line number from 0), start_byte,
     n_bytes, n_words, cluster_doc and cluster_paragraph (the cluster's first, by doc_id and number), n_paragraphs (of
-    the cluster), removed (all but the first) and kind: `paragraph`, or `passage` for what repeats inside paragraphs that
-    are in no cluster as a whole (see `passages`).
+    the cluster), removed (all but the first) and kind: `paragraph`, or `passage` for what repeats inside what is left
+    without the removed paragraphs (see `passages`).
 
     Null and empty texts have no paragraphs. Rows that repeat a doc_id and text are one document. A null doc_id counts
     as least. Other columns are ignored; an empty table gives no rows.
@@ -120,6 +120,7 @@ def repeated_paragraphs(
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("paragraph") == F.col("first.paragraph"))
     whole = out.select(
         "doc_id",
+        "text_key",
         "paragraph",
         "start_byte",
         "n_bytes",
@@ -130,6 +131,6 @@ def repeated_paragraphs(
         (~same).alias("removed"),
     )
     whole = saved(whole, "paragraph_repeats")
-    told = whole.select(F.col("doc_id").alias("d"), F.col("paragraph").alias("p")).distinct()
-    inside = repeated_passages(docs).join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("paragraph") == F.col("p")), "left_anti")
+    inside = repeated_passages(docs, whole.where("removed").select("doc_id", "text_key", "paragraph"))
+    whole = whole.drop("text_key")
     return whole.withColumn("kind", F.lit("paragraph")).unionByName(inside.withColumn("kind", F.lit("passage")))

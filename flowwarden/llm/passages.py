@@ -64,32 +64,37 @@ def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id").take(pa.array(owner)),
+                part.column("text_key").take(pa.array(owner)),
                 pa.array(hashes.view(np.int64)),
                 pa.array((paragraph << (_WORD_BITS + _SIZE_BITS)) + (place[begin] << _SIZE_BITS) + count),
                 pa.array(((first - text_at) << 24) + (last - first)),
             ],
-            names=["doc_id", "piece", "place", "extent"],
+            names=["doc_id", "text_key", "piece", "place", "extent"],
         )
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """doc_id, paragraph, start_byte, n_bytes, n_words, cluster_doc, cluster_paragraph, n_paragraphs and removed of each
-    run of LEAST_RUN words or more, in whole pieces, all of which occur elsewhere, too, in docs(doc_id, text).
+    run of LEAST_RUN words or more, in whole pieces, all of which occur elsewhere, too, in docs(doc_id, text, text_key)
+    outside the paragraphs of gone(doc_id, text_key, paragraph), which are removed as a whole.
 
     A run's cluster is the first place, by doc_id, where a piece of it stands; removed says whether that is elsewhere.
     Any passage of 50 words has three pieces, as a rule, whose cuts don't depend on the words around it.
     """
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        _pieces_of, "doc_id bigint, piece bigint, place bigint, extent bigint"
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "text_key").mapInArrow(
+        _pieces_of, "doc_id bigint, text_key bigint, piece bigint, place bigint, extent bigint"
     )
     # read twice rather than kept: pieces are small next to what a table of them all would take
     often = found.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").select("piece")
-    some = found.join(often, "piece").dropDuplicates(["doc_id", "piece", "place"])
-    some = saved(some, "passage_repeated")
-    here = F.struct("doc_id", "place")
+    some = found.join(often, "piece").dropDuplicates(["doc_id", "text_key", "piece", "place"])
+    gone = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("paragraph").alias("p")).distinct()
+    inside = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")) & (F.shiftright("place", _WORD_BITS + _SIZE_BITS) == F.col("p"))
+    some = saved(some.join(gone, inside, "left_anti"), "passage_repeated")
+    here = F.struct("doc_id", "text_key", "place")
     firsts = some.groupBy("piece").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1")
     some = some.join(firsts, "piece").select(
         "doc_id",
+        "text_key",
         F.shiftright("place", _WORD_BITS + _SIZE_BITS).cast("int").alias("paragraph"),
         F.shiftright("place", _SIZE_BITS).bitwiseAND((1 << _WORD_BITS) - 1).alias("word"),
         F.col("place").bitwiseAND((1 << _SIZE_BITS) - 1).alias("words"),
@@ -99,10 +104,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "n",
         (~here.eqNullSafe(F.col("first"))).alias("later"),
     )
-    along = Window.partitionBy("doc_id", "paragraph").orderBy("word")
+    along = Window.partitionBy("doc_id", "text_key", "paragraph").orderBy("word")
     new = F.when(F.lag(F.col("word") + F.col("words")).over(along) == F.col("word"), 0).otherwise(1)
     runs = some.withColumn("new", new).withColumn("run", F.sum("new").over(along))
-    runs = runs.groupBy("doc_id", "paragraph", "run").agg(
+    runs = runs.groupBy("doc_id", "text_key", "paragraph", "run").agg(
         F.min("byte").alias("start_byte"),
         (F.max(F.col("byte") + F.col("bytes")) - F.min("byte")).alias("n_bytes"),
         F.sum("words").alias("n_words"),

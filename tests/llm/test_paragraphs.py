@@ -77,3 +77,22 @@ def test_a_passage_of_equal_words_and_repeated_rows(frame):
     rows = [(1, "x " * 500), (1, "x " * 500), (2, prose(1, 100)), (2, prose(1, 100)), (3, None), (4, "")]
     got = paragraph_dedup.repeated_paragraphs(frame(rows)).collect()
     assert {r.doc_id for r in got} <= {1}
+
+
+def test_passages_in_the_kept_copy_of_a_paragraph(frame):
+    passage = prose(500, 60)
+    line = prose(1, 40) + " " + passage + " " + prose(2, 40)
+    rows = [(1, prose(3, 40) + " " + passage + " " + prose(4, 40)), (2, line), (3, "head\n" + line), (4, line + " tail")]
+    got = paragraph_dedup.repeated_paragraphs(frame(rows)).collect()
+    whole = {(r.doc_id, r.removed) for r in got if r.kind == "paragraph"}
+    inside = {(r.doc_id, r.cluster_doc, r.removed) for r in got if r.kind == "passage"}
+    assert whole == {(2, False), (3, True), (4, True)}
+    assert inside == {(1, 1, False), (2, 1, True)}
+
+
+def test_a_passage_is_kept_once_if_its_first_place_is_removed(frame):
+    passage, base = prose(500, 60), prose(1, 400).split()
+    rows = [(1, " ".join(base)), (2, " ".join(base[:200]) + " " + passage + " " + " ".join(base[200:])), (3, prose(2, 60) + " " + passage + " " + prose(3, 60))]
+    got = paragraph_dedup.repeated_paragraphs(frame(rows)).collect()
+    assert {(r.doc_id, r.removed) for r in got if r.kind == "paragraph"} == {(1, False), (2, True)}
+    assert not [r for r in got if r.doc_id == 3]  # the only place that stays
