@@ -96,3 +96,19 @@ def test_a_passage_is_kept_once_if_its_first_place_is_removed(frame):
     got = paragraph_dedup.repeated_paragraphs(frame(rows)).collect()
     assert {(r.doc_id, r.removed) for r in got if r.kind == "paragraph"} == {(1, False), (2, True)}
     assert not [r for r in got if r.doc_id == 3]  # the only place that stays
+
+
+def test_passages_over_short_lines_however_wrapped(frame):
+    def wrapped(words, n):
+        return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+    passage = prose(500, 70).split()
+    rows = [(d, prose(10 * d, 9) + "\n" + wrapped(passage, n) + "\n\n" + prose(10 * d + 1, 8)) for d, n in ((1, 9), (2, 9), (3, 6), (4, 70))]
+    rows += [(5, wrapped(prose(5, 90).split(), 7)), (6, "a\nb"), (7, None)]
+    got = paragraph_dedup.repeated_paragraphs(frame(rows)).collect()
+    assert {(r.doc_id, r.kind, r.cluster_doc, r.removed) for r in got} == {(d, "passage", 1, d > 1) for d in (1, 2, 3, 4)}
+    text = dict(rows)
+    for r in got:
+        part = text[r.doc_id].encode()[r.start_byte : r.start_byte + r.n_bytes].decode()
+        assert len(part.split()) == r.n_words >= 40 and " ".join(part.split()) in " ".join(passage)
+        assert text[r.doc_id].encode()[: r.start_byte].count(b"\n") == r.paragraph
