@@ -45,14 +45,19 @@ class WordEncoder:
     Words are encoded once and remembered, up to CACHE_WORDS of them; a word with a mark behind it is put together from
     both. The tokenizer lowers all letters and composes marks, so A-Z may be lowered first, and a word of letters of the
     Latin-1 range only goes straight to the merges, spelt in the printable letters that stand for bytes.
+
+    With `added`, the names of added tokens, such as <|endoftext|>, are these tokens, as the tokenizer takes them by itself;
+    words that hold one are left as they are for it. Without, they are text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        names = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.named = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.merge = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
         self.marks = {m: self._encode(m) for m in (b".", b",", b"!", b"?", b";", b":")}
@@ -85,7 +90,10 @@ class WordEncoder:
             end = at + _SLICE
             while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
                 end += 1
-            words = text[at:end].lower().split()
+            part = text[at:end].lower()
+            words = part.split()
+            if self.named and self.named.search(part):
+                words = [raw if self.named.search(w) else w for w, raw in zip(words, text[at:end].split())]
             ids = list(map(self.known.get, words))
             if None in ids:
                 new = self._learned({w for w, x in zip(words, ids) if x is None})
@@ -98,7 +106,7 @@ class WordEncoder:
 @functools.cache
 def _encoder(path: str) -> WordEncoder:
     """One for all tasks of a worker, with the words it remembers."""
-    return WordEncoder(path)
+    return WordEncoder(path, added=True)
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):

@@ -118,3 +118,11 @@ def test_empty_table(frame):
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", 3, 4, 5)], "doc_id bigint, text string, length int, rank int, bucket int")
     assert packing.pack(docs, PATH).first().length == 3
+
+
+def test_packed_ids_are_the_tokenizers_default(frame):
+    plain = Tokenizer.from_file(PATH)
+    texts = ["x <|endoftext|> y", "A<|startoftext|>b. <|endoftext|>.", "<|ENDOFTEXT|> Éa <|EndOfText|>, <|endoftext", STRANGE, "<|endoftext|>" * 3 + " " + prose(1, 9), "no name"]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(frame(list(enumerate(texts))), PATH, with_ids=True).collect()}
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert got[0] == [343, 49407, 344, 1]
