@@ -100,3 +100,13 @@ def op6_nbest(spark, sf):
     from .nbest import n_best
 
     return n_best(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_hard_negatives(spark, sf):
+    """Labels are shifted on every seventh row, as mislabelled data are."""
+    from .hard_negatives import hard_negatives, quantised
+
+    docs = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(quantised(docs.withColumn("label", moved)), F.col("vec_id") % 50 == 0)
