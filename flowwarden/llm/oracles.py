@@ -86,3 +86,58 @@ FROM positives JOIN scores USING (anchor_id)
 WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY rank <= 3
 """
+
+ORACLES["op13_quality"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), w AS (
+    SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM d
+), windows AS (
+    SELECT r, unnest(range(1, len(words) - 1)) AS i, unnest([array_to_string(words[i:i + 2], ' ') FOR i IN range(1, len(words) - 1)]) AS s
+    FROM w WHERE len(words) >= 3
+), twice AS (
+    SELECT r, s FROM windows GROUP BY r, s HAVING count(*) > 1
+), places AS (
+    SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS i FROM windows JOIN twice USING (r, s)
+), repeats AS (
+    SELECT r, count(*) AS n FROM places GROUP BY r
+), counts AS (
+    SELECT r, doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words
+    FROM w LEFT JOIN repeats USING (r)
+), judged AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+), measures AS (
+    SELECT r, lang, source, base_failed, unnest([
+        {'m': 1, 'v': word_chars * 1000 // greatest(n_words, 1)}, {'m': 2, 'v': n_symbols * 1000 // greatest(n_words, 1)},
+        {'m': 3, 'v': n_dup_lines * 1000 // greatest(n_lines, 1)}, {'m': 4, 'v': n_repeat_words * 1000 // greatest(n_words, 1)}], recursive := true)
+    FROM judged
+), cells AS (
+    SELECT *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS cell FROM measures WHERE NOT base_failed
+), groups AS (
+    SELECT 1 AS level, lang, source, m, cell, count(*) AS n FROM cells GROUP BY ALL
+    UNION ALL SELECT 2, lang, NULL, m, cell, count(*) FROM cells GROUP BY ALL
+    UNION ALL SELECT 3, NULL, NULL, m, cell, count(*) FROM cells GROUP BY ALL
+), running AS (
+    SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY level, lang, source, m) AS docs
+    FROM groups
+), quartiles AS (
+    SELECT level, lang, source, m, max(docs) AS docs, min(cell) FILTER (4 * upto >= docs) AS q1, min(cell) FILTER (4 * upto >= 3 * docs) AS q3
+    FROM running GROUP BY level, lang, source, m
+), fences AS (
+    SELECT *, q3 + greatest(3 * (q3 - q1), CASE m WHEN 1 THEN 2000 WHEN 2 THEN 100 WHEN 3 THEN 500 ELSE 300 END) AS high,
+        CASE WHEN m = 1 THEN q1 - greatest(3 * (q3 - q1), 2000) ELSE 0 END AS low
+    FROM quartiles
+), verdicts AS (
+    SELECT x.r, bool_and(CASE WHEN a.docs >= 100 THEN v BETWEEN a.low AND a.high WHEN b.docs >= 100 THEN v BETWEEN b.low AND b.high
+        ELSE v BETWEEN c.low AND c.high END) AS inside
+    FROM measures x JOIN fences a ON a.level = 1 AND a.m = x.m AND a.lang IS NOT DISTINCT FROM x.lang AND a.source IS NOT DISTINCT FROM x.source
+    JOIN fences b ON b.level = 2 AND b.m = x.m AND b.lang IS NOT DISTINCT FROM x.lang JOIN fences c ON c.level = 3 AND c.m = x.m
+    GROUP BY x.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, false) AS kept
+FROM judged LEFT JOIN verdicts USING (r)
+"""

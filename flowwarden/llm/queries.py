@@ -110,3 +110,10 @@ def op12_hard_negatives(spark, sf):
     docs = table(spark, sf, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(quantised(docs.withColumn("label", moved)), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op13_quality(spark, sf):
+    from .quality import quality
+
+    return quality(table(spark, sf, "documents"))
