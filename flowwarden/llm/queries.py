@@ -117,3 +117,10 @@ def op13_quality(spark, sf):
     from .quality import quality
 
     return quality(table(spark, sf, "documents"))
+
+
+@query
+def op11_treap_search(spark, sf):
+    from .treap_index import ranked_search
+
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -25,13 +25,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(
+    texts: list[bytes | None], lower: bool = True, between: np.ndarray = _IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words; for each text the place of its first word (one place more than texts); the words' first
-    bytes in the texts joined by line feeds; and these joined texts."""
+    bytes in the texts joined by line feeds; and these joined texts. `between` tells the bytes that are in no word, among
+    them the line feed."""
     data = np.frombuffer(b"\n".join([t or b"" for t in texts] + [b""]), np.uint8)
     sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
     begins = np.concatenate(([0], np.cumsum(sizes)))
-    space = _IS_SPACE[data]
+    space = between[data]
     inner = ~space
     first = inner.copy()
     first[1:] &= space[:-1]
