@@ -1,13 +1,14 @@
 """Language identification by unigram piece models that sum over all segmentations of a text.
 
-Pieces come from a fixed public vocabulary. Words are letter runs in lower case with the vocabulary's word mark before
+Pieces come from a fixed public vocabulary. Words are runs of letters in lower case with the vocabulary's word mark before
 them. A word's probability in a language is the sum over all ways to cut it into pieces of the product of the pieces'
 probabilities, computed by the forward algorithm; a text's is the product over its words.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -18,18 +19,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import pieces as small_batches
+from .common import saved
+from .textops import ORDER, mix64
 
 UNKNOWN = "und"
 MARK = "▁"
-#: Longer letter runs are taken in stretches of so many letters; sums over more would leave the range of doubles.
-STRETCH = 40
+#: Words up to so many letters are summed in plain numbers, longer ones in logarithms: their sums leave the range of doubles.
+PLAIN = 40
 LEAST = 1e-7
 SMOOTHING = 0.5
-#: Words whose probabilities a worker remembers.
-CACHE_WORDS = 150_000
+#: Numbers that a worker remembers of words it has scored, one per word and language.
+CACHE_VALUES = 1_200_000
+#: The commonest training words whose scores go to all workers.
+COMMON_WORDS = 100_000
 _UNIT = 1_000_000  # expected counts are added up as whole millionths, so their sum doesn't depend on the order
-_WORD = re.compile(r"[^\W\d_]+")
 _SLICE = 1 << 20
+_CELLS = 1 << 21  # places of words that are summed at once
 _TABLE_BITS = 18
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,7 +55,7 @@ class Lattice:
         self.mark = mark  # stands before each word
         self.longest = max(map(len, vocab))
         self.unknown = len(vocab)  # stands for a letter that no piece has
-        hashes = np.array([self._hash(p) for p in vocab], np.uint64)
+        hashes = self._hashes(vocab)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.ids = hashes[order], order.astype(np.int64)
         self.first = np.searchsorted(self.hashes >> np.uint64(64 - _TABLE_BITS), np.arange((1 << _TABLE_BITS) + 1).astype(np.uint64))
@@ -61,11 +66,14 @@ class Lattice:
         h = (h ^ c) * _M
         return h ^ (h >> np.uint64(29))
 
-    def _hash(self, piece: str) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in piece:
-            h = self._step(h, np.array([ord(c) + 1], np.uint64))
-        return (h * _M)[0]
+    def _hashes(self, vocab: list[str]) -> np.ndarray:
+        lengths = np.array([len(p) for p in vocab])
+        codes = np.zeros((len(vocab), self.longest), np.uint64)
+        codes[np.arange(self.longest) < lengths[:, None]] = np.frombuffer("".join(vocab).encode("utf-32-le"), np.uint32)
+        h = np.zeros(len(vocab), np.uint64)
+        for i in range(self.longest):
+            h = np.where(i < lengths, self._step(h, codes[:, i] + np.uint64(1)), h)
+        return h * _M
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         h = h * _M
@@ -114,38 +122,75 @@ class Lattice:
                     found[e].append((n, word[at[part]], ids[part]))
         return order, lengths, found
 
+    def _blocks(self, words: list[str]) -> Iterator[list[int]]:
+        """Places of words of like length, of which a table with a row per letter stays small."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        block, plain = [], True
+        for i in order:
+            n = len(words[i])
+            if block and ((len(block) + 1) * (n + 2) > _CELLS or plain != (n <= PLAIN)):
+                yield block
+                block = []
+            plain = n <= PLAIN
+            block.append(i)
+        if block:
+            yield block
+
     def forward(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """log of the sum over all segmentations, a row per word and a column per column of probs[piece, model]."""
-        order, lengths, found = self.edges(words)
-        alpha = np.zeros((int(lengths.max()) + 1, len(words), probs.shape[1]))
-        alpha[0] = 1
-        for e in range(1, len(alpha)):
-            for n, word, ids in found[e]:
-                alpha[e][word] += alpha[e - n][word] * probs[ids]
         out = np.empty((len(words), probs.shape[1]))
-        out[order] = np.log(np.maximum(alpha[lengths, np.arange(len(words))], 1e-300))
+        logs = None
+        for block in self._blocks(words):
+            order, lengths, found = self.edges([words[i] for i in block])
+            alpha = np.zeros((int(lengths.max()) + 1, len(block), probs.shape[1]))
+            if len(alpha) <= PLAIN + len(self.mark) + 1:
+                alpha[0] = 1
+                for e in range(1, len(alpha)):
+                    for n, word, ids in found[e]:
+                        alpha[e][word] += alpha[e - n][word] * probs[ids]
+                total = np.log(alpha[lengths, np.arange(len(block))])
+            else:
+                logs = np.log(probs) if logs is None else logs
+                alpha[1:] = -np.inf
+                for e in range(1, len(alpha)):
+                    for n, word, ids in found[e]:
+                        alpha[e][word] = np.logaddexp(alpha[e][word], alpha[e - n][word] + logs[ids])
+                total = alpha[lengths, np.arange(len(block))]
+            out[np.array(block)[order]] = total
         return out
 
     def expected(self, words: list[str], probs: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """How often each piece is expected, each word counting by its row of weights[word, model]; probs[piece]."""
-        order, lengths, found = self.edges(words)
-        size = int(lengths.max()) + 1
-        alpha, beta = np.zeros((size, len(words))), np.zeros((size, len(words)))
-        alpha[0] = 1
-        for e in range(1, size):
-            for n, word, ids in found[e]:
-                alpha[e][word] += alpha[e - n][word] * probs[ids]
-        beta[lengths, np.arange(len(words))] = 1
-        total = np.maximum(alpha[lengths, np.arange(len(words))], 1e-300)
-        weights = weights[order]
         out = np.zeros((len(probs), weights.shape[1]))
-        for e in range(size - 1, 0, -1):
-            for n, word, ids in found[e]:
-                through = beta[e][word] * probs[ids]
-                beta[e - n][word] += through
-                share = alpha[e - n][word] * through / total[word]
-                for j in range(weights.shape[1]):
-                    out[:, j] += np.bincount(ids, share * weights[word, j], len(probs))
+        for block in self._blocks(words):
+            order, lengths, found = self.edges([words[i] for i in block])
+            size, last = int(lengths.max()) + 1, (lengths, np.arange(len(block)))
+            own = weights[np.array(block)[order]]
+            alpha, beta = np.zeros((size, len(block))), np.zeros((size, len(block)))
+            plain = size <= PLAIN + len(self.mark) + 1
+            value = probs if plain else np.log(probs)
+            if not plain:
+                alpha[:], beta[:] = -np.inf, -np.inf
+            alpha[0], beta[last] = (1, 1) if plain else (0, 0)
+            for e in range(1, size):
+                for n, word, ids in found[e]:
+                    if plain:
+                        alpha[e][word] += alpha[e - n][word] * value[ids]
+                    else:
+                        alpha[e][word] = np.logaddexp(alpha[e][word], alpha[e - n][word] + value[ids])
+            total = alpha[last]
+            for e in range(size - 1, 0, -1):
+                for n, word, ids in found[e]:
+                    if plain:
+                        through = beta[e][word] * value[ids]
+                        beta[e - n][word] += through
+                        share = alpha[e - n][word] * through / total[word]
+                    else:
+                        through = beta[e][word] + value[ids]
+                        beta[e - n][word] = np.logaddexp(beta[e - n][word], through)
+                        share = np.exp(alpha[e - n][word] + through - total[word])
+                    for j in range(weights.shape[1]):
+                        out[:, j] += np.bincount(ids, share * own[word, j], len(probs))
         return out
 
 
@@ -155,47 +200,86 @@ def prior(size: int) -> np.ndarray:
     return np.maximum(np.append(p / p.sum(), LEAST), LEAST)
 
 
-def words_of(text: str) -> Iterator[list[str]]:
-    """The words of the whole text, slice after slice."""
-    at = 0
-    while at < len(text):
-        end = at + _SLICE
-        while end < len(text) and text[end].isalpha():
-            end += 1
-        words = _WORD.findall(text[at:end].lower())
-        if any(len(w) > STRETCH for w in words):
-            words = [w[i : i + STRETCH] for w in words for i in range(0, len(w), STRETCH)]
-        yield words
-        at = end
-
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def _stretches(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The texts in lower case in groups of about _SLICE letters, long ones cut between words, and whose they are."""
+    own, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        whole = (text or b"").decode().lower()
+        at = 0
+        while at < len(whole):
+            end = min(at + _SLICE, len(whole))
+            while end < len(whole) and whole[end].isalpha():
+                end += 1
+            own.append(i)
+            parts.append(whole[at:end])
+            size += end - at
+            at = end
+            if size >= _SLICE:
+                yield np.array(own), parts
+                own, parts, size = [], [], 0
+    if parts:
+        yield np.array(own), parts
+
+
+class _Words:
+    """The words of stretches of text: hashes, where each begins in `whole`, its length, and each stretch's first word."""
+
+    def __init__(self, parts: list[str]):
+        self.whole = "\n".join([*parts, ""])
+        codes = np.frombuffer(self.whole.encode("utf-32-le"), np.uint32)
+        inner = _letters()[codes]
+        first = inner.copy()
+        first[1:] &= ~inner[:-1]
+        self.start = np.flatnonzero(first)
+        begins = np.cumsum([0, *[len(p) + 1 for p in parts]])
+        self.bounds = np.searchsorted(self.start, begins)
+        at = np.flatnonzero(inner)
+        head = np.flatnonzero(first[at])
+        self.length = np.diff(np.append(head, len(at)))
+        if not len(head):
+            self.hash = np.zeros(0, np.uint64)
+            return
+        place = np.arange(len(at)) - np.repeat(head, self.length)
+        turn = (place // len(ORDER)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        value = mix64((codes[at].astype(np.uint64) + np.uint64(1)) * ORDER[place % len(ORDER)] * turn)
+        self.hash = mix64(np.add.reduceat(value, head) + self.length.astype(np.uint64))
+
+    def text(self, i: int) -> str:
+        return self.whole[self.start[i] : self.start[i] + self.length[i]]
+
+
+def _hash_of(words: list[str]) -> np.ndarray:
+    return _Words(words).hash
+
+
+def _counted(hold: int = 150_000):
+    """How often each word stands in the texts of each language: counts of a task's own texts, to be added up."""
 
-def _learn(vocab: list[str], block: int = 20_000, hold: int = 80_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, probs = Lattice(vocab), prior(len(vocab))
         counts: dict[str, Counter] = {}
 
         def flush() -> pa.RecordBatch:
-            names, ids, sums = [], [], []
-            for lang, own in counts.items():
-                words, n = list(own), np.fromiter(own.values(), float, len(own))
-                out = np.zeros(len(probs))
-                for i in range(0, len(words), block):
-                    out += lattice.expected(words[i : i + block], probs, n[i : i + block, None])[:, 0]
-                whole = np.rint(out * _UNIT).astype(np.int64)
-                some = np.flatnonzero(whole)
-                names += [lang] * len(some)
-                ids.append(some)
-                sums.append(whole[some])
+            langs = [lang for lang, own in counts.items() for _ in own]
+            arrays = [pa.array(langs, pa.string()), pa.array([w for own in counts.values() for w in own], pa.string())]
+            arrays.append(pa.array([n for own in counts.values() for n in own.values()], pa.int64()))
             counts.clear()
-            empty = [np.zeros(0, np.int64)]
-            arrays = [pa.array(names, pa.string()), pa.array(np.concatenate(ids or empty)), pa.array(np.concatenate(sums or empty))]
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "piece", "n"])
+            return pa.RecordBatch.from_arrays(arrays, names=["lang", "word", "n"])
 
         for part, texts in small_batches(batches, "text"):
-            for lang, text in zip(part.column("lang").to_pylist(), texts):
+            langs = part.column("lang").to_pylist()
+            for lang in sorted(set(langs)):
                 own = counts.setdefault(lang, Counter())
-                for words in words_of(text.decode()):
-                    own.update(words)
+                for _, parts in _stretches([t for t, x in zip(texts, langs) if x == lang]):
+                    words = _Words(parts)
+                    _, at, n = np.unique(words.hash, return_index=True, return_counts=True)
+                    for i, k in zip(at.tolist(), n.tolist()):
+                        own[words.text(i)] += k
             if sum(map(len, counts.values())) > hold:
                 yield flush()
         yield flush()
@@ -203,74 +287,134 @@ def _learn(vocab: list[str], block: int = 20_000, hold: int = 80_000):
     return run
 
 
-def train(docs: DataFrame, vocab: list[str]) -> tuple[list[str], np.ndarray]:
-    """Languages and probabilities[piece, language] learnt from all of docs(text, lang) where both are given.
+def _expected(vocab: list[str], block: int = 20_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, probs = _lattice(vocab), prior(len(vocab))
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            for lang in sorted(set(langs)):
+                own = np.flatnonzero(langs == lang)
+                total = sums.setdefault(lang, np.zeros(len(probs)))
+                for i in range(0, len(own), block):
+                    part = batch.take(pa.array(own[i : i + block]))
+                    n = part.column("n").to_numpy().astype(float)
+                    total += lattice.expected(part.column("word").to_pylist(), probs, n[:, None])[:, 0]
+        for lang, total in sums.items():
+            whole = np.rint(total * _UNIT).astype(np.int64)
+            some = np.flatnonzero(whole)
+            arrays = [pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(whole[some])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "piece", "n"])
+
+    return run
 
-    One step of expectation and maximisation from `prior`: tasks sum the expected piece counts of their own words. What
-    reaches the driver is a number for each piece and language.
-    """
+
+_LATTICES: dict[tuple, Lattice] = {}
+
+
+def _lattice(vocab: list[str]) -> Lattice:
+    """One lattice for all tasks of a worker."""
+    key = (len(vocab), hash(tuple(vocab)))
+    if key not in _LATTICES:
+        _LATTICES.clear()
+        _LATTICES[key] = Lattice(vocab)
+    return _LATTICES[key]
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word, n over all of docs(text, lang) where both are given."""
     docs = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    sums = docs.mapInArrow(_learn(vocab), "lang string, piece bigint, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(_counted(), "lang string, word string, n bigint")
+    return counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, vocab: list[str]) -> tuple[list[str], np.ndarray, list[str]]:
+    """Languages, probabilities[piece, language] and the commonest words, learnt from all of docs(text, lang).
+
+    One step of expectation and maximisation from `prior`: words are counted first, so that each distinct word of a language
+    is cut up once, however often it stands anywhere. What reaches the driver is a number for each piece and language, and
+    COMMON_WORDS words at most.
+    """
+    counts = saved(word_counts(docs), "lang_words")
+    sums = counts.mapInArrow(_expected(vocab), "lang string, piece bigint, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     rows = sums.toPandas()
     langs = sorted(set(rows["lang"]))
-    counts = np.full((len(vocab) + 1, len(langs)), SMOOTHING)
+    out = np.full((len(vocab) + 1, len(langs)), SMOOTHING)
     place = {lang: i for i, lang in enumerate(langs)}
-    counts[rows["piece"].to_numpy(int), [place[x] for x in rows["lang"]]] += rows["n"].to_numpy(float) / _UNIT
-    counts[-1] = SMOOTHING  # unknown letters tell nothing
-    return langs, np.maximum(counts / counts.sum(axis=0), LEAST)
+    out[rows["piece"].to_numpy(int), [place[x] for x in rows["lang"]]] += rows["n"].to_numpy(float) / _UNIT
+    out[-1] = SMOOTHING  # unknown letters tell nothing
+    often = counts.where(F.length("word") <= PLAIN).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
+    common = [r["word"] for r in often.limit(COMMON_WORDS).select("word").collect()]
+    return langs, np.maximum(out / out.sum(axis=0), LEAST), common
+
+
+class _Scorer:
+    """Scores of words in all languages; remembers what it has scored, up to a number of values."""
+
+    def __init__(self, vocab: list[str], probs: np.ndarray, common: tuple[np.ndarray, np.ndarray]):
+        self.lattice, self.probs = _lattice(vocab), probs
+        self.first = self.keys, self.values = common
+
+    def logs(self, words: _Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A row for each of the distinct sorted `hashes`, whose words stand at places `at`."""
+        out = np.empty((len(hashes), self.probs.shape[1]))
+        place = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
+        known = self.keys[place] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        out[known] = self.values[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = self.lattice.forward([words.text(i) for i in at[new]], self.probs)
+            if self.values.size + out[new].size > CACHE_VALUES:
+                self.keys, self.values = self.first  # begin anew with the common words
+            if self.values.size + out[new].size <= CACHE_VALUES:
+                spot = np.searchsorted(self.keys, hashes[new])
+                self.keys, self.values = np.insert(self.keys, spot, hashes[new]), np.insert(self.values, spot, out[new], axis=0)
+        return out
 
 
-def _predict(vocab: list[str], langs: list[str], probs: np.ndarray, columns: list[str], names: list[str], block: int = 20_000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocab)
-        known: dict[str, int] = {}
-        table = np.zeros((CACHE_WORDS + 1, len(langs)))
-
-        def score(words: list[str]) -> np.ndarray:
-            places = list(map(known.get, words))
-            if None not in places:
-                return table[places].sum(axis=0)
-            missing = Counter(w for w, x in zip(words, places) if x is None)
-            new = list(missing)
-            total = table[[x for x in places if x is not None]].sum(axis=0)
-            for i in range(0, len(new), block):
-                part = new[i : i + block]
-                logs = lattice.forward(part, probs)
-                total = total + np.array([missing[w] for w in part], float) @ logs
-                if room := max(0, CACHE_WORDS - len(known)):
-                    first = len(known)
-                    table[first : first + min(room, len(part))] = logs[:room]
-                    known.update(zip(part[:room], range(first, first + room)))
-            return total
-
-        def learn(texts: list[list[str]]) -> None:
-            """Remembers the words of many texts in one go."""
-            new = list({w for words in texts for w in words if w not in known})[: CACHE_WORDS - len(known)]
-            for i in range(0, len(new), block):
-                part = new[i : i + block]
-                table[len(known) : len(known) + len(part)] = lattice.forward(part, probs)
-                known.update(zip(part, range(len(known), len(known) + len(part))))
+_SCORERS: dict[str, _Scorer] = {}
+
 
+def _predict(
+    model: str, vocab: list[str], langs: list[str], probs: np.ndarray, common: tuple[np.ndarray, np.ndarray], columns: list[str], names: list[str]
+):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if model not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[model] = _Scorer(vocab, probs, common)
+        scorer = _SCORERS[model]
         for part, texts in small_batches(batches, "text"):
-            slices = [list(words_of(t.decode())) if t else [] for t in texts]
-            if langs and len(known) < CACHE_WORDS:
-                learn([words for own in slices for words in own])
-            best, scores = [], []
-            for own in slices:
-                if not langs or not any(w.isalpha() for words in own for w in words):
-                    best.append(UNKNOWN)
-                    scores.append(0.0)
+            logs, letters = np.zeros((len(texts), len(langs))), np.zeros(len(texts), np.int64)
+            for own, parts in _stretches(texts) if langs else ():
+                words = _Words(parts)
+                if not len(words.hash):
                     continue
-                logs = sum(score(words) for words in own)
-                i = int(np.argmax(logs))
-                best.append(langs[i])
-                scores.append(float(1 / np.exp(logs - logs[i]).sum()))
+                hashes, at, place = np.unique(words.hash, return_index=True, return_inverse=True)
+                each = scorer.logs(words, hashes, at)[place]
+                n = np.diff(words.bounds)
+                some = np.flatnonzero(n)
+                np.add.at(logs, own[some], np.add.reduceat(each, words.bounds[some], axis=0))
+                np.add.at(letters, own[some], n[some])
+            best, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            for i in np.flatnonzero(letters):
+                top = int(np.argmax(logs[i]))
+                best[i], scores[i] = langs[top], 1 / np.exp(logs[i] - logs[i][top]).sum()
             arrays = [part.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=columns + names)
 
     return run
 
 
+def _common_scores(vocab: list[str], probs: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of words and their scores."""
+    if not words or not probs.shape[1]:
+        return np.zeros(0, np.uint64), np.zeros((0, probs.shape[1]))
+    words = words[: CACHE_VALUES // (2 * probs.shape[1])]
+    hashes, logs = _hash_of(words), Lattice(vocab).forward(words, probs)
+    order = np.argsort(hashes)
+    return hashes[order], logs[order]
+
+
 def held_out(doc_id) -> F.Column:
     """Whether a document is kept from training. A null id is."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -281,13 +425,14 @@ def identify(
 ) -> DataFrame:
     """`columns` of docs, and the language and score of docs(text) under `names`, learnt from labelled(text, lang).
 
-    The score is the language's share of the likelihood of the whole text under all languages. A text that is null or
-    has no letter is `und` with score 0, and so is every text if nothing is labelled; of equal scores the first language
+    The score is the language's share of the likelihood of the whole text under all languages. Words are told by 64-bit
+    hashes, and cut up as they stand, however long. A text that is null or has no letter is `und` with score 0, and so is every text if nothing is labelled; of equal scores the first language
     in the alphabet wins. Digits, marks and white space count for nothing. Each row is judged by its own text alone, so
     repeated rows are judged alike. Other columns are ignored; an empty table gives no rows.
     """
     vocab = vocabulary(model_file)
-    langs, probs = train(labelled, vocab)
+    langs, probs, words = train(labelled, vocab)
+    common = _common_scores(vocab, probs, words)
     docs = docs.select(*dict.fromkeys([*columns, "text"]))
     schema = T.StructType([docs.schema[c] for c in columns]).add(names[0], "string").add(names[1], "double")
-    return docs.mapInArrow(_predict(vocab, langs, probs, list(columns), list(names)), schema)
+    return docs.mapInArrow(_predict(uuid.uuid4().hex, vocab, langs, probs, common, list(columns), list(names)), schema)

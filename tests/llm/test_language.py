@@ -30,6 +30,46 @@ def every_cut(word, vocab, mark=lang_id.MARK):
 WORDS_ = ["a", "the", "éçan", "日本", "ŵxyz", "tion", "the"]
 
 
+def by_place(word, logs):
+    """log of the sum over all segmentations, place by place in Python's floats."""
+    place, text = {p: i for i, p in enumerate(VOCAB)}, lang_id.MARK + word
+    longest, sums = max(map(len, VOCAB)), [0.0]
+    for end in range(1, len(text) + 1):
+        terms = []
+        for start in range(max(0, end - longest), end):
+            i = place.get(text[start:end], len(VOCAB) if start == end - 1 else None)
+            if i is not None:
+                terms.append(sums[start] + logs[i])
+        top = max(terms)
+        sums.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return sums[-1]
+
+
+def test_long_words_are_summed_whole():
+    words = ["日本語" * 30, "a" * 39, "b" * 40, "c" * 41, "thetion" * 100, "ŵ" * 500, "the"]
+    probs = np.stack([lang_id.prior(len(VOCAB)), lang_id.prior(len(VOCAB))[::-1]], 1)
+    got = lang_id.Lattice(VOCAB).forward(words, probs)
+    for w, row in zip(words, got):
+        for j in (0, 1):
+            assert math.isclose(row[j], by_place(w, np.log(probs[:, j])), rel_tol=1e-9)
+
+
+def test_expected_counts_of_long_words():
+    # the pieces expected in a word cover it, whatever its length: pieces times their lengths add up to it
+    sizes = np.array([*[len(p) for p in VOCAB], 1])
+    for word in ("thetion" * 100, "ŵ" * 500, "日本語" * 30, "the"):
+        got = lang_id.Lattice(VOCAB).expected([word], lang_id.prior(len(VOCAB)), np.array([[3.0]]))[:, 0]
+        assert math.isclose(got @ sizes, 3 * (len(word) + len(lang_id.MARK)), rel_tol=1e-9)
+
+
+def test_texts_with_letters_beside_numbers(frame):
+    labelled = frame([(1, "x m the cat", "en"), (2, "le chat le chien", "fr")]).select("text", "lang")
+    rows = [(1, "x² m²"), (2, "x m"), (3, "½ ² 12 ⅷ"), (4, "日本語の文章です" * 40), (5, "ไทยไม่มีช่องว่าง" * 30), (6, "the2cat"), (7, "the cat"), (8, "ÄÖ İI")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.identify(frame(rows), labelled, PATH).collect()}
+    assert got[1] == got[2] and got[6] == got[7] and got[3] == ("und", 0.0)
+    assert all(got[i][0] in ("en", "fr") for i in (1, 4, 5, 6, 8))
+
+
 def test_forward_sums_over_all_segmentations():
     probs = np.stack([lang_id.prior(len(VOCAB)), lang_id.prior(len(VOCAB))[::-1]], 1)
     got = lang_id.Lattice(VOCAB).forward(WORDS_, probs)
@@ -86,7 +126,7 @@ def test_room_to_remember_makes_no_difference(frame, monkeypatch):
     docs = frame([(i, t) for i, t in enumerate(["the cat", "the dog le chat", "la maison the cat", "zzz"])])
     labelled = frame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr")]).select("text", "lang")
     want = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.identify(docs, labelled, PATH).collect()}
-    probs, langs = (x := lang_id.train(labelled, VOCAB))[1], x[0]
+    langs, probs, _ = lang_id.train(labelled, VOCAB)
     place = {p: i for i, p in enumerate(VOCAB)}
 
     @functools.cache
