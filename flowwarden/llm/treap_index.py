@@ -1,13 +1,15 @@
 """Ranked lexical search on K2-treaps: quadtrees over the grid of terms and documents whose cells store impact maxima.
 
-Documents are taken in shards. A shard's grid has a row per term, the commonest first, and a column per document, the
-shortest first; a point's value is the impact of the term in the document. Cells without points are not stored, a cell's
-maximum is stored as its distance from its parent's. A query follows the row paths of its terms together down the column
+Documents are taken in shards. A shard's grid has a row per term, the commonest first, those of like frequency by their
+first document, and a column per document, the shortest first; a point's value is the impact of the term in the document.
+So points lie in few cells. Cells without points are not stored, a cell's maximum is stored as its distance from its
+parent's. A query follows the row paths of its terms together down the column
 ranges, best bound first, and ends when no range left can reach the answers it has.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ from .textops import per_text, words_of
 
 TOP = 50
 #: Terms of the documents of a shard, roughly: what a task holds while it builds one.
-SHARD_TERMS = 4_000_000
+SHARD_TERMS = 1_000_000
 #: Queries that go down a shard one after the other; a block of them is one row.
 BLOCK_ITEMS = 512
 #: Blocks whose answers so far a task keeps, to prune in the next shard. Others begin anew there.
@@ -35,7 +37,7 @@ INDEX = (
 )
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[48:58] = _BETWEEN[65:91] = _BETWEEN[97:123] = _BETWEEN[128:] = False
-_BITS = np.array([bin(i).count("1") for i in range(16)], np.int32)
+_BITS = np.array([bin(i).count("1") for i in range(16)], np.uint8)
 _LAST = np.iinfo(np.int64).max
 
 
@@ -72,7 +74,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 def build_treap(row: np.ndarray, column: np.ndarray, value: np.ndarray) -> tuple[int, int, bytes, bytes]:
     """Height, greatest value, child masks of all inner cells (half a byte each) and the distance of each cell's maximum
-    from its parent's, cells in order of level and place. Points are distinct."""
+    from its parent's, cells in order of level and place, both compressed. Points are distinct."""
     height = max(1, int(max(row.max(), column.max())).bit_length())
     code = (_spread(row) << np.uint64(1)) | _spread(column)
     order = np.argsort(code)
@@ -87,32 +89,34 @@ def build_treap(row: np.ndarray, column: np.ndarray, value: np.ndarray) -> tuple
         code, top = parent[start], above
     flat = np.concatenate(masks[::-1])
     flat = np.append(flat, np.zeros(len(flat) & 1, np.uint8))
-    return height, int(top[0]), (flat[::2] | (flat[1::2] << 4)).tobytes(), np.concatenate(drops[::-1]).tobytes()
+    packed = (flat[::2] | (flat[1::2] << 4)).tobytes()
+    return height, int(top[0]), zlib.compress(packed, 1), zlib.compress(np.concatenate(drops[::-1]).tobytes(), 1)
 
 
 class Treap:
     """A shard's quadtree, opened for search."""
 
     def __init__(self, height: int, greatest: int, masks: bytes, drops: bytes, docs: np.ndarray):
-        packed = np.frombuffer(masks, np.uint8)
+        packed = np.frombuffer(zlib.decompress(masks), np.uint8)
         nibbles = np.empty(2 * len(packed), np.uint8)
         nibbles[::2], nibbles[1::2] = packed & 15, packed >> 4
-        drops = np.frombuffer(drops, np.int32)
+        drops = np.frombuffer(zlib.decompress(drops), np.int32)
         self.height = height
         self.missing = len(drops) + 1  # stands for a cell without points
-        self.top = np.zeros(self.missing + 1, np.int64)
+        self.top = np.zeros(self.missing + 1, np.int32)  # impacts are a million at most
         self.top[0] = greatest
         kids = _BITS[nibbles]
         inner, begin, size = 0, 0, 1
         for _ in range(height):
             n = kids[begin : begin + size]
-            first = begin + size
-            self.top[first : first + n.sum()] = np.repeat(self.top[begin : begin + size], n) - drops[first - 1 : first - 1 + n.sum()]
-            inner, begin, size = inner + size, first, int(n.sum())
+            first, below = begin + size, int(n.sum(dtype=np.int64))
+            self.top[first : first + below] = np.repeat(self.top[begin : begin + size], n) - drops[first - 1 : first - 1 + below]
+            inner, begin, size = inner + size, first, below
         self.masks = np.zeros(self.missing + 1, np.uint8)
         self.masks[:inner] = nibbles[:inner]
-        self.child = np.zeros(self.missing + 1, np.int64)
-        self.child[:inner] = 1 + np.concatenate(([0], np.cumsum(kids[:inner])[:-1]))
+        self.child = np.zeros(self.missing + 1, np.int32)
+        self.child[0] = 1
+        self.child[1:inner] = 1 + np.cumsum(kids[: inner - 1], dtype=np.int32)
         # the least id in each column range of each level, to tell which of equal scores can still count
         least = [np.append(docs, np.full((1 << height) - len(docs), _LAST))] if height < 22 else None
         while least and len(least) <= height:
@@ -123,9 +127,9 @@ class Treap:
         """The best k of what is known already (score, name) and this shard's documents: highest first, of equal scores the
         least ids."""
         need, last = (int(score[k - 1]), int(name[k - 1])) if len(score) >= k else (1, _LAST)
-        nodes = np.zeros((1, len(rows)), np.int64)
+        nodes = np.zeros((1, len(rows)), np.int32)
         level, column = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        bound = np.array([self.top[0] * weights.sum()])
+        bound = np.array([int(self.top[0]) * int(weights.sum())])
         while True:
             useful = bound >= need
             if self.least is not None and useful.any():
@@ -143,11 +147,11 @@ class Treap:
                 now, later = np.arange(len(bound)), np.zeros(0, np.int64)
             own, at, place = nodes[now], level[now], column[now]
             bit = (rows[None, :] >> (self.height - 1 - at)[:, None]) & 1
-            mask, first = self.masks[own].astype(np.int64), self.child[own]
+            mask, first = self.masks[own], self.child[own]
             parts = [(nodes[later], level[later], column[later], bound[later])]
             for side in (0, 1):
-                quarter = 2 * bit + side
-                child = np.where((mask >> quarter) & 1 > 0, first + _BITS[mask & ((1 << quarter) - 1)], self.missing)
+                quarter = (2 * bit + side).astype(np.uint8)
+                child = np.where((mask >> quarter) & 1 > 0, first + _BITS[mask & ((np.uint8(1) << quarter) - np.uint8(1))], self.missing).astype(np.int32)
                 parts.append((child, at + 1, 2 * place + side, self.top[child] @ weights))
             nodes, level, column, bound = (np.concatenate(p) for p in zip(*parts))
             leaf = level == self.height
@@ -173,7 +177,9 @@ def _indexed(n_docs: int, n_terms: int, shard_terms: int):
         column[order] = np.arange(len(docs))
         names, own, df = np.unique(term, return_inverse=True, return_counts=True)
         row = np.empty(len(names), np.int64)
-        row[np.argsort(-df, kind="stable")] = np.arange(len(names))
+        at = np.full(len(names), len(docs))
+        np.minimum.at(at, own, column[doc])
+        row[np.lexsort((at, -np.frexp(df)[1]))] = np.arange(len(names))  # by the power of two of their frequency
         m = 100 - 50 + (50 * length * n_docs) // n_terms
         impact = (1_000_000_000 * tf) // (1000 * tf + 20 * m[doc])
         height, greatest, masks, drops = build_treap(row[own], column[doc], impact)
