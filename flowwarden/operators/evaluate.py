@@ -99,28 +99,38 @@ def evaluate(
     return reduce(DataFrame.unionByName, [rule_values(flows, rules, epoch_us, phase) for flows in sources])
 
 
-def rule_values(flows: DataFrame, rules: DataFrame, epoch_us: int, phase: str = "aligned") -> DataFrame:
-    """Fold the per-flow statistics in `flows` by rule, window and group."""
+def keyed_values(
+    flows: DataFrame, rules: DataFrame, epoch_us: int, phase: str = "aligned", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """What each flow and epoch adds to the windows of the rules it matches: rule_id, host, win, group, agg, `_v`, whether
+    the highest value counts (`top`) or the sum, the end of the window (`ends_us`), and the columns `carry`."""
     usable = [a for a, spec in RULE_TYPES.items() if spec.needs in flows.columns]
     chosen = rules.where(F.col("agg").isin(usable))
     matched = match(flows, chosen, extra=("agg", "interval_ms", "valid_from", "valid_to")).where(_live(epoch_us))
-    value = F.lit(None).cast("bigint")
-    folds = {}
+    value, top = F.lit(None).cast("bigint"), F.lit(False)
     for agg in usable:
-        spec = RULE_TYPES[agg]
-        folds[agg] = spec.combine
-        value = F.when(F.col("agg") == agg, F.col(spec.needs)).otherwise(value)
-    keyed = matched.select(
-        "rule_id", "host", window_of(epoch_us, phase).alias("win"), *GROUP, "agg", value.alias("_v")
+        value = F.when(F.col("agg") == agg, F.col(RULE_TYPES[agg].needs)).otherwise(value)
+        top = top | (F.col("agg") == agg) if RULE_TYPES[agg].combine == "max" else top
+    win = window_of(epoch_us, phase)
+    return matched.select(
+        "rule_id", "host", win.alias("win"), *GROUP, "agg", value.alias("_v"), top.alias("top"), _ends(epoch_us, phase, win).alias("ends_us"), *carry
     )
-    sums = [a for a in usable if folds[a] == "sum"]
-    tops = [a for a in usable if folds[a] == "max"]
-    parts = []
-    if sums:
-        parts.append(F.sum(F.when(F.col("agg").isin(sums), F.col("_v"))).cast("bigint"))
-    if tops:
-        parts.append(F.max(F.when(F.col("agg").isin(tops), F.col("_v"))))
-    return keyed.groupBy("rule_id", "host", "win", *GROUP).agg(F.coalesce(*parts).alias("value"))
+
+
+def _ends(epoch_us: int, phase: str, win: Column) -> Column:
+    """When a window ends, in microseconds."""
+    n = epochs_per_window(epoch_us)
+    if phase == "aligned":
+        return (win + 1) * n * epoch_us
+    since = F.coalesce(epoch_of("valid_from", epoch_us), F.lit(0).cast("bigint"))
+    return (since + win * n + 1) * epoch_us
+
+
+def rule_values(flows: DataFrame, rules: DataFrame, epoch_us: int, phase: str = "aligned") -> DataFrame:
+    """Fold the per-flow statistics in `flows` by rule, window and group."""
+    keyed = keyed_values(flows, rules, epoch_us, phase)
+    total, highest = F.sum(F.when(~F.col("top"), F.col("_v"))).cast("bigint"), F.max(F.when(F.col("top"), F.col("_v")))
+    return keyed.groupBy("rule_id", "host", "win", *GROUP).agg(F.coalesce(total, highest).alias("value"))
 
 
 def congestion_flows(packets: DataFrame, epoch_us: int) -> DataFrame:

@@ -1,112 +1,325 @@
-"""Per-flow state in a stream: sessions, retransmissions, duplicate-ack credit, admission.
+"""State kept in order while packets come in any order: flows, pairs of flows, and rules with their past values.
 
-Each batch brings a flow's new packets. They are handled as arrays; what the flow's next batch
-needs is a handful of numbers, kept in the state store and dropped after an idle epoch.
+An epoch's packets are collected per flow by an event-time window, which hands them on, sorted, once the watermark has
+passed the epoch. So what follows sees whole epochs, one after the other, however the packets were sliced into batches and
+whatever their order was within the watermark. A flow's state is a handful of numbers, dropped after an idle epoch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.keys import micros
+from ..functions.keys import epoch_of_us, micros
 from ..operators.admission import UNIT
-from ..operators.flowstats import ACK_CREDIT
-from ..schema import FLOW
+from ..operators.evaluate import HISTORY, VALUE, keyed_values
+from ..operators.flowstats import ACK_CREDIT, BURST_GAP_US, BURST_MIN
+from ..schema import FLOW, GROUP
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "epoch bigint, session bigint, top bigint, ack bigint, dup bigint, units bigint, us bigint"
-OUTPUT = ", ".join(f"{c} bigint" for c in FLOW) + (
-    ", pkt_no bigint, epoch bigint, session bigint, lost boolean, dup bigint, admitted boolean"
-)
+STATE = "epoch bigint, session bigint, top bigint, ack bigint, dup bigint, units bigint, bursts string"
+_LISTS = ["us", "pkt_no", "len", "seq", "ack"]
+_PAIR = ["host", "low_ip", "low_port", "high_ip", "high_port", "proto"]
+_FLOW_TYPES = ", ".join(f"{c} bigint" for c in FLOW)
+PACKET_OUT = ["pkt_no", "session", "lost", "dup", "admitted"]
+EPOCH_OUT = ["session", "n", "bytes", "lost", "burst_lost", "unacked", "seq_v1", "seq_v2", "ack_v1", "ack_v2", "dup_v1"]
 
 
-class FlowState(StatefulProcessor):
-    """Packets in, packets with session, lost, dup and admitted out."""
+def closed_epochs(packets: DataFrame, epoch_us: int, watermark: str) -> DataFrame:
+    """A row per flow and epoch once the epoch is closed, with its packets in order as parallel lists."""
+    fields = [micros("ts").alias("us"), *[F.col(c).alias(c) for c in _LISTS[1:]]]
+    listed = (
+        packets.withWatermark("ts", watermark)
+        .groupBy(F.window("ts", f"{epoch_us} microseconds"), *FLOW)
+        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_p"))
+    )
+    lists = [F.col(f"_p.{c}").alias(c) for c in _LISTS]
+    epoch = epoch_of_us(F.unix_micros("window.start"), epoch_us)
+    return listed.select(F.window_time("window").alias("closed"), *FLOW, epoch.alias("epoch"), *lists)
+
+
+def advance(batch: Mapping, before: tuple | None, epoch_us: int, needed: int) -> tuple[dict[str, np.ndarray], tuple]:
+    """Statistics of a flow's packets in order, continued from the state `before`."""
+    us, seqs, all_acks, sizes = (np.asarray(batch[c], np.int64) for c in ("us", "seq", "ack", "len"))
+    epoch = us // epoch_us
+    last_epoch, session, top, ack, dup, units = (before or (-2, 0, 0, 0, 0, 0))[:6]
+    gaps = np.diff(epoch, prepend=last_epoch)
+    starts = np.flatnonzero(gaps >= 2)
+    bounds = [0, *[s for s in starts if s > 0], len(epoch)]
+    parts = []
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        if gaps[lo] >= 2:
+            session, top, ack, dup, units = int(epoch[lo]), 0, 0, 0, 0
+        seq, acks = seqs[lo:hi], all_acks[lo:hi]
+        size = (sizes[lo:hi] + UNIT - 1) // UNIT
+        highest = np.maximum.accumulate(np.concatenate([[top], seq]))
+        moved = (acks - np.concatenate([[ack], acks[:-1]])) % (1 << 32)
+        level = dup + np.cumsum(np.where(moved == 0, ACK_CREDIT, -moved))
+        credit = level - np.minimum(np.minimum.accumulate(level), 0)
+        seen = units + np.concatenate([[0], np.cumsum(size)])
+        parts.append((np.full(hi - lo, session), seq <= highest[:-1], credit, seen[:-1] >= needed))
+        top, ack, dup, units = int(highest[-1]), int(acks[-1]), int(credit[-1]), int(seen[-1])
+    out = dict(zip(("session", "lost", "dup", "admitted"), map(np.concatenate, zip(*parts))))
+    out |= {"pkt_no": np.asarray(batch["pkt_no"]), "epoch": epoch}
+    return out, (int(epoch[-1]), session, top, ack, dup, units)
+
+
+def known_bursts(us: np.ndarray, seq: np.ndarray, before: dict, gap_us: int, min_n: int) -> dict:
+    """The bursts of a session after more of its packets: `done`, as disjoint ranges of numbers, and the open run."""
+    done, run = before["done"], before["run"]  # run: last time, least and highest number, packets
+    cuts = np.flatnonzero(np.diff(us, prepend=run[0] if run else us[0]) >= gap_us)
+    for lo, hi in zip([0, *cuts], [*cuts, len(us)]):
+        if lo in cuts and run:
+            done, run = _with_burst(done, run, min_n), None
+        if lo < hi:
+            own = [int(us[hi - 1]), int(seq[lo:hi].min()), int(seq[lo:hi].max()), int(hi - lo)]
+            run = own if run is None else [own[0], min(run[1], own[1]), max(run[2], own[2]), run[3] + own[3]]
+    return {"done": done, "run": run}
+
+
+def _with_burst(done: list, run: list | None, min_n: int) -> list:
+    if run is None or run[3] <= min_n:
+        return done
+    out = []
+    for lo, hi in sorted([*done, run[1:3]]):
+        if out and lo <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
+class _Timed(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def wake_at(self, ms: int) -> None:
+        """One timer per key."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(ms)
+
+    def close(self) -> None:
+        pass
+
+
+class FlowState(_Timed):
+    """Closed epochs of a flow in, its packets with session, lost, dup and admitted out."""
 
     def __init__(self, epoch_us: int, threshold: int) -> None:
         self.epoch_us = epoch_us
         self.needed = -(-threshold // UNIT) - 1
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.state = handle.getValueState("flow", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["us", "pkt_no"])
+        epochs = pd.concat(list(rows)).sort_values("epoch")
+        batch = {c: np.concatenate(epochs[c].to_list()) for c in _LISTS}
         before = self.state.get() if self.state.exists() else None
         out, after = advance(batch, before, self.epoch_us, self.needed)
-        self.state.update(after)
+        self.state.update((*after, None))
         # The flow is dropped when a whole epoch after its last one has passed.
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer((after[0] + 2) * self.epoch_us // 1000)
-        yield out.assign(**dict(zip(FLOW, key)))[_COLUMNS]
+        self.wake_at((after[0] + 2) * self.epoch_us // 1000)
+        yield pd.DataFrame(out).assign(**dict(zip(FLOW, key)))[[*FLOW, "epoch", *PACKET_OUT]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
         return iter(())
 
-    def close(self) -> None:
-        pass
 
+class PairState(_Timed):
+    """Closed epochs of both directions of a pair of endpoints in, a row per flow and epoch with all statistics out."""
 
-_COLUMNS = [*FLOW, "pkt_no", "epoch", "session", "lost", "dup", "admitted"]
+    def __init__(self, epoch_us: int, gap_us: int, min_n: int) -> None:
+        self.epoch_us, self.gap_us, self.min_n = epoch_us, gap_us, min_n
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.states = [handle.getValueState(name, STATE) for name in ("there", "back")]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        epochs = pd.concat(list(rows)).sort_values("epoch")
+        states = [s.get() if s.exists() else None for s in self.states]
+        itself = key[1:3] == key[3:5]
+        done = []
+        for epoch, both in epochs.groupby("epoch", sort=True):
+            now: list[dict | None] = [None, None]
+            for row in both.to_dict("records"):
+                i = row["way"]
+                now[i], states[i] = self.epoch_of_flow(row, states[i])
+            for i, own in enumerate(now):
+                if own is not None:
+                    own["unacked"] = _unacked(own, own if itself else now[1 - i])
+                    done.append(own)
+        last = max(s[0] for s in states if s is not None)
+        for slot, s in zip(self.states, states):
+            if s is not None:
+                slot.update(s)
+        self.wake_at((last + 2) * self.epoch_us // 1000)
+        out = pd.DataFrame(done)
+        # Behind the watermark nothing may be sent on, so rows carry the later of it and their epoch's end.
+        ends = np.maximum((out["epoch"].to_numpy() + 1) * self.epoch_us, timerValues.getCurrentWatermarkInMs() * 1000)
+        out["closed"] = pd.to_datetime(ends, unit="us")
+        out["unacked"] = out["unacked"].astype("Int64")
+        yield out[["closed", *FLOW, "epoch", *EPOCH_OUT]]
+
+    def epoch_of_flow(self, row: dict, before: tuple | None) -> tuple[dict, tuple]:
+        out, after = advance(row, before, self.epoch_us, 0)
+        goes_on = before is not None and before[1] == after[1]
+        top, ack = before[2:4] if goes_on else (0, 0)
+        us, seq, lost = np.asarray(row["us"]), np.asarray(row["seq"]), out["lost"]
+        found = known_bursts(us, seq, json.loads(before[6]) if goes_on else {"done": [], "run": None}, self.gap_us, self.min_n)
+        ranges = np.array(_with_burst(found["done"], found["run"], self.min_n)).reshape(-1, 2)
+        place = np.searchsorted(ranges[:, 0], seq[lost], side="right") - 1
+        hits = int(((place >= 0) & (seq[lost] <= ranges[:, 1][np.maximum(place, 0)])).sum()) if len(ranges) else 0
+        own = {c: int(row[c]) for c in FLOW} | {"epoch": int(row["epoch"]), "session": after[1]}
+        own |= {"n": len(us), "bytes": int(np.sum(row["len"])), "lost": int(lost.sum()), "burst_lost": hits}
+        own |= {"seq_v1": after[2], "seq_v2": top, "ack_v1": after[3], "ack_v2": ack, "dup_v1": after[4]}
+        return own, (*after, json.dumps(found))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for s in self.states:
+            s.clear()
+        return iter(())
 
-def advance(batch: pd.DataFrame, before: tuple | None, epoch_us: int, needed: int) -> tuple[pd.DataFrame, tuple]:
-    """Statistics of a flow's packets in order, continued from the state `before`."""
-    epoch = batch["us"].to_numpy(np.int64) // epoch_us
-    last_epoch, session, top, ack, dup, units, _ = before or (-2, 0, 0, 0, 0, 0, 0)
-    gaps = np.diff(epoch, prepend=last_epoch)
-    starts = np.flatnonzero(gaps >= 2)
-    bounds = [0, *[s for s in starts if s > 0], len(epoch)]
-    parts = []
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        if gaps[lo] >= 2:
-            session, top, ack, dup, units = int(epoch[lo]), 0, 0, 0, 0
-        seq = batch["seq"].to_numpy(np.int64)[lo:hi]
-        acks = batch["ack"].to_numpy(np.int64)[lo:hi]
-        size = (batch["len"].to_numpy(np.int64)[lo:hi] + UNIT - 1) // UNIT
-        highest = np.maximum.accumulate(np.concatenate([[top], seq]))
-        moved = (acks - np.concatenate([[ack], acks[:-1]])) % (1 << 32)
-        level = dup + np.cumsum(np.where(moved == 0, ACK_CREDIT, -moved))
-        credit = level - np.minimum(np.minimum.accumulate(level), 0)
-        seen = units + np.concatenate([[0], np.cumsum(size)])
-        parts.append(
-            pd.DataFrame(
-                {
-                    "pkt_no": batch["pkt_no"].to_numpy()[lo:hi],
-                    "epoch": epoch[lo:hi],
-                    "session": session,
-                    "lost": seq <= highest[:-1],
-                    "dup": credit,
-                    "admitted": seen[:-1] >= needed,
-                }
-            )
-        )
-        top, ack, dup, units = int(highest[-1]), int(acks[-1]), int(credit[-1]), int(seen[-1])
-    after = (int(epoch[-1]), session, top, ack, dup, units, int(batch["us"].iloc[-1]))
-    return pd.concat(parts), after
+
+def _unacked(own: dict, other: dict | None) -> int | None:
+    """Share of the bytes in flight at the last epoch's end that this epoch did not acknowledge, in percent."""
+    if other is None:
+        return None
+    in_air = own["seq_v2"] - other["ack_v2"]
+    acked = other["ack_v1"] - other["ack_v2"] + other["dup_v1"]
+    if in_air <= 0 or acked > in_air:
+        return 0
+    return 100 - 100 * acked // in_air if acked >= 0 else 100 + -100 * acked // in_air  # rounded towards zero
+
+
+class RuleState(_Timed):
+    """Values of a rule, host and group in, the value of each window out once it is closed, with those of the windows before.
+
+    Windows may have any length: each brings the time of its end.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getMapState("open", "win bigint", "value bigint, ends_us bigint")
+        self.past = handle.getMapState("past", "win bigint", "value bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for (win, ends, top), own in batch.groupby(["win", "ends_us", "top"], sort=True):
+                value = int(own["value"].max() if top else own["value"].sum())
+                win = (int(win),)
+                if self.open.containsKey(win):
+                    old = self.open.getValue(win)[0]
+                    value = max(old, value) if top else old + value
+                self.open.updateValue(win, (value, int(ends)))
+        self.wait()
+        return iter(())
+
+    def wait(self) -> None:
+        ends = [v[1] for _, v in self.open.iterator()]
+        if ends:
+            self.wake_at(min(ends) // 1000 - 1)  # timers are due once the watermark is beyond them
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        closed = sorted((w[0], v[0], v[1]) for w, v in self.open.iterator() if v[1] <= now)
+        past = {w[0]: v[0] for w, v in self.past.iterator()}
+        out = []
+        for win, value, ends in closed:
+            out.append((pd.Timestamp(max(ends, now), unit="us"), *key, win, value, [past.get(win - k, 0) for k in range(1, HISTORY)]))
+            past[win] = value
+            self.open.removeKey((win,))
+            self.past.updateValue((win,), (value,))
+        if closed:
+            for win in [w for w in past if w <= closed[-1][0] - HISTORY]:
+                if self.past.containsKey((win,)):
+                    self.past.removeKey((win,))
+            yield pd.DataFrame(out, columns=["closed", "rule_id", "host", *GROUP, "win", "value", "past"])
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.wait()
+
+
+def _with_rocksdb(df: DataFrame) -> DataFrame:
+    """Keyed state needs this store; the setting holds for queries that the session starts from now on."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return df
 
 
 def stream_flow_state(packets: DataFrame, epoch_us: int, threshold: int, watermark: str) -> DataFrame:
-    """Packets with session, lost, dup and admitted, from keyed state."""
-    spark = packets.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    needed = [*FLOW, "ts", "pkt_no", "len", "seq", "ack"]
+    """Packets of closed epochs with session, lost, dup and admitted."""
     return (
-        packets.select(*needed, micros("ts").alias("us"))
-        .withWatermark("ts", watermark)
+        _with_rocksdb(closed_epochs(packets, epoch_us, watermark))
         .groupBy(*FLOW)
         .transformWithStateInPandas(
             statefulProcessor=FlowState(epoch_us, threshold),
-            outputStructType=OUTPUT,
+            outputStructType=f"{_FLOW_TYPES}, epoch bigint, pkt_no bigint, session bigint, lost boolean, dup bigint, admitted boolean",
             outputMode="append",
             timeMode="eventTime",
         )
     )
+
+
+def stream_flow_epochs(
+    packets: DataFrame, epoch_us: int, watermark: str, gap_us: int = BURST_GAP_US, min_n: int = BURST_MIN
+) -> DataFrame:
+    """All statistics of a flow and closed epoch: counts, retransmissions, those within bursts of the session so far, the
+    state of numbers and acks at the end of this epoch and the one before, and the share in flight that stayed
+    unacknowledged, null where the opposite direction was silent."""
+    ends = [F.struct(F.col(f"{a}ip").alias("ip"), F.col(f"{a[0]}port").alias("port")) for a in ("src", "dst")]
+    low, high = F.least(*ends), F.greatest(*ends)
+    pairs = closed_epochs(packets, epoch_us, watermark).withColumns(
+        {"low_ip": low["ip"], "low_port": low["port"], "high_ip": high["ip"], "high_port": high["port"], "way": F.when(ends[0] <= ends[1], 0).otherwise(1)}
+    )
+    return (
+        _with_rocksdb(pairs)
+        .groupBy(*_PAIR)
+        .transformWithStateInPandas(
+            statefulProcessor=PairState(epoch_us, gap_us, min_n),
+            outputStructType=f"closed timestamp, {_FLOW_TYPES}, epoch bigint, {', '.join(f'{c} bigint' for c in EPOCH_OUT)}",
+            outputMode="append",
+            timeMode="eventTime",
+            eventTimeColumnName="closed",
+        )
+    )
+
+
+def stream_rule_values(flow_epochs: DataFrame, rules: DataFrame, epoch_us: int, phase: str = "aligned") -> DataFrame:
+    """Values of all rules, whatever their type and interval, from `stream_flow_epochs`: the columns of `evaluate`, `past`
+    with the values of the windows before (the latest first, 0 where there was none), and `closed`.
+
+    A window's value comes when it is closed, by one keyed state for all intervals.
+    """
+    keyed = keyed_values(flow_epochs, rules, epoch_us, phase, ("closed",))
+    rows = keyed.where("_v is not null and (agg <> 'burstloss' or _v > 0)")
+    fields = ", ".join(f"{c} bigint" for c in ["rule_id", "host", *GROUP])
+    out = (
+        _with_rocksdb(rows.select("closed", "rule_id", "host", *GROUP, "win", "ends_us", "top", F.col("_v").alias("value")))
+        .groupBy("rule_id", "host", *GROUP)
+        .transformWithStateInPandas(
+            statefulProcessor=RuleState(),
+            outputStructType=f"closed timestamp, {fields}, win bigint, value bigint, past array<bigint>",
+            outputMode="append",
+            timeMode="eventTime",
+            eventTimeColumnName="closed",
+        )
+    )
+    return out.select(*VALUE, "past", "closed")
+
+
+def stream_evaluate_all(
+    packets: DataFrame, rules: DataFrame, epoch_us: int, watermark: str, gap_us: int = BURST_GAP_US, min_n: int = BURST_MIN, phase: str = "aligned"
+) -> DataFrame:
+    """Packets in, values of rules of every registered type out, window after window."""
+    flows = stream_flow_epochs(packets, epoch_us, watermark, gap_us, min_n)
+    return stream_rule_values(flows, rules, epoch_us, phase)

@@ -144,8 +144,8 @@ hits as (select l.*, exists (select 1 from bursts b where {" and ".join(f"b.{c}
     and l.seq between b.seq1 and b.seq2) as hit from lost l where l.lost)"""
 
 
-def values_cte(where: str = "true", win: str = "epoch // r.n_days", live: str = "true") -> str:
-    """Values of all rules; needs `lost`."""
+def values_cte(where: str = "true", win: str = "epoch // r.n_days", live: str = "true", in_bursts: str = "") -> str:
+    """Values of all rules; needs `lost`. `in_bursts` says which lost numbers lie in a burst, by default in any of their flow."""
 
     def part(source: str, x: str, kinds: str, more: str = "true") -> str:
         return f"""
@@ -153,17 +153,16 @@ def values_cte(where: str = "true", win: str = "epoch // r.n_days", live: str =
     from {source} p join rules r on {match_on()} where r.agg in ({kinds}) and {where} and {live} and {more}"""
 
     counted = part("lost", "case r.agg when 'packet' then 1 when 'volume' then p.len else cast(p.lost as bigint) end", "'packet', 'volume', 'loss'")
-    congested, in_bursts = part("unack", "p.unacked", "'congestion'"), part("hits", "1", "'burstloss'", "p.hit")
+    congested, burst_lost = part("unack", "p.unacked", "'congestion'"), part("hits", "1", "'burstloss'", "p.hit")
     return ",".join(
         [
             STATE,
             CONGESTED,
-            bursts(2 * DAY),
-            IN_BURST,
+            in_bursts or ",".join([bursts(2 * DAY), IN_BURST]),
             f"""
 vals as (
   select rule_id, host, win, {GROUP}, cast(case when agg = 'congestion' then max(x) else sum(x) end as bigint) as value
-  from ({counted} union all {congested} union all {in_bursts}) group by rule_id, agg, host, win, {GROUP})""",
+  from ({counted} union all {congested} union all {burst_lost}) group by rule_id, agg, host, win, {GROUP})""",
         ]
     )
 
@@ -622,6 +621,18 @@ group by all""",
     "shard_load": with_(PACKETS) + "select dstip % 7 as shard, count(*) as n from packets group by 1",
 }
 
+# Which lost numbers lie in a burst of their session as far as it is known at the end of their epoch; needs `lost`.
+KNOWN_BURSTS = f"""
+smarks as (select *, lag(us) over (partition by {SES} order by us, pkt_no) as pu from ps),
+sruns as (select *, max(case when pu is null or us - pu >= {2 * DAY} then us end)
+    over (partition by {SES} order by us, pkt_no) as burst from smarks),
+asked as (select distinct {SES}, epoch from lost where lost),
+known as (select {", ".join("a." + c for c in ["host", *KEY, "session", "epoch"])}, q.burst, min(q.seq) as seq1, max(q.seq) as seq2
+  from asked a join sruns q on {" and ".join(f"a.{c} = q.{c}" for c in ["host", *KEY, "session"])} and q.epoch <= a.epoch
+  group by all having count(*) > 4),
+hits as (select l.*, l.lost and exists (select 1 from known b where {" and ".join(f"b.{c} = l.{c}" for c in ["host", *KEY, "session", "epoch"])}
+    and l.seq between b.seq1 and b.seq2) as hit from lost l)"""
+
 # A window is out when its end is no later than the newest packet less the allowed delay.
 SIX_HOURS = 6 * HOUR
 
@@ -639,6 +650,17 @@ out as (select * from vals where (win + 1) * {DAY} * n_days <= (select max(us) f
     )
 
 
+ONLINE = with_(
+    PACKETS,
+    RULES,
+    sessions(DAY),
+    LOST,
+    values_cte(in_bursts=KNOWN_BURSTS),
+    f"""
+out as (select v.*, r.threshold from vals v join rules r using (rule_id)
+  where (v.win + 1) * {DAY} * r.n_days <= (select max(us) from packets) - {SIX_HOURS})""",
+)
+
 ORACLES |= {
     "write_alerts": ORACLES["packet_alerts"],
     "stream_packets": with_(PACKETS) + f"select pkt_no, host, {K5}, len, seq, ack from packets",
@@ -667,7 +689,19 @@ vals as (
 adm as (select pkt_no, coalesce(sum((len + 63) // 64) over (partition by {SES} order by us, pkt_no
     rows between unbounded preceding and 1 preceding), 0) >= 9 as admitted from ps)""",
     )
-    + "select pkt_no, session, lost, dup, admitted from lost join dups using (pkt_no, session) join adm using (pkt_no)",
+    + f"""select pkt_no, session, lost, dup, admitted from lost join dups using (pkt_no, session) join adm using (pkt_no)
+where (lost.us // {3 * DAY} + 1) * {3 * DAY} <= (select max(us) from packets) - {SIX_HOURS}""",
+    "stream_flow_epochs": with_(PACKETS, sessions(DAY), LOST, STATE, CONGESTED, KNOWN_BURSTS)
+    + f"""select {FLOW}, s.epoch, s.session, c.n, c.bytes, c.lost, c.burst_lost, u.unacked, s.seq_v1, s.seq_v2, s.ack_v1, s.ack_v2, s.dup_v1
+from state s join (select {SES}, epoch, count(*) as n, cast(sum(len) as bigint) as bytes, count(*) filter (lost) as lost,
+    count(*) filter (hit) as burst_lost from hits group by all) c using ({SES}, epoch)
+  left join unack u using ({FLOW}, epoch)
+where (s.epoch + 1) * {DAY} <= (select max(us) from packets) - {SIX_HOURS}""",
+    "stream_evaluate_all": ONLINE
+    + f"""select {", ".join('a.' + c.strip() for c in VALUE.split(','))}, coalesce(b.value, 0) as past_value
+from out a left join out b on a.rule_id = b.rule_id and a.host = b.host and a.win = b.win + 2
+  and {" and ".join(f"a.k_{c} = b.k_{c}" for c in KEY)}""",
+    "stream_alerts_all": ONLINE + f"select {VALUE}, threshold from out where value >= threshold",
     "answer_requests": closed_values()
     + f"""select o.rule_id, o.host, o.win, {", ".join("o.k_" + c for c in KEY)}, o.value
 from out o join events e on o.rule_id in (0, 3) and e.user_id % 4 = o.host

@@ -797,10 +797,37 @@ def stream_bursts(spark, sf):
 
 @query
 def stream_flow_state(spark, sf):
-    packets = states.stream_flow_state(v.packet_stream(spark, sf), 3 * v.DAY_US, 640, "6 hours")
+    """Over several files with packets out of order between them."""
+    stream = v.packet_stream_in_files(spark, sf, _folder(spark))
+    packets = states.stream_flow_state(stream, 3 * v.DAY_US, 640, "6 hours")
     return st.run_to_table(packets).select("pkt_no", "session", "lost", "dup", "admitted")
 
 
+@query
+def stream_flow_epochs(spark, sf):
+    """Each flow's numbers and acks at the end of closed epochs, and what its opposite left unacknowledged."""
+    stream = v.packet_stream_in_files(spark, sf, _folder(spark))
+    flows = states.stream_flow_epochs(stream, v.DAY_US, "6 hours", gap_us=BURST_US)
+    return st.run_to_table(flows).drop("closed")
+
+
+def _values_online(spark: SparkSession, sf: str) -> DataFrame:
+    stream = v.packet_stream_in_files(spark, sf, _folder(spark))
+    return states.stream_evaluate_all(stream, v.rules(spark), v.DAY_US, "6 hours", gap_us=BURST_US)
+
+
+@query
+def stream_evaluate_all(spark, sf):
+    """Rules of all types and intervals while the stream runs, with the value two windows before."""
+    values = _values_online(spark, sf)
+    return st.run_to_table(values.select(*ev.VALUE, F.col("past")[1].alias("past_value")))
+
+
+@query
+def stream_alerts_all(spark, sf):
+    return st.run_to_table(ev.alerts(_values_online(spark, sf), v.rules(spark)))
+
+
 @query
 def answer_requests(spark, sf):
     rules = v.rules(spark).where(F.col("rule_id").isin(0, 3))

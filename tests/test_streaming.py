@@ -1,8 +1,11 @@
 import random
+from collections import Counter
+from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from replay import EPOCH, START, frame, packet, replay, traffic, us_of
+from replay import EPOCH, START, by_flow, frame, packet, replay, replay_bursts, traffic, us_of
 
 from flowwarden import registry
 from flowwarden.operators import evaluate
@@ -29,13 +32,96 @@ def rules(spark, threshold=3):
     return spark.createDataFrame(rows, RULES)
 
 
-def test_state_across_batches(spark, tmp_path):
+DELAY = 60_000  # allowed for late packets
+
+
+def shuffled(spark, rows, folder, n, seed):
+    """Write the packets in files, each with packets up to DELAY late, none of them in order."""
+    rnd = random.Random(seed)
+    rows = sorted(rows, key=lambda r: us_of(r) + rnd.randrange(DELAY))
+    size = -(-len(rows) // n)
+    for i in range(0, len(rows), size):
+        part = rows[i : i + size]
+        rnd.shuffle(part)
+        frame(spark, part).coalesce(1).write.mode("append").parquet(folder)
+
+
+def closed(rows, epochs=1):
+    """Whether a window of so many epochs is over when all rows were seen."""
+    newest = max(us_of(r) for r in rows) - DELAY
+    return lambda win: (win + 1) * epochs * EPOCH <= newest
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_state_across_batches(spark, tmp_path, files):
     rows = traffic(300, seed=21, span=200_000)
-    in_files(spark, rows, str(tmp_path / "in"), 6)
+    rows += [packet(900, 210_000, 100), packet(902, 210_900, 200), packet(901, 210_500, 300)]
+    shuffled(spark, rows, str(tmp_path / "in"), files, seed=files)
     stream = stream_packets(spark, str(tmp_path / "in"), files_per_trigger=1)
-    out = st.run_to_table(states.stream_flow_state(stream, EPOCH, 640, "1 second"))
+    out = st.run_to_table(states.stream_flow_state(stream, EPOCH, 640, "60 milliseconds"))
     got = {r.pkt_no: (r.epoch, r.session, r.lost, r.dup, r.admitted) for r in out.collect()}
-    assert got == replay(rows)
+    done = closed(rows)
+    assert got == {no: x for no, x in replay(rows).items() if done(x[0])}
+    assert len(got) > 150
+
+
+def all_rules(spark):
+    """Rules of every type, some of several epochs, one with a lifetime."""
+    zeros, at = [0] * 5, lambda us: START + timedelta(microseconds=us)
+    rows = []
+    for i, (agg, epochs) in enumerate([("packet", 1), ("volume", 3), ("loss", 2), ("congestion", 1), ("burstloss", 1), ("packet", 4)]):
+        alive = (at(45_000), at(175_000)) if i == 5 else (None, None)
+        rows.append((i, *zeros, *zeros, *([32, 0, 0, 0, 0] if i % 2 else zeros), agg, 1, 10 * epochs, *alive))
+    return spark.createDataFrame(rows, RULES)
+
+
+def test_rules_of_all_types_online(spark, tmp_path):
+    rows = traffic(400, seed=31, span=300_000)
+    shuffled(spark, rows, str(tmp_path / "in"), 4, seed=4)
+    rules_ = all_rules(spark)
+    stream = stream_packets(spark, str(tmp_path / "in"), files_per_trigger=1)
+    # no gap ends a burst and no epoch is idle: bursts of all time are those of the session so far, at its end
+    got = st.run_to_table(states.stream_evaluate_all(stream, rules_, EPOCH, "60 milliseconds", gap_us=20_000))
+    values = evaluate.evaluate(frame(spark, rows), rules_, EPOCH, gap_us=20_000)
+    lengths = {0: 1, 1: 3, 2: 2, 3: 1, 4: 1, 5: 4}
+    over = {rule: closed(rows, n) for rule, n in lengths.items()}
+    want = {tuple(r)[:-1]: r.value for r in values.collect() if over[r.rule_id](r.win)}
+    rest = {tuple(r[:-3]): (r.value, r.past) for r in got.collect()}
+    online = {k: v[0] for k, v in rest.items() if k[0] != 4}
+    assert online == {k: v for k, v in want.items() if k[0] != 4}
+    assert {k[0] for k in rest} == set(lengths)
+    assert {k: v[0] for k, v in rest.items() if k[0] == 4} == known_burst_losses(rows, over[4])
+    for (rule, host, win, *key), (_, past) in rest.items():
+        assert past == [want.get((rule, host, win - k, *key), 0) if rule != 4 else rest.get((4, host, win - k, *key), (0,))[0] for k in range(1, evaluate.HISTORY)]
+
+
+def known_burst_losses(rows, done):
+    """(rule 4, host, epoch, no group) -> retransmitted numbers within bursts of the session so far."""
+    info, out = replay(rows), Counter()
+    for flow, packets_ in by_flow(rows).items():
+        for epoch in {info[r[0]][0] for r in packets_}:
+            session = next(info[r[0]][1] for r in packets_ if info[r[0]][0] == epoch)
+            so_far = [r for r in packets_ if info[r[0]][1] == session and info[r[0]][0] <= epoch]
+            found = [(b[6], b[7]) for b in replay_bursts(so_far, 20_000)]
+            lost = [r[9] for r in so_far if info[r[0]][0] == epoch and info[r[0]][2]]
+            hits = sum(any(lo <= x <= hi for lo, hi in found) for x in lost)
+            if hits and done(epoch):
+                out[(4, flow[0], epoch, 0, 0, 0, 0, 0)] += hits
+    return dict(out)
+
+
+@pytest.mark.parametrize("size", [1, 4, 100])
+def test_known_bursts_in_any_slices(size):
+    rnd = random.Random(size)
+    us = np.sort(np.array([rnd.randrange(3000) for _ in range(200)]))
+    seq = np.array([rnd.randrange(500) for _ in range(200)])
+    state = {"done": [], "run": None}
+    for i in range(0, 200, size):
+        state = states.known_bursts(us[i : i + size], seq[i : i + size], state, 20, 4)
+        found = states._with_burst(state["done"], state["run"], 4)
+        runs, n = np.split(np.arange(len(us[: i + size])), np.flatnonzero(np.diff(us[: i + size]) >= 20) + 1), 0
+        want = {x for r in runs if len(r) > 4 for x in range(seq[r].min(), seq[r].max() + 1)}
+        assert {x for lo, hi in found for x in range(lo, hi + 1)} == want
 
 
 def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
@@ -143,7 +229,7 @@ def test_advance_in_any_slices(split):
         batch = pd.DataFrame(rows[i : i + split], columns=names)
         batch["us"] = [us_of(r) for r in rows[i : i + split]]
         out, state = states.advance(batch, state, EPOCH, 9)
-        for r in out.itertuples():
+        for r in pd.DataFrame(out).itertuples():
             got[r.pkt_no] = (r.epoch, r.session, r.lost, r.dup, r.admitted)
     assert got == want
 
