@@ -711,7 +711,7 @@ from out o join events e on o.rule_id in (0, 3) and e.user_id % 4 = o.host
 CHANGING = f"chosts(host, join_epoch, left_epoch) as (values (0, 0, null), (1, 0, {DAY0 + 20}), (2, 0, null), (3, {DAY0 + 10}, null))"
 
 
-def gather_changing(mode: str) -> str:
+def gather_changing(mode: str, in_bursts: str = "") -> str:
     whole = "having count(distinct v.host) = max(n_hosts) and" if mode == "strict" else "having"
     return with_(
         PACKETS,
@@ -719,18 +719,25 @@ def gather_changing(mode: str) -> str:
         CHANGING,
         sessions(DAY),
         LOST,
-        values_cte(),
+        values_cte(in_bursts=in_bursts),
         f"""
 days as (select distinct rule_id, win, (win + 1) * n_days - 1 as last_day, threshold from vals join rules using (rule_id)),
 here as (select d.rule_id, d.win, d.threshold, h.host, count(*) over (partition by d.rule_id, d.win) as n_hosts
   from days d join chosts h on h.join_epoch <= d.last_day and (h.left_epoch is null or h.left_epoch > d.last_day)),
-keys as (select v.rule_id, v.win, {GROUP} from vals v join here h on v.rule_id = h.rule_id and v.win = h.win and v.host = h.host
+keys as (select v.rule_id, v.win, {GROUP}, count(distinct v.host) = max(n_hosts) as complete from vals v join here h on v.rule_id = h.rule_id and v.win = h.win and v.host = h.host
   group by v.rule_id, v.win, {GROUP}, threshold {whole} max(value) >= threshold // max(n_hosts))""",
-    ) + f"""select k.*, cast(h.host as bigint) as host, coalesce(v.value, 0) as value
+    ) + f"""select k.* exclude (complete), cast(h.host as bigint) as host, coalesce(v.value, 0) as value{', cast(v.value is null as int) as code, complete' if in_bursts else ''}
 from keys k join here h on h.rule_id = k.rule_id and h.win = k.win
 left join vals v on v.rule_id = k.rule_id and v.win = k.win and v.host = h.host and {" and ".join(f"v.k_{c} = k.k_{c}" for c in KEY)}"""
 
 
+ORACLES["stream_gather"] = (
+    gather_changing("lenient", KNOWN_BURSTS)
+    + f"""
+join rules r on r.rule_id = k.rule_id
+where (k.win + 1) * {DAY} * r.n_days + case when complete then 0 else {DAY} end <= (select max(us) from packets) - {SIX_HOURS}"""
+)
+
 ORACLES |= {
     "time_histogram": with_(
         PACKETS,

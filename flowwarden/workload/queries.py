@@ -18,6 +18,7 @@ from ..schema import FLOW, GROUP, KEY
 from ..sources import frames, logs, rules_text
 from ..sources.packets import write_alerts as write_alerts_to
 from ..streaming import evaluate as st
+from ..streaming import network as online
 from ..streaming import states
 from . import views as v
 
@@ -828,6 +829,13 @@ def stream_alerts_all(spark, sf):
     return st.run_to_table(ev.alerts(_values_online(spark, sf), v.rules(spark)))
 
 
+@query
+def stream_gather(spark, sf):
+    """All hosts' values while the stream runs, hosts joining and leaving; missing ones are waited for one day."""
+    values = _values_online(spark, sf)
+    return st.run_to_table(online.stream_gather(values, v.rules(spark), v.changing_hosts(spark), v.DAY_US, v.DAY_US).drop("closed"))
+
+
 @query
 def answer_requests(spark, sf):
     rules = v.rules(spark).where(F.col("rule_id").isin(0, 3))
