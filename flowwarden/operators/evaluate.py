@@ -10,21 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import epoch_of
 from ..plans.grid import spread, spread_between
-from ..plans.ordered import is_split
 from ..plans.sizing import checkpointed, few_rows, fits
 from ..registry import RULE_TYPES, STATS
 from ..schema import FLOW, GROUP, KEY
 from .flowstats import (
     BURST_GAP_US,
     BURST_MIN,
-    bursts,
     flow_state,
-    in_burst,
-    ordered,
+    flow_table,
     retransmissions,
-    retransmitted_seqs,
-    sessions,
     timed,
+    unacknowledged,
     with_epoch,
     with_reverse,
 )
@@ -32,6 +28,8 @@ from .matching import match
 
 HISTORY = 15  # fixed value: window values a rule remembers
 VALUE = ["rule_id", "host", "win", *GROUP, "value"]
+SPECIAL = ("unacked", "burst_lost")  # statistics that are no plain aggregates over a flow's packets
+SUMMED = {s: STATS[s] for s in ("n", "bytes", "lost")}  # as they come, unless registered anew
 
 
 def epochs_per_window(epoch_us: int) -> Column:
@@ -82,17 +80,19 @@ def evaluate(
     hot group is summed before it is shuffled. `gap_us` and `min_n` say what a burst is.
     """
     stats = needed_stats(rules)
-    counted = [s for s in stats if s in STATS]
-    special = {"unacked": lambda p: congestion_flows(p, epoch_us), "burst_lost": lambda p: burst_flows(p, epoch_us, gap_us, min_n)}
-    packets = timed(packets)
-    if {"lost", *special} & set(stats):
-        packets = sessions(packets, epoch_us)
-    missing = [s for s in stats if s not in STATS and s not in special]
+    missing = [s for s in stats if s not in STATS and s not in SPECIAL]
     if missing:
         raise ValueError(f"nobody registered the statistics {', '.join(missing)}")
-    sources = [special[s](packets) for s in stats if s in special and s not in STATS]
+    special = [s for s in stats if s in SPECIAL and s not in STATS]
+    counted = [s for s in stats if s not in special]
+    packets, sources = timed(packets), []
+    if special:
+        # the sums that come with the special statistics come from the same pass
+        summed = [s for s in counted if s in SUMMED and STATS[s] is SUMMED[s]]
+        counted = [s for s in counted if s not in summed]
+        sources.append(flow_table(packets, epoch_us, [*special, *summed], gap_us, min_n))
     if counted or not sources:
-        if "lost" in counted and "lost" not in packets.columns:
+        if "lost" in counted:
             packets = retransmissions(packets, epoch_us)
         flows = with_epoch(packets, epoch_us).groupBy(*FLOW, "epoch")
         sources.append(flows.agg(*[STATS[s]().alias(s) for s in counted or ["n"]]))
@@ -129,18 +129,15 @@ def _ends(epoch_us: int, phase: str, win: Column) -> Column:
 def rule_values(flows: DataFrame, rules: DataFrame, epoch_us: int, phase: str = "aligned") -> DataFrame:
     """Fold the per-flow statistics in `flows` by rule, window and group."""
     keyed = keyed_values(flows, rules, epoch_us, phase)
+    if set(SPECIAL) & set(flows.columns):
+        keyed = keyed.where(F.col("_v").isNotNull())
     total, highest = F.sum(F.when(~F.col("top"), F.col("_v"))).cast("bigint"), F.max(F.when(F.col("top"), F.col("_v")))
     return keyed.groupBy("rule_id", "host", "win", *GROUP).agg(F.coalesce(total, highest).alias("value"))
 
 
 def congestion_flows(packets: DataFrame, epoch_us: int) -> DataFrame:
     """Share of bytes in flight at the last epoch's end that this epoch did not acknowledge, in percent."""
-    both = with_reverse(flow_state(packets, epoch_us))
-    in_air = F.col("seq_v2") - F.col("r_ack_v2")
-    acked = F.col("r_ack_v1") - F.col("r_ack_v2") + F.col("r_dup_v1")
-    share = 100 - F.call_function("div", 100 * acked, in_air)
-    unacked = F.when((in_air <= 0) | (acked > in_air), F.lit(0).cast("bigint")).otherwise(share)
-    return both.select(*FLOW, "epoch", unacked.alias("unacked"))
+    return with_reverse(flow_state(packets, epoch_us)).select(*FLOW, "epoch", unacknowledged().alias("unacked"))
 
 
 def congestion(packets: DataFrame, rules: DataFrame, epoch_us: int) -> DataFrame:
@@ -150,14 +147,6 @@ def congestion(packets: DataFrame, rules: DataFrame, epoch_us: int) -> DataFrame
     )
 
 
-def burst_flows(packets: DataFrame, epoch_us: int, gap_us: int = BURST_GAP_US, min_n: int = BURST_MIN) -> DataFrame:
-    """Per flow and epoch, the retransmitted sequence numbers that lie in a burst of their flow."""
-    packets = ordered(packets)
-    lost = retransmitted_seqs(packets, epoch_us)
-    hits = in_burst(lost, bursts(packets, gap_us, min_n), may_be_hot=is_split(packets)).where("hit")
-    return hits.groupBy(*FLOW, "epoch").agg(F.count(F.lit(1)).alias("burst_lost"))
-
-
 def burst_loss(
     packets: DataFrame, rules: DataFrame, epoch_us: int, gap_us: int = BURST_GAP_US, min_n: int = BURST_MIN
 ) -> DataFrame:

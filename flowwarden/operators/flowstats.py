@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import epoch_of_us, micros
@@ -19,6 +19,7 @@ BURST_MIN = 4  # fixed value: a burst has more packets than this
 SEEN_GENERATION = (1 << 18) + 1  # fixed value: packets per generation
 SEEN_BITS = 20  # fixed value: bits of the folded sequence number
 LIST_BLOCK = 32  # fixed value: entries per list block
+_LOST_BLOCK = 4096
 
 SESSION = [*FLOW, "session"]
 
@@ -149,20 +150,25 @@ def flow_state(packets: DataFrame, epoch_us: int) -> DataFrame:
 def _state(packets: DataFrame, epoch_us: int, with_seq: bool = True, with_ack: bool = True) -> DataFrame:
     packets = packets if "session" in packets.columns else sessions(packets, epoch_us)
     source = dup_credit(packets, epoch_us) if with_ack else packets
-    last = F.struct(*ORDER)
     aggs = [F.min(PIECE).alias(PIECE)]
     if with_seq:
         aggs.append(F.max("seq").alias("_seq"))
     if with_ack:
-        aggs.append(F.max_by(F.struct("ack", "dup"), last).alias("_ack"))
-    # A session has no idle epoch inside, so "the epoch before" is the row before.
-    out = source.groupBy(*SESSION, "epoch").agg(*aggs)
+        aggs.append(F.max(F.struct(*ORDER, "ack", "dup")).alias("_ack"))
+    return _epoch_state(source.groupBy(*SESSION, "epoch").agg(*aggs), packets, with_seq, with_ack)
+
+
+def _epoch_state(out: DataFrame, packets: DataFrame, with_seq: bool, with_ack: bool) -> DataFrame:
+    """Values at the end of each epoch and of the one before, from a row per session and epoch with `_seq` and `_ack`.
+
+    A session has no idle epoch inside, so "the epoch before" is the row before.
+    """
+    columns = [c for c in out.columns if c not in (PIECE, "_seq", "_ack")]
     if is_split(packets):
         # The steps below each look at all epochs again; a row per epoch is small to keep.
         out = checkpointed(out)
     out = relabel(out, packets)
     zero = F.lit(0).cast("bigint")
-    columns = [*SESSION, "epoch"]
     if with_seq:
         out = before(out, SESSION, ["epoch"], F.col("_seq"), "max", "_v2")
         out = out.withColumns(
@@ -180,8 +186,63 @@ def _state(packets: DataFrame, epoch_us: int, with_seq: bool = True, with_ack: b
     return out.select(*columns)
 
 
-def with_reverse(state: DataFrame) -> DataFrame:
-    """Flow epochs with the opposite direction in the same epoch; its columns get `r_`.
+def flow_table(
+    packets: DataFrame, epoch_us: int, stats: Iterable[str], gap_us: int = BURST_GAP_US, min_n: int = BURST_MIN
+) -> DataFrame:
+    """A row per flow and epoch with `stats` among n, bytes, lost, unacked and burst_lost, from one pass over the packets.
+
+    The last two are null where there is nothing to tell: no opposite direction, no lost number in a burst. Packets are
+    sorted by flow once; what is looked at again is a row per flow, epoch and burst, saved.
+    """
+    stats = set(stats)
+    rows = sessions(packets, epoch_us)
+    if stats & {"lost", "burst_lost"}:
+        rows = retransmissions(rows, epoch_us)
+    if "unacked" in stats:
+        rows = dup_credit(rows, epoch_us)
+    keys = [*SESSION, "epoch"]
+    aggs = [F.min(PIECE).alias(PIECE), F.count(F.lit(1)).alias("n"), F.sum("len").cast("bigint").alias("bytes"), F.max("seq").alias("_seq")]
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("n", "bytes")]
+    if stats & {"lost", "burst_lost"}:
+        aggs.append(F.count_if("lost").alias("lost"))
+        sums.append(F.sum("lost").alias("lost"))
+    if "unacked" in stats:
+        aggs.append(F.max(F.struct(*ORDER, "ack", "dup")).alias("_ack"))
+        sums.append(F.max("_ack").alias("_ack"))
+    if "burst_lost" not in stats:
+        flows = rows.groupBy(*keys).agg(*aggs)
+    else:
+        rows = islands(rows, FLOW, ORDER, "us", gap_us, "burst")
+        rows = before(rows, SESSION, ORDER, F.col("lost").cast("bigint"), "sum", "_k")
+        # lists of lost numbers come in blocks of bounded length
+        block = F.call_function("div", F.coalesce("_k", F.lit(0).cast("bigint")), F.lit(_LOST_BLOCK).cast("bigint"))
+        aggs += [F.min("seq").alias("_least"), F.collect_list(F.when(F.col("lost"), F.col("seq"))).alias("_lost")]
+        parts = checkpointed(rows.withColumn("_block", block).groupBy(*keys, "burst", "_block").agg(*aggs))
+        found = parts.groupBy(*FLOW, "burst").agg(F.min("_least").alias("seq1"), F.max("_seq").alias("seq2"), F.sum("n").alias("n"))
+        lost = parts.select(*FLOW, "epoch", F.explode("_lost").alias("seq"))
+        hits = in_burst(lost, found.where(F.col("n") > min_n), may_be_hot=is_split(rows)).where("hit")
+        hits = hits.groupBy(*FLOW, "epoch").agg(F.count(F.lit(1)).alias("burst_lost"))
+        flows = parts.groupBy(*keys).agg(F.min(PIECE).alias(PIECE), F.max("_seq").alias("_seq"), *sums)
+    if "unacked" in stats:
+        flows = with_reverse(_epoch_state(flows, rows, True, True), outer=True)
+        flows = flows.withColumn("unacked", unacknowledged())
+    if "burst_lost" in stats:
+        flows = flows.join(hits, [*FLOW, "epoch"], "left")
+    return flows.select(*FLOW, "epoch", *sorted(stats))
+
+
+def unacknowledged() -> Column:
+    """Share of the bytes in flight at the last epoch's end that this epoch did not acknowledge, in percent; null without
+    an opposite direction."""
+    in_air = F.col("seq_v2") - F.col("r_ack_v2")
+    acked = F.col("r_ack_v1") - F.col("r_ack_v2") + F.col("r_dup_v1")
+    share = 100 - F.call_function("div", 100 * acked, in_air)
+    return F.when((in_air <= 0) | (acked > in_air), F.lit(0).cast("bigint")).otherwise(share)
+
+
+def with_reverse(state: DataFrame, outer: bool = False) -> DataFrame:
+    """Flow epochs with the opposite direction in the same epoch; its columns get `r_`. Flow epochs without one are left
+    out, or have nulls with `outer`.
 
     Both directions meet under one name of the pair of endpoints, so `state` is computed once.
     """
@@ -201,9 +262,11 @@ def with_reverse(state: DataFrame) -> DataFrame:
         return F.struct(*fields, F.col(mine).alias("mine"), F.col(other).alias("other"))
 
     there, back = direction("_low", "_high", "_there", "_back"), direction("_high", "_low", "_back", "_there")
-    both = pairs.where(F.col("_there").isNotNull() & F.col("_back").isNotNull()).select(
+    if not outer:
+        pairs = pairs.where(F.col("_there").isNotNull() & F.col("_back").isNotNull())
+    both = pairs.select(
         "host", "proto", "epoch", F.explode(F.when(itself, F.array(there)).otherwise(F.array(there, back))).alias("_d")
-    )
+    ).where("_d.mine is not null")
     key = [F.col(c) if c in ("host", "proto") else F.col(f"_d.{c}").alias(c) for c in FLOW]
     columns = {c: F.col(f"_d.mine.{c}").alias(c) for c in values}
     return both.select(
