@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +35,7 @@ CACHE_VALUES = 1_200_000
 COMMON_WORDS = 100_000
 _UNIT = 1_000_000  # expected counts are added up as whole millionths, so their sum doesn't depend on the order
 _SLICE = 1 << 20
-_CELLS = 1 << 21  # places of words that are summed at once
+_CELLS = 1 << 18  # places of words that are summed at once
 _TABLE_BITS = 18
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -328,24 +329,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, vocab: list[str]) -> tuple[list[str], np.ndarray, list[str]]:
-    """Languages, probabilities[piece, language] and the commonest words, learnt from all of docs(text, lang).
+def train(docs: DataFrame, vocab: list[str]) -> tuple[list[str], np.ndarray, DataFrame]:
+    """Languages, probabilities[piece, language], and the word counts they come from, learnt from all of docs(text, lang).
 
     One step of expectation and maximisation from `prior`: words are counted first, so that each distinct word of a language
-    is cut up once, however often it stands anywhere. What reaches the driver is a number for each piece and language, and
-    COMMON_WORDS words at most.
+    is cut up once, however often it stands anywhere. What reaches the driver is a number for each piece and language.
     """
     counts = saved(word_counts(docs), "lang_words")
     sums = counts.mapInArrow(_expected(vocab), "lang string, piece bigint, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-    rows = sums.toPandas()
-    langs = sorted(set(rows["lang"]))
+    rows = sums.toArrow()
+    langs = sorted(set(rows.column("lang").unique().to_pylist()))
+    place = pc.index_in(rows.column("lang"), pa.array(langs, pa.string())).to_numpy()
     out = np.full((len(vocab) + 1, len(langs)), SMOOTHING)
-    place = {lang: i for i, lang in enumerate(langs)}
-    out[rows["piece"].to_numpy(int), [place[x] for x in rows["lang"]]] += rows["n"].to_numpy(float) / _UNIT
+    out[rows.column("piece").to_numpy(), place] += rows.column("n").to_numpy() / _UNIT
     out[-1] = SMOOTHING  # unknown letters tell nothing
-    often = counts.where(F.length("word") <= PLAIN).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
-    common = [r["word"] for r in often.limit(COMMON_WORDS).select("word").collect()]
-    return langs, np.maximum(out / out.sum(axis=0), LEAST), common
+    return langs, np.maximum(out / out.sum(axis=0), LEAST), counts
 
 
 class _Scorer:
@@ -405,12 +403,25 @@ def _predict(
     return run
 
 
-def _common_scores(vocab: list[str], probs: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of words and their scores."""
-    if not words or not probs.shape[1]:
-        return np.zeros(0, np.uint64), np.zeros((0, probs.shape[1]))
-    words = words[: CACHE_VALUES // (2 * probs.shape[1])]
-    hashes, logs = _hash_of(words), Lattice(vocab).forward(words, probs)
+def _scored(vocab: list[str], probs: np.ndarray, block: int = 20_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, block):
+                words = batch.column("word").slice(i, block).to_pylist()
+                logs = _lattice(vocab).forward(words, probs)
+                arrays = [pa.array(_hash_of(words).view(np.int64)), pa.array(list(logs), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["hash", "logs"])
+
+    return run
+
+
+def _common_scores(counts: DataFrame, vocab: list[str], probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and scores of the commonest training words, COMMON_WORDS and half of CACHE_VALUES at most."""
+    most = min(COMMON_WORDS, CACHE_VALUES // (2 * max(1, probs.shape[1])))
+    often = counts.where(F.length("word") <= PLAIN).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    found = often.select("word").mapInArrow(_scored(vocab, probs), "hash bigint, logs array<double>").toArrow().combine_chunks()
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+    logs = found.column("logs").combine_chunks().flatten().to_numpy().reshape(len(hashes), probs.shape[1])
     order = np.argsort(hashes)
     return hashes[order], logs[order]
 
@@ -431,8 +442,8 @@ def identify(
     repeated rows are judged alike. Other columns are ignored; an empty table gives no rows.
     """
     vocab = vocabulary(model_file)
-    langs, probs, words = train(labelled, vocab)
-    common = _common_scores(vocab, probs, words)
+    langs, probs, counts = train(labelled, vocab)
+    common = _common_scores(counts, vocab, probs)
     docs = docs.select(*dict.fromkeys([*columns, "text"]))
     schema = T.StructType([docs.schema[c] for c in columns]).add(names[0], "string").add(names[1], "double")
     return docs.mapInArrow(_predict(uuid.uuid4().hex, vocab, langs, probs, common, list(columns), list(names)), schema)
