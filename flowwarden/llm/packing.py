@@ -13,7 +13,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,11 @@ from .common import saved
 
 CAPACITY = 4096
 END_ID = 1
-#: Lengths over this share of a sequence are large.
-LARGE_SHARE = 1 / 8
-GROUPS = 64
+#: Plans tried: numbers of groups of large lengths, and the shares of a sequence over which a length is large.
+GROUPS = (16, 64, 256, 1024)
+LARGE_SHARES = (1 / 8, 1 / 4, 3 / 8)
+#: The share of a sequence that a configuration has to fill.
+LEAST_FILL = 0.99
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 250_000
 _SLICE = 1 << 20
@@ -201,9 +203,16 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
 
 
 class Plan:
-    """Runs (length, first rank, sequences, copies in each, first sequence, offset) in growing order of length, rank."""
+    """Runs (length, first rank, sequences, copies in each, first sequence, offset) in growing order of length, rank.
 
-    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, large_share: float = LARGE_SHARE, groups: int = GROUPS):
+    Configurations that fill less than `least_fill` of a sequence are not used: their pieces go, like small ones, to
+    where the least room is left, also behind substituted pieces that are shorter than their group's longest.
+    """
+
+    def __init__(
+        self, histogram: dict[int, int], capacity: int = CAPACITY, large_share: float = LARGE_SHARES[0],
+        groups: int = GROUPS[0], least_fill: float = LEAST_FILL,
+    ):
         self.capacity, self.sequences = capacity, 0
         self.runs: list[tuple[int, int, int, int, int, int]] = []
         self.rooms: list[int] = []
@@ -213,8 +222,8 @@ class Plan:
             self.sequences = full
         least = int(capacity * large_share)
         rest = {n: c for n, c in histogram.items() if n < capacity}
-        self._place_large(equal_groups(rest, least, groups))
-        self._place_small({n: c for n, c in rest.items() if n <= least})
+        left = self._place_large(equal_groups(rest, least, groups), least_fill * capacity)
+        self._place_rest(left + [(n, 0, c) for n, c in rest.items() if n <= least])
         self.runs.sort()
 
     def _open(self, room: int, first: int, count: int) -> None:
@@ -224,10 +233,14 @@ class Plan:
                 self.by_room[room] = []
             self.by_room[room].append((first, count))
 
-    def _place_large(self, groups: list[tuple[int, list[tuple[int, int, int]]]]) -> None:
+    def _place_large(self, groups: list[tuple[int, list[tuple[int, int, int]]]], least: float) -> list[tuple[int, int, int]]:
+        """Places the pieces of configurations that fill `least` or more; returns the others."""
         queues = [list(reversed(members)) for _, members in groups]
+        sizes = [size for size, _ in groups]
         counts = [sum(c for _, _, c in members) for _, members in groups]
-        for chosen, times in configurations([size for size, _ in groups], counts, self.capacity):
+        for chosen, times in configurations(sizes, counts, self.capacity):
+            if sum(k * n for k, n in zip(chosen, sizes)) < least:
+                continue
             slots = [g for g, k in enumerate(chosen) for _ in range(k)]
             taken = [self._take(queues[g], times) for g in slots]
             done, at = 0, [0] * len(slots)
@@ -245,6 +258,7 @@ class Plan:
                 self._open(self.capacity - offset, self.sequences + done, alike)
                 done += alike
             self.sequences += times
+        return [run for queue in queues for run in queue]
 
     @staticmethod
     def _take(queue: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
@@ -258,9 +272,8 @@ class Plan:
             n -= count
         return out
 
-    def _place_small(self, histogram: dict[int, int]) -> None:
-        for length in sorted(histogram, reverse=True):
-            rank, left = 0, histogram[length]
+    def _place_rest(self, pieces: list[tuple[int, int, int]]) -> None:
+        for length, rank, left in sorted(pieces, key=lambda p: (-p[0], p[1])):
             while left:
                 i = bisect_left(self.rooms, length)
                 if i == len(self.rooms):
@@ -281,6 +294,23 @@ class Plan:
                 self._open(room, first + used, count - used)
 
 
+def best_plan(
+    histogram: dict[int, int], capacity: int = CAPACITY, large_shares: Sequence[float] = LARGE_SHARES,
+    groups: Sequence[int] = GROUPS, least_fill: float = LEAST_FILL,
+) -> Plan:
+    """The plan of fewest sequences among these groupings; none is tried once there can be no fewer."""
+    bound = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    best = None
+    for k in groups:
+        for share in large_shares:
+            plan = Plan(histogram, capacity, share, k, least_fill)
+            if best is None or plan.sequences < best.sequences:
+                best = plan
+            if best.sequences == bound:
+                return best
+    return best
+
+
 def _ranked(pieces: DataFrame) -> DataFrame:
     """`rank` of each piece among those of its length, from 0. Groups are no larger than what one task wrote."""
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
@@ -310,13 +340,14 @@ def _assign(runs: np.ndarray):
 
 def pack(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
-    large_share: float = LARGE_SHARE, groups: int = GROUPS, with_ids: bool = False,
+    large_shares: Sequence[float] = LARGE_SHARES, groups: Sequence[int] = GROUPS, with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece of docs(doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Lengths over `large_share` of a sequence are rounded up to the longest of their group of equally many pieces;
-    configurations of these few lengths are filled by dynamic programming and used as often as the pieces allow. Actual
-    pieces take the places of rounded ones, and shorter pieces go, longest first, to where the least room is left.
+    Large lengths are rounded up to the longest of their group of equally many pieces; configurations of these few
+    lengths are filled by dynamic programming and used as often as the pieces allow. Actual pieces take the places of
+    rounded ones, and all others go, longest first, to where the least room is left. What is large, and how many groups
+    there are, is tried out on the histogram of lengths: the plan of fewest sequences is used.
 
     A null or empty text has one id, `end_id`. Each row is a document of its own, repeated ids and texts, too; a null
     doc_id stays null. Other columns are ignored. An empty table gives no rows. A text of any length is encoded in
@@ -325,7 +356,7 @@ def pack(
     found = tokenized_pieces(docs, tokenizer, capacity, end_id, with_ids)
     found = saved(found.withColumn("bucket", F.spark_partition_id()), "pack_pieces")
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # `capacity` rows at most
-    plan = Plan(histogram, capacity, large_share, groups)
+    plan = best_plan(histogram, capacity, large_shares, groups)
     runs = np.array(plan.runs, np.int64).reshape(-1, 6)
     schema = PIECE_SCHEMA + (", ids binary" if with_ids else "") + ", sequence_id bigint, offset bigint"
     names = [c for c in found.columns if c != "bucket"]

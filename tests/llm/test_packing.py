@@ -1,4 +1,5 @@
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -35,9 +36,9 @@ def laid_out(plan, histogram, capacity):
 
 
 @settings(deadline=None, max_examples=60)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30), st.integers(1, 9))
-def test_plans_are_whole(histogram, groups):
-    plan = packing.Plan(histogram, 64, 1 / 8, groups)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30), st.integers(1, 9), st.sampled_from([0.0, 0.9, 1.0]))
+def test_plans_are_whole(histogram, groups, least_fill):
+    plan = packing.Plan(histogram, 64, 1 / 8, groups, least_fill)
     laid_out(plan, histogram, 64)
     total = sum(n * c for n, c in histogram.items())
     assert plan.sequences >= -(-total // 64)
@@ -53,6 +54,32 @@ def test_plan_is_nearly_full_and_grows_with_lengths_only():
     assert len(many.runs) < 60_000
 
 
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths.tolist(), reverse=True):
+        i = bisect_left(rooms, n)
+        insort(rooms, (rooms.pop(i) if i < len(rooms) else capacity) - n)
+    return len(rooms)
+
+
+SHAPES = {
+    "long tail": lambda rng: np.clip(rng.lognormal(6.0, 1.0, 8_000), 1, 4096),
+    "middling": lambda rng: np.clip(rng.lognormal(7.0, 0.8, 8_000), 1, 4096),
+    "no small ones": lambda rng: rng.integers(1000, 2500, 4_000),
+    "three a sequence": lambda rng: rng.integers(500, 1500, 4_000),
+    "any length": lambda rng: rng.integers(1, 4096, 4_000),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_as_few_sequences_as_best_fit(shape):
+    lengths = SHAPES[shape](np.random.default_rng(5)).astype(int)
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True))}
+    plan = packing.best_plan(histogram)
+    laid_out(plan, histogram, 4096)
+    assert plan.sequences <= best_fit_decreasing(lengths, 4096) * 1.001
+
+
 @settings(deadline=None, max_examples=40)
 @given(st.lists(st.integers(5, 40), min_size=1, max_size=6, unique=True), st.integers(1, 4))
 def test_fill_is_the_best_there_is(sizes, count):
