@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.sizing import fits
@@ -31,6 +31,22 @@ def delete_rules(rules: DataFrame, gone: DataFrame, at: Column | None = None) ->
     return marked.withColumn("valid_to", end).select(*rules.columns)
 
 
+def lifetimes(changes: DataFrame) -> DataFrame:
+    """Rules with valid_from and valid_to from a log of changes: ts, op ("add" or "delete") and the columns of rules.
+
+    A rule's identity is its number, filter and mask. An addition of a rule that is installed and a deletion of one that
+    is not change nothing; of changes with the same time, additions come first. A rule has a row per lifetime.
+    """
+    log = canonical(changes.where(F.col("op").isin("add", "delete") & F.col("ts").isNotNull()))
+    then = Window.partitionBy(*IDENTITY).orderBy("ts", "op")
+    later = then.rowsBetween(1, Window.unboundedFollowing)
+    marked = log.withColumns(
+        {"_before": F.lag("op").over(then), "_until": F.min(F.when(F.col("op") == "delete", F.col("ts"))).over(later)}
+    )
+    starts = marked.where((F.col("op") == "add") & ~F.col("_before").eqNullSafe("add"))
+    return starts.withColumns({"valid_from": F.col("ts"), "valid_to": F.col("_until")}).drop("ts", "op", "_before", "_until")
+
+
 def with_known(alerts: DataFrame, placed: DataFrame) -> DataFrame:
     """alerts + known: whether the rule is placed on the reporting host."""
     where = placed.select("rule_id", "host").distinct().withColumn("known", F.lit(True))

@@ -805,3 +805,40 @@ ORACLES |= {
     f"{name}_cut": ORACLES[name]
     for name in ["sessions", "retransmissions", "recently_seen", "dup_credit", "bursts", "in_burst", "admit", "seq_gaps", "latency_cdf"]
 }
+
+HALF_CLOSED = f"(select max(us) from packets) - {SIX_HOURS}"
+ORACLES["stream_react"] = (
+    recursive(
+        PACKETS,
+        RULES,
+        sessions(HALF),
+        STATE,
+        CONGESTED,
+        congestion_values("r.rule_id = 7", "p.epoch"),
+        f"""
+causes as (select distinct win as epoch from cong join rules using (rule_id)
+  where value >= threshold and (win + 1) * {HALF} <= {HALF_CLOSED}),
+vals as (select r.rule_id, p.host, p.us // {HALF} as win, {grouped()}, cast(sum(p.len) as bigint) as value
+  from packets p join rules r on {match_on()} where r.rule_id = 0 group by all),
+on_(epoch) as (
+  select min(epoch) from causes
+  union all
+  select (select min(c.epoch) from causes c where c.epoch >= o.epoch + 3) from on_ o where o.epoch is not null)""",
+    )
+    + f"""select v.*, cast(300 as bigint) as threshold, o.epoch as armed_at
+from vals v join on_ o on v.win >= o.epoch and v.win < o.epoch + 3
+where v.host = 2 and v.value >= 300 and (v.win + 1) * {HALF} <= {HALF_CLOSED}"""
+)
+LIVES = "(select rule_id, vf, vt from rules union all select rule_id, vt + 2, vt + 3 from rules)"
+ORACLES["rule_changes"] = with_(RULES) + f"select rule_id, vf * {DAY} as since, vt * {DAY} as until from {LIVES}"
+ORACLES["stream_rule_changes"] = with_(
+    PACKETS,
+    RULES,
+    f"""
+vals as (
+  select r.rule_id, p.host, p.us // {DAY} as win, {grouped()},
+    cast(sum(case r.agg when 'packet' then 1 else p.len end) as bigint) as value
+  from packets p join rules r on {match_on()} join {LIVES} l on l.rule_id = r.rule_id
+    and p.us // {DAY} >= l.vf and p.us // {DAY} < l.vt
+  where r.agg in ('packet', 'volume') group by all)""",
+) + f"select {VALUE} from vals where (win + 1) * {DAY} <= (select max(us) from packets) - {SIX_HOURS}"

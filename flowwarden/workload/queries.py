@@ -19,7 +19,7 @@ from ..sources import frames, logs, rules_text
 from ..sources.packets import write_alerts as write_alerts_to
 from ..streaming import evaluate as st
 from ..streaming import network as online
-from ..streaming import states
+from ..streaming import reactions, states
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -836,6 +836,41 @@ def stream_gather(spark, sf):
     return st.run_to_table(online.stream_gather(values, v.rules(spark), v.changing_hosts(spark), v.DAY_US, v.DAY_US).drop("closed"))
 
 
+@query
+def stream_react(spark, sf):
+    """A congestion rule that switches on a rule for traffic of one host while the stream runs."""
+    folder = _folder(spark)
+    rules = v.rules(spark).withColumn("threshold", F.when(F.col("rule_id") == 0, 300).otherwise(F.col("threshold")).cast("bigint"))
+    wanted = spark.range(1).selectExpr("7L as cause", "0L as rule_id", "2L as host", "3L as active")
+    packets = v.packet_stream_in_files(spark, sf, _folder(spark))
+    reactions.stream_react(packets, rules, wanted, HALF_DAY_US, "6 hours", folder, gap_us=BURST_US).awaitTermination()
+    return spark.read.schema(reactions.ALERTS).parquet(f"{folder}/alerts").drop("batch")
+
+
+def _changes(spark: SparkSession) -> DataFrame:
+    """Each rule is added on its own day for ten days, and again for a day two days later; some changes change nothing."""
+    log = [(0, "add"), (5, "add"), (10, "delete"), (11, "delete"), (12, "add"), (13, "delete"), (13, "delete")]
+    changes = F.array(*[F.struct(F.lit(d).alias("day"), F.lit(op).alias("op")) for d, op in log])
+    rows = v.rules(spark).drop("valid_from", "valid_to").select("*", F.inline(changes))
+    return rows.withColumn("ts", F.timestamp_micros((F.lit(DAY0) + F.col("rule_id") * 2 + F.col("day")) * F.lit(v.DAY_US))).drop("day")
+
+
+@query
+def rule_changes(spark, sf):
+    rules = lifecycle.lifetimes(_changes(spark))
+    return rules.select("rule_id", F.unix_micros("valid_from").alias("since"), F.unix_micros("valid_to").alias("until"))
+
+
+@query
+def stream_rule_changes(spark, sf):
+    """Counting rules added and deleted in event time, each file of packets a batch."""
+    folder = _folder(spark)
+    _changes(spark).where("agg in ('packet', 'volume')").write.parquet(f"{folder}/changes")
+    packets = v.packet_stream_in_files(spark, sf, _folder(spark))
+    reactions.stream_rule_changes(packets, f"{folder}/changes", v.DAY_US, "6 hours", folder, gap_us=BURST_US).awaitTermination()
+    return spark.read.schema(reactions.VALUES).parquet(f"{folder}/values").drop("batch")
+
+
 @query
 def answer_requests(spark, sf):
     rules = v.rules(spark).where(F.col("rule_id").isin(0, 3))

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from replay import EPOCH, START, by_flow, frame, packet, replay, replay_bursts, traffic, us_of
 
 from flowwarden import registry
-from flowwarden.operators import evaluate
+from flowwarden.operators import evaluate, lifecycle, network
 from flowwarden.schema import KEY, PACKETS, RULES
 from flowwarden.sources.packets import stream_packets, write_alerts
 from flowwarden.streaming import evaluate as st
-from flowwarden.streaming import states
+from flowwarden.streaming import reactions, states
 
 
 def in_files(spark, rows, folder, n):
@@ -241,3 +241,52 @@ def test_alert_sink_appends(spark, tmp_path):
         write_alerts(found, str(tmp_path / "alerts"))
     assert spark.read.parquet(str(tmp_path / "alerts")).count() == 2 * found.count()
     assert set(KEY) <= {c.removeprefix("k_") for c in found.columns}
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_reactions_do_not_depend_on_batches(spark, tmp_path, files):
+    rows = traffic(400, seed=41, span=300_000)
+    shuffled(spark, rows, str(tmp_path / "in"), files, seed=files)
+    stream = stream_packets(spark, str(tmp_path / "in"), files_per_trigger=1)
+    rules_ = all_rules(spark).where("rule_id in (0, 1, 2)").withColumn("threshold", F.expr("case rule_id when 2 then 2 else 1 end").cast("bigint"))
+    wanted = spark.createDataFrame([(2, 0, None, 2), (2, 1, 1, 5)], "cause bigint, rule_id bigint, host bigint, active bigint")
+    out = str(tmp_path / "out")
+    reactions.stream_react(stream, rules_, wanted, EPOCH, "60 milliseconds", out, gap_us=20_000).awaitTermination()
+    got = spark.read.schema(reactions.ALERTS).parquet(f"{out}/alerts").drop("batch").collect()
+    done, short = closed(rows), rules_.withColumn("interval_ms", F.lit(0).cast("bigint"))
+    values = evaluate.evaluate(frame(spark, rows), short, EPOCH, gap_us=20_000).withColumnRenamed("win", "epoch")
+    held = [r.epoch for r in values.where("rule_id = 2 and value >= 2").collect() if done(r.epoch)]
+    triggers = spark.createDataFrame([(e,) for e in sorted(set(held))], "epoch bigint")
+    want = set()
+    for rule, host, active in ((0, None, 2), (1, 1, 5)):
+        for h in range(4) if host is None else [host]:
+            batch = network.reactive(triggers, values, {"rule_id": rule, "host": h, "threshold": 1}, active)
+            want |= {(r.rule_id, r.host, r.epoch, r.k_srcip, r.value, r.armed_at) for r in batch.collect() if done(r.epoch)}
+    assert {(r.rule_id, r.host, r.win, r.k_srcip, r.value, r.armed_at) for r in got} == want and len(got) == len(want)
+    assert len({w[5] for w in want}) > 2
+    everything = sum(done(r.epoch) for r in values.where("rule_id = 0").collect())
+    assert 0 < sum(w[0] == 0 for w in want) < everything
+
+
+def test_rules_added_and_deleted_between_batches(spark, tmp_path):
+    rows = traffic(300, seed=43, span=300_000)
+    shuffled(spark, rows, str(tmp_path / "in"), 3, seed=2)
+    stream = stream_packets(spark, str(tmp_path / "in"), files_per_trigger=1)
+    rules_ = all_rules(spark).withColumn("interval_ms", F.lit(0).cast("bigint")).drop("valid_from", "valid_to")
+    log = [("add", 30), ("delete", 50), ("delete", 70), ("add", 120), ("add", 130), ("delete", 180), ("sleep", 190), ("add", None)]
+    changes = None
+    for op, ms in log:
+        ts = F.lit(None).cast("timestamp") if ms is None else F.timestamp_micros(F.lit(int(START.timestamp()) * 10**6 + ms * 1000))
+        part = rules_.withColumns({"op": F.lit(op), "ts": ts})
+        changes = part if changes is None else changes.unionByName(part)
+    changes.write.parquet(str(tmp_path / "changes"))
+    out = str(tmp_path / "out")
+    reactions.stream_rule_changes(stream, str(tmp_path / "changes"), EPOCH, "60 milliseconds", out, gap_us=20_000).awaitTermination()
+    got = {tuple(r[c] for c in evaluate.VALUE) for r in spark.read.schema(reactions.VALUES).parquet(f"{out}/values").collect() if r.rule_id != 4}
+    done, zero = closed(rows), int(START.timestamp()) * 100
+    lives = [range(zero + 3, zero + 5), range(zero + 12, zero + 18)]
+    always = evaluate.evaluate(frame(spark, rows), rules_.withColumns({c: F.lit(None).cast("timestamp") for c in ("valid_from", "valid_to")}), EPOCH, gap_us=20_000)
+    want = {tuple(r[c] for c in evaluate.VALUE) for r in always.collect() if r.rule_id != 4 and done(r.win) and any(r.win in x for x in lives)}
+    assert got == want and len({w[0] for w in want}) == 5
+    assert lifecycle.lifetimes(changes).groupBy("rule_id").count().where("count <> 2").isEmpty()
+    assert lifecycle.lifetimes(changes.limit(0)).isEmpty()
