@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.evaluate import VALUE, alerts, rule_values, with_thresholds
 from ..operators.flowstats import BURST_GAP_US, BURST_MIN
 from ..operators.lifecycle import lifetimes
+from ..plans.sizing import checkpointed, few_rows
 from ..registry import notify
 from ..schema import GROUP
 from .states import stream_flow_epochs
@@ -86,8 +87,10 @@ def stream_react(
     switched on, `out`/alerts those of the rules switched on with `armed_at`, each in a folder per batch: a repeated
     batch replaces its own output and continues from the batch before.
     """
-    rules = rules.withColumn("interval_ms", F.lit(0).cast("bigint"))
-    causes = rules.join(reactions.select(F.col("cause").alias("rule_id")).distinct(), "rule_id", "left_semi")
+    # Batches ask for these again and again, so they are made once.
+    rules = checkpointed(rules.withColumn("interval_ms", F.lit(0).cast("bigint")))
+    reactions = checkpointed(reactions)
+    causes = checkpointed(rules.join(reactions.select(F.col("cause").alias("rule_id")).distinct(), "rule_id", "left_semi"))
     base = reactions.select("rule_id", "host", "active", F.lit(None).cast("bigint").alias("epoch")).distinct()
 
     def work(spark: SparkSession, flows: DataFrame, folder: Callable[[str, int], str], batch_id: int) -> None:
@@ -100,9 +103,10 @@ def stream_react(
         triggers = asked.join(reactions, "cause").select("rule_id", "host", "active", "epoch").unionByName(base)
         before = spark.read.schema(ARMED).parquet(folder("armed", batch_id - 1)) if batch_id else spark.createDataFrame([], ARMED)
         armed = kept(armed_epochs(triggers, before), "armed", ARMED)
-        first = F.coalesce(flows.agg(F.min("epoch").alias("e")).scalar(), F.lit(0))
-        on = armed.where((F.size("starts") > 0) | (F.col("last") + F.col("active") > first))
-        reacting = rules.join(on.select("rule_id").distinct(), "rule_id", "left_semi")
+        first = flows.agg(F.min("epoch")).first()[0]
+        on = armed.where((F.size("starts") > 0) | (F.col("last") + F.col("active") > F.lit(first))).select("rule_id").distinct()
+        few = few_rows(on)
+        reacting = rules.join(on, "rule_id", "left_semi") if few is None else rules.where(F.col("rule_id").isin([r[0] for r in few]))
         found = kept(in_effect(alerts(rule_values(flows, reacting, epoch_us), reacting), armed, before), "alerts", ALERTS)
         notify(found)
 

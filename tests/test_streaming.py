@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from replay import EPOCH, START, by_flow, frame, packet, replay, replay_bursts, traffic, us_of
 
 from flowwarden import registry
-from flowwarden.operators import evaluate, lifecycle, network
+from flowwarden.operators import evaluate, lifecycle
 from flowwarden.schema import KEY, PACKETS, RULES
 from flowwarden.sources.packets import stream_packets, write_alerts
 from flowwarden.streaming import evaluate as st
@@ -255,17 +255,20 @@ def test_reactions_do_not_depend_on_batches(spark, tmp_path, files):
     got = spark.read.schema(reactions.ALERTS).parquet(f"{out}/alerts").drop("batch").collect()
     done, short = closed(rows), rules_.withColumn("interval_ms", F.lit(0).cast("bigint"))
     values = evaluate.evaluate(frame(spark, rows), short, EPOCH, gap_us=20_000).withColumnRenamed("win", "epoch")
-    held = [r.epoch for r in values.where("rule_id = 2 and value >= 2").collect() if done(r.epoch)]
-    triggers = spark.createDataFrame([(e,) for e in sorted(set(held))], "epoch bigint")
+    values = [r for r in values.collect() if done(r.epoch)]
+    held = sorted({r.epoch for r in values if r.rule_id == 2 and r.value >= 2})
     want = set()
     for rule, host, active in ((0, None, 2), (1, 1, 5)):
-        for h in range(4) if host is None else [host]:
-            batch = network.reactive(triggers, values, {"rule_id": rule, "host": h, "threshold": 1}, active)
-            want |= {(r.rule_id, r.host, r.epoch, r.k_srcip, r.value, r.armed_at) for r in batch.collect() if done(r.epoch)}
+        on = []
+        for e in held:
+            if not on or e >= on[-1] + active:
+                on.append(e)
+        for r in values:
+            if r.rule_id == rule and r.value >= 1 and host in (None, r.host):
+                want |= {(rule, r.host, r.epoch, r.k_srcip, r.value, e) for e in on if e <= r.epoch < e + active}
     assert {(r.rule_id, r.host, r.win, r.k_srcip, r.value, r.armed_at) for r in got} == want and len(got) == len(want)
     assert len({w[5] for w in want}) > 2
-    everything = sum(done(r.epoch) for r in values.where("rule_id = 0").collect())
-    assert 0 < sum(w[0] == 0 for w in want) < everything
+    assert 0 < sum(w[0] == 1 for w in want) < sum(r.rule_id == 1 and r.host == 1 for r in values)
 
 
 def test_rules_added_and_deleted_between_batches(spark, tmp_path):
