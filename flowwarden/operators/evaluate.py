@@ -113,11 +113,11 @@ def keyed_values(
         top = top | (F.col("agg") == agg) if RULE_TYPES[agg].combine == "max" else top
     win = window_of(epoch_us, phase)
     return matched.select(
-        "rule_id", "host", win.alias("win"), *GROUP, "agg", value.alias("_v"), top.alias("top"), _ends(epoch_us, phase, win).alias("ends_us"), *carry
+        "rule_id", "host", win.alias("win"), *GROUP, "agg", value.alias("_v"), top.alias("top"), window_ends(epoch_us, phase, win).alias("ends_us"), *carry
     )
 
 
-def _ends(epoch_us: int, phase: str, win: Column) -> Column:
+def window_ends(epoch_us: int, phase: str, win: Column) -> Column:
     """When a window ends, in microseconds."""
     n = epochs_per_window(epoch_us)
     if phase == "aligned":

@@ -701,6 +701,26 @@ where (s.epoch + 1) * {DAY} <= (select max(us) from packets) - {SIX_HOURS}""",
     + f"""select {", ".join('a.' + c.strip() for c in VALUE.split(','))}, coalesce(b.value, 0) as past_value
 from out a left join out b on a.rule_id = b.rule_id and a.host = b.host and a.win = b.win + 2
   and {" and ".join(f"a.k_{c} = b.k_{c}" for c in KEY)}""",
+    "stream_dense_values": with_(HOSTS) + ", " + ONLINE.removeprefix("with ")
+    + f"""select g.rule_id, g.host, g.win, {", ".join('g.k_' + c for c in KEY)}, coalesce(o.value, 0) as value
+from (select rule_id, cast(host as bigint) as host, {", ".join(f"f_{c} as k_{c}" for c in KEY)},
+    unnest(range({DAY0} // n_days, ((select max(us) from packets) - {SIX_HOURS}) // ({DAY} * n_days))) as win
+    from rules, hosts where {" and ".join(f"g_{c} = m_{c}" for c in KEY)}
+  union select rule_id, host, {GROUP}, win + unnest(range(15)) as win from out) g
+join rules r using (rule_id)
+left join out o on o.rule_id = g.rule_id and o.host = g.host and o.win = g.win
+  and {" and ".join(f"o.k_{c} = g.k_{c}" for c in KEY)}
+where (g.win + 1) * {DAY} * r.n_days <= (select max(us) from packets) - {SIX_HOURS}""",
+    "stream_punctual": with_(
+        PACKETS,
+        f"""
+marks as (select pkt_no % 4 as slice, max(us) // 1000 * 1000 - {SIX_HOURS} as mark from packets group by all),
+seen as (select p.*, us // {DAY} as epoch, (select max(mark) from marks where slice < pkt_no % 4) as mark from packets p),
+told as (select *, coalesce((epoch + 1) * {DAY} <= mark, false) as late from seen)""",
+    )
+    + f"""select {FLOW}, epoch, count(*) as n, cast(sum(len) as bigint) as bytes, late, cast(null as bigint) as pkt_no, cast(null as bigint) as delay_us
+from told where not late and (epoch + 1) * {DAY} <= (select max(mark) from marks) group by all
+union all select {FLOW}, epoch, 1, len, late, pkt_no, mark - us from told where late""",
     "stream_alerts_all": ONLINE + f"select {VALUE}, threshold from out where value >= threshold",
     "answer_requests": closed_values()
     + f"""select o.rule_id, o.host, o.win, {", ".join("o.k_" + c for c in KEY)}, o.value

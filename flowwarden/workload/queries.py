@@ -19,7 +19,7 @@ from ..sources import frames, logs, rules_text
 from ..sources.packets import write_alerts as write_alerts_to
 from ..streaming import evaluate as st
 from ..streaming import network as online
-from ..streaming import reactions, states
+from ..streaming import reactions, silence, states
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -829,6 +829,22 @@ def stream_alerts_all(spark, sf):
     return st.run_to_table(ev.alerts(_values_online(spark, sf), v.rules(spark)))
 
 
+@query
+def stream_dense_values(spark, sf):
+    """A value for every closed window of ungrouped rules, on every host, and for groups as long as they are remembered."""
+    stream = v.packet_stream_in_files(spark, sf, _folder(spark))
+    flows = states.stream_flow_epochs(stream, v.DAY_US, "6 hours", gap_us=BURST_US)
+    values = silence.stream_dense_values(flows, v.rules(spark), v.hosts(spark), v.DAY_US, DAY0)
+    return st.run_to_table(values.select(*ev.VALUE))
+
+
+@query
+def stream_punctual(spark, sf):
+    """Four files that each span all time, so most packets of the later ones are late; late ones come with their delay."""
+    stream = v.packet_stream_in_slices(spark, sf, _folder(spark))
+    return st.run_to_table(silence.stream_punctual(stream, v.DAY_US, "6 hours"))
+
+
 @query
 def stream_gather(spark, sf):
     """All hosts' values while the stream runs, hosts joining and leaving; missing ones are waited for one day."""

@@ -122,6 +122,14 @@ def packet_stream_in_files(spark: SparkSession, sf_dir: str, folder: str, files:
     return spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/packets")
 
 
+def packet_stream_in_slices(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> DataFrame:
+    """The packets as a stream over several files, dealt out by number, so each spans all time; one in each batch."""
+    whole = packets(spark, sf_dir)
+    for i in range(files):
+        whole.where(F.col("pkt_no") % files == i).coalesce(1).write.mode("append").parquet(f"{folder}/packets")
+    return spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/packets")
+
+
 def _local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """Rows as part of the plan; plain createDataFrame would start Python workers to read them."""
     table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], to_arrow_schema(schema))
