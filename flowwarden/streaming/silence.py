@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,84 +14,86 @@ from ..functions.keys import epoch_of_us, micros
 from ..operators.evaluate import HISTORY, VALUE, epochs_per_window, keyed_values, window_ends, window_of
 from ..operators.network import place
 from ..schema import FLOW, GROUP, KEY
-from .states import RuleState, _FLOW_TYPES, _Timed, _with_rocksdb
+from .states import _FLOW_TYPES, _Timed, _with_rocksdb
 
 NEVER_US = (1 << 62) - 1
 CHUNK = 10_000  # rows handed on at once
 
 
-class DenseState(RuleState):
-    """As RuleState, but windows without a value give one of 0.
+class DenseState(_Timed):
+    """Values of a rule, host and group in, the value of each window out once it is closed, 0 for those without any.
 
     A key with `always` has a row for every window from its first on. Others have them up to HISTORY - 1 windows behind a
     value, as long as it is remembered, and are dropped then. Windows that start when the rule has ended give no zeros.
+    All that is known of a key is one entry of state: the next window to hand on, open windows' values, and past ones.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.next = handle.getValueState("next", "win bigint, ends_us bigint, length_us bigint, stop_us bigint, zeros bigint, always boolean")
+        self.state = handle.getValueState("rule", "state string")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        first = initialState.iloc[0]
-        self.next.update((*(int(first[c]) for c in ("win", "ends_us", "length_us", "stop_us")), 0, True))
-        self.wait()
+        self.keep(self.fresh(initialState.iloc[0], always=True))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        def noted() -> Iterator[pd.DataFrame]:
-            for batch in rows:
-                first = batch.loc[batch["win"].idxmin()]
-                at = self.next.get() if self.next.exists() else None
-                if at is None or first["win"] < at[0]:
-                    own = (int(first[c]) for c in ("win", "ends_us", "length_us", "stop_us"))
-                    self.next.update((*own, 0, at is not None and at[5]))
-                yield batch
-
-        return super().handleInputRows(key, noted(), timerValues)
+        now = json.loads(self.state.get()[0]) if self.state.exists() else None
+        for batch in rows:
+            for (win, top), own in batch.groupby(["win", "top"], sort=True):
+                if now is None or win < now["win"]:
+                    first = self.fresh(own.iloc[0], always=False)
+                    now = first if now is None else now | {c: first[c] for c in ("win", "ends", "zeros")}
+                value, name = int(own["value"].max() if top else own["value"].sum()), str(win)
+                old = now["open"].get(name)
+                now["open"][name] = value if old is None else max(old, value) if top else old + value
+        if now is not None:
+            self.keep(now)
+        return iter(())
 
-    def wait(self) -> None:
-        if self.next.exists():
-            self.wake_at(self.next.get()[1] // 1000 - 1)  # no open window ends before the next one
+    @staticmethod
+    def fresh(row: pd.Series, always: bool) -> dict:
+        own = {"win": int(row["win"]), "ends": int(row["ends_us"]), "length": int(row["length_us"]), "stop": int(row["stop_us"])}
+        return own | {"zeros": 0, "always": always, "open": {}, "past": {}, "timer": None}
+
+    def keep(self, now: dict, fired: int = -1) -> None:
+        # No open window ends before the next one. A timer that just fired is deleted afterwards, so another time is needed.
+        due = max(now["ends"] // 1000 - 1, fired + 1)
+        if now["timer"] != due:
+            if now["timer"] is not None:
+                self.handle.deleteTimer(now["timer"])
+            self.handle.registerTimer(due)
+        self.state.update((json.dumps(now | {"timer": due}),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.next.exists():
-            return
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        win, ends, length, stop, zeros, always = self.next.get()
-        opened = sorted((w[0], *v) for w, v in self.open.iterator())
-        past = {w[0]: v[0] for w, v in self.past.iterator()}
-        out, i = [], 0
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        now = json.loads(self.state.get()[0]) | {"timer": None}
+        win, ends, zeros = now["win"], now["ends"], now["zeros"]
+        opened = sorted((int(w), v) for w, v in now["open"].items())
+        past = {int(w): v for w, v in now["past"].items()}
+        out, i, over = [], 0, False
         while True:
-            if ends - length >= stop or (not always and zeros >= HISTORY - 1):  # nothing more but for values still open
-                if i == len(opened):
-                    break
-                if opened[i][0] > win:
-                    (win, _, ends), zeros = opened[i], 0
-            if ends > now:
+            if ends - now["length"] >= now["stop"] or (not now["always"] and zeros >= HISTORY - 1):
+                # nothing more but for values that are still open
+                over = i == len(opened)
+                if not over and opened[i][0] > win:
+                    ends += (opened[i][0] - win) * now["length"]
+                    win, zeros = opened[i][0], 0
+            if over or ends > mark:
                 break
             heard = i < len(opened) and opened[i][0] == win
             value = opened[i][1] if heard else 0
-            out.append((pd.Timestamp(max(ends, now), unit="us"), *key, win, value, [past.get(win - k, 0) for k in range(1, HISTORY)]))
+            out.append((pd.Timestamp(max(ends, mark), unit="us"), *key, win, value, [past.get(win - k, 0) for k in range(1, HISTORY)]))
             if heard:
-                past[win] = value
-                past.pop(win - HISTORY, None)
-                self.open.removeKey((win,))
-                self.past.updateValue((win,), (value,))
-                i += 1
+                past[win], i = value, i + 1
             zeros = 0 if heard else zeros + 1
-            win, ends = win + 1, ends + length
+            win, ends = win + 1, ends + now["length"]
             if len(out) == CHUNK:
                 yield self.rows(out)
-                out = []
-        for (old,) in [w for w, _ in self.past.iterator() if w[0] <= win - HISTORY]:
-            self.past.removeKey((old,))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if ends <= now or (i == len(opened) and (ends - length >= stop or (not always and zeros >= HISTORY - 1))):
-            self.next.clear()
-            self.past.clear()
+                out, past = [], {w: v for w, v in past.items() if w > win - HISTORY}
+        if over:
+            self.state.clear()
         else:
-            self.next.update((win, ends, length, stop, zeros, always))
-            self.wait()
+            kept = {"open": dict(opened[i:]), "past": {w: v for w, v in past.items() if w > win - HISTORY}}
+            self.keep(now | kept | {"win": win, "ends": ends, "zeros": zeros}, expiredTimerInfo.getExpiryTimeInMs())
         if out:
             yield self.rows(out)
 
@@ -169,10 +172,10 @@ class Punctual(_Timed):
                 self.open.updateValue((int(epoch),), (n + len(own), size + int(own["len"].sum())))
         self.wait()
 
-    def wait(self) -> None:
+    def wait(self, fired: int = -1) -> None:
         epochs = [e[0] for e in self.open.keys()]
         if epochs:
-            self.wake_at((min(epochs) + 1) * self.epoch_us // 1000 - 1)
+            self.wake_at(max((min(epochs) + 1) * self.epoch_us // 1000 - 1, fired + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
@@ -181,7 +184,7 @@ class Punctual(_Timed):
             self.open.removeKey((epoch,))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.wait()
+        self.wait(expiredTimerInfo.getExpiryTimeInMs())
         if over:
             out = pd.DataFrame(over, columns=["epoch", "n", "bytes"]).assign(pkt_no=None, late=False, delay_us=None)
             yield self.rows(out, key)

@@ -225,10 +225,11 @@ class RuleState(_Timed):
         self.wait()
         return iter(())
 
-    def wait(self) -> None:
+    def wait(self, fired: int = -1) -> None:
         ends = [v[1] for _, v in self.open.iterator()]
         if ends:
-            self.wake_at(min(ends) // 1000 - 1)  # timers are due once the watermark is beyond them
+            # a timer that just fired is deleted afterwards, so another time is needed
+            self.wake_at(max(min(ends) // 1000 - 1, fired + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
@@ -247,7 +248,7 @@ class RuleState(_Timed):
             yield pd.DataFrame(out, columns=["closed", "rule_id", "host", *GROUP, "win", "value", "past"])
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.wait()
+        self.wait(expiredTimerInfo.getExpiryTimeInMs())
 
 
 def _with_rocksdb(df: DataFrame) -> DataFrame:
