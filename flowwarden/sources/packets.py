@@ -27,5 +27,11 @@ def stream_packets(spark: SparkSession, source: str, files_per_trigger: int | No
     return reader.parquet(source)
 
 
+def heartbeat(spark: SparkSession, us: int) -> DataFrame:
+    """A row without a packet that tells `states` the time, so that the epochs before it are closed."""
+    row = spark.range(1).select(F.timestamp_micros(F.lit(us)).alias("ts"))
+    return row.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in PACKETS])
+
+
 def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
     alerts.write.mode(mode).parquet(path)

@@ -11,66 +11,67 @@ from pyspark.sql import functions as F
 from ..operators.evaluate import epochs_per_window
 from ..operators.network import GATHERED
 from ..plans.sizing import few_rows, fits
-from ..schema import GROUP
-from .states import _Timed, _with_rocksdb
+from .states import CHUNK, Buckets, _with_rocksdb, bucket_of, plain_rows
 
 MAX_HOSTS = 100_000  # monitors whose times of joining and leaving go to the tasks: machine inventory, not data
-_ROWS = ["host", "value", "code", "complete"]
+_OUT = ["closed", *GATHERED, "host", "value", "code", "complete"]
 
 
-class GatherState(_Timed):
-    """Hosts' values of one rule, window and group in; all active hosts' out once one of them reached its share.
+class GatherState(Buckets):
+    """Hosts' values of rules, windows and groups in; all active hosts' out once one of them reached its share.
 
     Rows go out as soon as every active host has answered. What is still missing when `timeout_us` have passed since the
-    window's end is said with code 1.
+    window's end is said with code 1. A key is [hosts' values, threshold, last epoch, window's end].
     """
 
     def __init__(self, inventory: list[tuple], timeout_us: int) -> None:
         self.inventory, self.timeout_us = inventory, timeout_us
-
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.values = handle.getMapState("values", "host bigint", "value bigint")
-        self.window = handle.getValueState("window", "threshold bigint, last_epoch bigint, ends_us bigint")
+        self.active: dict[int, list] = {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for host, value in zip(batch["host"], batch["value"]):
-                self.values.updateValue((int(host),), (int(value),))
-            first = batch.iloc[0]
-            self.window.update((int(first["threshold"]), int(first["last_epoch"]), int(first["ends_us"])))
-        out = self.answers(key, timerValues, timed_out=False)
-        if out is None:
-            self.wake_at((self.window.get()[2] + self.timeout_us) // 1000 - 1)
-        else:
-            yield out
+        known, timer = self.known()
+        told = {}
+        for row in plain_rows(rows, [*GATHERED, "host", "value", "threshold", "last_epoch", "ends_us"]):
+            own, (host, value, *window) = row[:-5], row[-5:]
+            state = told[own] = known.setdefault(own, [{}, *window])
+            state[0][str(host)] = value
+            state[1:] = window
+        yield from self.answers(known, timer, list(told), timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.window.exists():
-            out = self.answers(key, timerValues, timed_out=True)
-            if out is not None:
-                yield out
-            self.forget()
-
-    def answers(self, key, timerValues, timed_out: bool) -> pd.DataFrame | None:
-        threshold, last, ends = self.window.get()
-        active = [h for h, since, until in self.inventory if (since is None or since <= last) and (until is None or until > last)]
-        found = {h[0]: v[0] for h, v in self.values.iterator()}
-        own = {h: found[h] for h in active if h in found}
-        complete = len(own) == len(active)
-        if not own or max(own.values()) < threshold // len(active) or not (complete or timed_out):
-            return None
-        at = pd.Timestamp(max(ends, timerValues.getCurrentWatermarkInMs() * 1000), unit="us")
-        out = [(at, *key, h, own.get(h, 0), int(h not in own), complete) for h in active]
-        if complete:
-            self.forget()
-        return pd.DataFrame(out, columns=["closed", "rule_id", "win", *GROUP, *_ROWS])
-
-    def forget(self) -> None:
-        self.values.clear()
-        self.window.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        known, timer = self.known()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        over = [own for own, state in known.items() if state[3] + self.timeout_us <= now]
+        yield from self.answers(known, timer, over, timerValues, expiredTimerInfo.getExpiryTimeInMs())
+
+    def answers(self, known: dict[tuple, list], timer: int | None, asked: list[tuple], timerValues, fired: int | None = None) -> Iterator[pd.DataFrame]:
+        """Rows of the keys `asked` that are complete, or timed out if a timer `fired`; these are forgotten."""
+        now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        for own in asked:
+            found, threshold, last, ends = known[own]
+            active = self.active_at(last)
+            values = [found.get(str(h)) for h in active]
+            there = [v for v in values if v is not None]
+            complete = len(there) == len(active)
+            if there and max(there) >= threshold // len(active) and (complete or fired is not None):
+                at = pd.Timestamp(max(ends, now), unit="us")
+                out += [(at, *own, h, v or 0, int(v is None), complete) for h, v in zip(active, values)]
+                if complete and fired is None:
+                    del known[own]
+            if fired is not None:
+                del known[own]
+            if len(out) >= CHUNK:
+                yield pd.DataFrame(out, columns=_OUT)
+                out = []
+        due = min((state[3] for state in known.values()), default=0) + self.timeout_us
+        self.keep(known, timer, due // 1000 - 1, fired)
+        if out:
+            yield pd.DataFrame(out, columns=_OUT)
+
+    def active_at(self, epoch: int) -> list:
+        if epoch not in self.active:
+            self.active = {epoch: [h for h, since, until in self.inventory if (since is None or since <= epoch) and (until is None or until > epoch)]}
+        return self.active[epoch]
 
 
 def stream_gather(values: DataFrame, rules: DataFrame, hosts: DataFrame, epoch_us: int, timeout_us: int) -> DataFrame:
@@ -87,11 +88,11 @@ def stream_gather(values: DataFrame, rules: DataFrame, hosts: DataFrame, epoch_u
     limits = rules.select("rule_id", "threshold", epochs_per_window(epoch_us).alias("_n"))
     last = (F.col("win") + 1) * F.col("_n") - 1
     rows = values.join(F.broadcast(limits) if fits(limits) else limits, "rule_id")
-    rows = rows.select("closed", *GATHERED, "host", "value", "threshold", last.alias("last_epoch"), ((last + 1) * epoch_us).alias("ends_us"))
+    rows = rows.select("closed", *GATHERED, "host", "value", "threshold", last.alias("last_epoch"), ((last + 1) * epoch_us).alias("ends_us"), bucket_of(GATHERED))
     fields = ", ".join(f"{c} bigint" for c in GATHERED)
     return (
         _with_rocksdb(rows)
-        .groupBy(*GATHERED)
+        .groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=GatherState([tuple(r) for r in inventory], timeout_us),
             outputStructType=f"closed timestamp, {fields}, host bigint, value bigint, code int, complete boolean",
