@@ -339,29 +339,36 @@ def time_histogram(packets: DataFrame, m: int, bin_us: int = 1) -> DataFrame:
     columns = [*FLOW, "bin", "ts_end", "bytes"]
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flow, ends, sizes = None, [], []
+        flow, ends, sizes, pairs = None, [], [], []  # pairs: bytes of adjacent buckets together
+        names = [*FLOW, "bucket", "ts_end", "bytes"]
 
-        def finished() -> pd.DataFrame:
-            out = pd.DataFrame({"bucket": range(len(ends)), "ts_end": ends, "bytes": sizes})
-            return out.assign(**dict(zip(FLOW, flow)))[[*FLOW, "bucket", "ts_end", "bytes"]]
+        def finished() -> list[tuple]:
+            return [(*flow, i, end, size) for i, (end, size) in enumerate(zip(ends, sizes))]
 
         for batch in batches:
             done = []
-            for row in batch[columns].itertuples(index=False, name=None):
-                if row[: len(FLOW)] != flow:
-                    if flow is not None:
-                        done.append(finished())
-                    flow, ends, sizes = row[: len(FLOW)], [], []
-                ends.append(row[-2])
-                sizes.append(row[-1])
+            flows = zip(*(batch[c].tolist() for c in FLOW))
+            for own, end, size in zip(flows, batch["ts_end"].tolist(), batch["bytes"].tolist()):
+                if own != flow:
+                    done += finished()
+                    flow, ends, sizes, pairs = own, [end], [size], []
+                    continue
+                pairs.append(sizes[-1] + size)
+                ends.append(end)
+                sizes.append(size)
                 if len(sizes) > m:
-                    i = min(range(m), key=lambda j: sizes[j] + sizes[j + 1])
-                    sizes[i] += sizes.pop(i + 1)
-                    ends.pop(i)
+                    i = pairs.index(min(pairs))
+                    both = pairs.pop(i)
+                    sizes[i : i + 2] = [both]
+                    del ends[i]
+                    if i:
+                        pairs[i - 1] = sizes[i - 1] + both
+                    if i < len(pairs):
+                        pairs[i] = both + sizes[i + 1]
             if done:
-                yield pd.concat(done)
+                yield pd.DataFrame(done, columns=names)
         if flow is not None:
-            yield finished()
+            yield pd.DataFrame(finished(), columns=names)
 
     sorted_ = bins.select(*columns).repartition(*FLOW).sortWithinPartitions(*FLOW, "bin")
     fields = ", ".join(f"{c} bigint" for c in FLOW)

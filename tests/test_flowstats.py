@@ -206,3 +206,33 @@ def test_hashed_admission_only_admits_more(spark):
     assert shared == {no for no, v in replay(rows, EPOCH, 6400).items() if v[4]}
     assert admission.admit(df, 0, EPOCH).count() == 500
     assert admission.admit(df, 64, EPOCH).count() == 500
+
+
+def test_histogram_of_many_flows_makes_one_table_a_batch(spark, monkeypatch):
+    """The work per flow is a few rows, not a table of its own."""
+    import pandas as pd
+
+    made, kept = [], {}
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", lambda df, fn, schema: kept.update(fn=fn))
+    flowstats.time_histogram(frame(spark, []), 3)
+    monkeypatch.undo()
+    columns = [*FLOW, "bin", "ts_end", "bytes"]
+    rnd, rows = random.Random(5), []
+    for flow in range(200):
+        rows += [(0, flow, 2, 3, 4, 6, b, b, rnd.randrange(1, 9)) for b in range(rnd.randrange(1, 12))]
+    batches = [pd.DataFrame(rows[i : i + 500], columns=columns) for i in range(0, len(rows), 500)]
+    init = pd.DataFrame.__init__
+    monkeypatch.setattr(pd.DataFrame, "__init__", lambda self, *a, **k: (made.append(type(a[0]) if a else None), init(self, *a, **k))[1])
+    out = list(kept["fn"](iter(batches)))
+    monkeypatch.undo()
+    assert sum(t is list or t is dict for t in made) <= len(batches) + 1
+    want = []
+    for flow in range(200):
+        parts = []
+        for r in (r for r in rows if r[1] == flow):
+            parts.append([r[7], r[8]])
+            if len(parts) > 3:
+                i = min(range(3), key=lambda j: parts[j][1] + parts[j + 1][1])
+                parts[i : i + 2] = [[parts[i + 1][0], parts[i][1] + parts[i + 1][1]]]
+        want += [(flow, i, *p) for i, p in enumerate(parts)]
+    assert list(pd.concat(out)[["srcip", "bucket", "ts_end", "bytes"]].itertuples(index=False, name=None)) == want
