@@ -169,7 +169,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets(spark, sf_dir)
 
     def field(c, size):
-        return F.lpad(F.hex(c), 2 * size, "0")
+        # A header field holds the low bytes of a number; sequence numbers go round after 32 bits.
+        return F.substring(F.lpad(F.hex(c), 16, "0"), -2 * size, 2 * size)
 
     options = F.col("pkt_no") % 5 == 0
     tcp = F.col("proto") == 6

@@ -236,3 +236,21 @@ def test_histogram_of_many_flows_makes_one_table_a_batch(spark, monkeypatch):
                 parts[i : i + 2] = [[parts[i + 1][0], parts[i][1] + parts[i + 1][1]]]
         want += [(flow, i, *p) for i, p in enumerate(parts)]
     assert list(pd.concat(out)[["srcip", "bucket", "ts_end", "bytes"]].itertuples(index=False, name=None)) == want
+
+
+def test_frames_hold_the_low_bytes_of_large_numbers(spark, tmp_path):
+    """Sequence numbers beyond 32 bits go round, as on the wire."""
+    from flowwarden.sources.frames import decode_frames
+    from flowwarden.workload import views
+
+    first = 3_000_000
+    events = spark.range(first, first + 50).selectExpr(
+        "id as event_id", "timestamp_micros(1704067200000000 + id) as ts", "id % 9 as user_id", "if(id % 2 = 0, 'click', 'purchase') as event_type", "1.0D as value", "'' as props"
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.pkt_no: r for r in decode_frames(views.frames(spark, str(tmp_path))).collect()}
+    want = {r.pkt_no: r for r in views.packets(spark, str(tmp_path)).collect()}
+    assert len(got) > 30 and all(want[n].seq >= 1 << 32 for n in got)
+    for n, r in got.items():
+        assert (r.seq, r.len, r.srcip, r.dport) == (want[n].seq % (1 << 32), want[n].len, want[n].srcip, want[n].dport)
+        assert r.ack == (want[n].ack % (1 << 32) if r.proto == 6 else 0) and not r._corrupt
