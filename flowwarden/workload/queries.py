@@ -798,8 +798,8 @@ def stream_bursts(spark, sf):
 
 @query
 def stream_flow_state(spark, sf):
-    """Over several files with packets out of order between them."""
-    stream = v.packet_stream_in_files(spark, sf, _folder(spark))
+    """Over several files with packets out of order between them, to the end: all packets come out."""
+    stream = v.packet_stream_in_files(spark, sf, _folder(spark), idle_us=4 * v.DAY_US)
     packets = states.stream_flow_state(stream, 3 * v.DAY_US, 640, "6 hours")
     return st.run_to_table(packets).select("pkt_no", "session", "lost", "dup", "admitted")
 

@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.keys import long_to_ip
 from ..schema import HOSTS, PACKETS, RULES
+from ..sources.packets import heartbeat
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
@@ -110,8 +111,11 @@ def changing_hosts(spark: SparkSession) -> DataFrame:
     return _local(spark, rows, HOSTS)
 
 
-def packet_stream_in_files(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> DataFrame:
-    """The packets as a stream over several files in order of time, give or take two hours; one in each batch."""
+def packet_stream_in_files(spark: SparkSession, sf_dir: str, folder: str, files: int = 4, idle_us: int | None = None) -> DataFrame:
+    """The packets as a stream over several files in order of time, give or take two hours; one in each batch.
+
+    With `idle_us` a last file says that this long after the newest packet there was no other.
+    """
     whole = packets(spark, sf_dir)
     us = F.unix_micros("ts") + F.col("pkt_no") % 3 * HOUR_US
     span = whole.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
@@ -119,6 +123,8 @@ def packet_stream_in_files(spark: SparkSession, sf_dir: str, folder: str, files:
     for i in range(files):
         mine = whole.where(F.call_function("div", us - F.lit(span["lo"]), F.lit(width)) == i)
         mine.coalesce(1).write.mode("append").parquet(f"{folder}/packets")
+    if idle_us is not None:
+        heartbeat(spark, span["hi"] + idle_us).coalesce(1).write.mode("append").parquet(f"{folder}/packets")
     return spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/packets")
 
 

@@ -138,3 +138,10 @@ def test_buckets_change_no_answer(spark, tmp_path, monkeypatch, buckets):
     # after the heartbeat no epoch is open, so every packet is out
     assert {r.pkt_no: (r.epoch, r.session, r.lost, r.dup, r.admitted) for r in out} == replay(rows)
     assert len(out) == len(rows) and {tuple(r[:6]) for r in out} == set(by_flow(rows))
+
+
+def test_stream_flow_state_has_all_packets(spark):
+    import __spark_entry__ as entry
+
+    out = entry.queries()["stream_flow_state"](spark, entry.SMOKE_DIR)
+    assert out.select("pkt_no").distinct().count() == out.count() == spark.read.parquet(f"{entry.SMOKE_DIR}/events.parquet").count()
