@@ -8,10 +8,12 @@ enough meet in a cartesian product, which reads the blocks again instead of shuf
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
@@ -23,8 +25,8 @@ BLOCK_DIMS = 16
 #: Most rows that one side of a tile has; a tile is what is compared in one go.
 TILE_ROWS = 2048
 #: A block is a row of the shared table: so many tiles, or bytes of vectors, at most.
-_BLOCK_TILES = 4
-_BLOCK_BYTES = 1 << 21
+_BLOCK_TILES = 8
+_BLOCK_BYTES = 1 << 22
 #: Bytes of vectors in a file of blocks; beyond _FILES files they get larger. A task compares two files.
 _FILE_BYTES = 1 << 24
 _FILES = 256
@@ -32,8 +34,10 @@ _FILES = 256
 _CUT_ROWS = 1 << 15
 _TREE_DIMS = 8
 _DEEPEST = 14
-#: Of a task: decoded blocks it keeps, edges before they are joined, nodes it remembers, pairs verified at a time.
-_KEPT = 16
+#: Of a task: bytes of pairs of blocks it gets at a time, decoded blocks it keeps, edges before they are joined, nodes it
+#: remembers, pairs verified at a time.
+_BATCH_BYTES = 1 << 22
+_KEPT = 4
 _EDGES = 1 << 20
 _SEEN = 1 << 16
 _SLICE = 1 << 17
@@ -42,13 +46,25 @@ _BLOCK = "block bigint, nodes binary, copies binary, least binary, known binary,
 _FOUND = "node binary, links bigint, root binary, copies bigint, least bigint"
 
 
+def _numbers(docs: DataFrame) -> str:
+    return "float" if isinstance(docs.schema["embedding"].dataType.elementType, FloatType) else "double"
+
+
+def _good(docs: DataFrame) -> Column:
+    """Whether a vector has finite components only, at least one of them other than zero."""
+    number = _numbers(docs)
+    v = F.col("embedding").cast(f"array<{number}>")
+    whole = F.array_contains(v, F.lit(float("nan")).cast(number)).eqNullSafe(False)  # null if a component is
+    least, most = F.array_min(v), F.array_max(v)
+    inf = float("inf")
+    return F.coalesce(whole & (least > -inf) & (most < inf) & ((least < 0) | (most > 0)), F.lit(False))
+
+
 def usable(docs: DataFrame) -> DataFrame:
     """Rows whose vector has finite components only and isn't zero, with `node`, the same for equal vectors."""
     v = F.col("embedding")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = docs.where(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
     name = F.concat(F.lpad(F.hex(F.xxhash64(v)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), F.size(v), v)), 16, "0"))
-    return rows.withColumn("node", F.unhex(name))
+    return docs.where(_good(docs)).withColumn("node", F.unhex(name))
 
 
 def _raw(vectors: pa.Array) -> np.ndarray:
@@ -214,9 +230,11 @@ def _pack(space: Leading, tile_rows: int, block_rows: int):
 def _linked_pairs(space: Leading, x, near, y, far, within: bool):
     """Places (i, j) of linked pairs of x and y, some at a time; within: x is y, i < j."""
     rows = max(1, (1 << 19) // max(1, len(y)))
+    room = np.empty(rows * len(y), np.float32)
     for i in range(0, len(x), rows):
         first = i if within else 0
-        best = near[i : i + rows] @ far[first:].T
+        shape = min(rows, len(x) - i), len(y) - first
+        best = np.matmul(near[i : i + rows], far[first:].T, out=room[: shape[0] * shape[1]].reshape(shape))
         if within:
             best[:, : len(best)][np.tri(len(best), dtype=bool)] = -2
         some = np.flatnonzero(best.max(axis=1) >= space.bound)
@@ -267,12 +285,18 @@ class _Block:
     """A row of the shared table, decoded."""
 
     def __init__(self, space: Leading, row: dict, kind: str):
-        self.nodes, n = row["nodes"], len(row["nodes"]) // 16
-        self.copies = np.frombuffer(row["copies"], np.int64)
-        self.least, self.known = np.frombuffer(row["least"], np.int64), np.frombuffer(row["known"], bool)
-        self.x = _unit(np.frombuffer(row["vectors"], kind).reshape(n, -1))
-        self.near = space.near(self.x)
-        self.tiles = [slice(a, b) for a, b in zip([0, *row["ends"]], row["ends"])]
+        self.nodes = row["nodes"].to_pybytes()
+        self.copies, self.least = np.frombuffer(row["copies"], np.int64), np.frombuffer(row["least"], np.int64)
+        self.known = np.frombuffer(row["known"], bool)
+        vectors = np.frombuffer(row["vectors"], kind).reshape(len(self.known), -1)
+        self.x = np.empty(vectors.shape)
+        self.near = np.empty((len(vectors), space.axes.shape[1] + 1), np.float32)
+        for i in range(0, len(vectors), 2048):
+            self.x[i : i + 2048] = _unit(vectors[i : i + 2048])
+            self.near[i : i + 2048] = space.near(self.x[i : i + 2048])
+        self.copies, self.least, self.known = self.copies.copy(), self.least.copy(), self.known.copy()  # lets the batch go
+        ends = row["ends"]
+        self.tiles = [slice(a, b) for a, b in zip([0, *ends], ends)]
         self.boxes = [(self.near[t].min(axis=0), self.near[t].max(axis=0)) for t in self.tiles]
 
 
@@ -336,7 +360,7 @@ def _compare(space: Leading, kind: str):
 
     def run(batches):
         links, kept = _Links(), {}
-        sides = {s: [f"{s}_{c}" for c in ("nodes", "copies", "least", "known", "vectors", "ends")] for s in "ab"}
+        sides = {s: [f"{s}_{c}" for c in ("nodes", "copies", "least", "known", "vectors")] for s in "ab"}
         for batch in batches:
             numbers = zip(batch.column("a_block").to_pylist(), batch.column("b_block").to_pylist())
             for k, pair in enumerate(numbers):
@@ -344,7 +368,8 @@ def _compare(space: Leading, kind: str):
                     if number not in kept:
                         if len(kept) >= _KEPT:
                             kept = {n: x for n, x in kept.items() if n in pair}
-                        kept[number] = _Block(space, {c[2:]: batch.column(c)[k].as_py() for c in sides[side]}, kind)
+                        row = {c[2:]: batch.column(c)[k].as_buffer() for c in sides[side]}
+                        kept[number] = _Block(space, row | {"ends": batch.column(f"{side}_ends")[k].as_py()}, kind)
                 left, right = kept[pair[0]], kept[pair[1]]
                 for i, s in enumerate(left.tiles):
                     for j, t in enumerate(right.tiles):
@@ -358,6 +383,21 @@ def _compare(space: Leading, kind: str):
     return run
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """What runs meanwhile sends Python tasks few large rows at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(_BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def _gap(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
     """The squared distance of two boxes."""
     minus = lambda x, y: x - y
@@ -368,7 +408,7 @@ def _gap(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
 def _blocks(own: DataFrame, many: DataFrame, space: Leading, kind: str, rows: int, tile_rows: int) -> DataFrame:
     """Distinct vectors as blocks of near ones; `many` has the copies and least vec_id of those with several vec_ids."""
     width = np.dtype(kind).itemsize * len(space.axes)
-    files = min(_FILES, max(-(-rows * width // _FILE_BYTES), min(own.sparkSession.sparkContext.defaultParallelism, rows // (_BLOCK_TILES * tile_rows)), 1))
+    files = min(_FILES, max(-(-rows * width // _FILE_BYTES), min(own.sparkSession.sparkContext.defaultParallelism, rows // (4 * tile_rows)), 1))
     block_rows = max(1, min(_BLOCK_TILES * tile_rows, _BLOCK_BYTES // width))
     vector = own.schema["embedding"].dataType
     placed = own.mapInArrow(_place(space, True), f"cell int, node binary, vec_id bigint, embedding {vector.simpleString()}")
@@ -394,8 +434,8 @@ def near_vectors(docs: DataFrame, cosine: float = COSINE, block_dims: int = BLOC
     """
     docs = docs.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
     good = usable(docs)
-    kind = "f4" if isinstance(docs.schema["embedding"].dataType.elementType, FloatType) else "f8"
-    vectors = good.select("node", "vec_id", F.col("embedding").cast("array<float>" if kind == "f4" else "array<double>").alias("embedding"))
+    kind = {"float": "f4", "double": "f8"}[_numbers(docs)]
+    vectors = good.select("node", "vec_id", F.col("embedding").cast(f"array<{_numbers(docs)}>").alias("embedding"))
     spark = docs.sparkSession
     found = spark.createDataFrame([], _FOUND)
     several = spark.createDataFrame([], "node binary, copies bigint, least bigint")
@@ -418,7 +458,8 @@ def near_vectors(docs: DataFrame, cosine: float = COSINE, block_dims: int = BLOC
         near = (F.col("a_block") <= F.col("b_block")) & (_gap(*map(F.col, ("a_lo", "a_hi", "b_lo", "b_hi"))) <= space.reach)
         pairs = a.join(b.hint("shuffle_replicate_nl"), near).drop("a_lo", "a_hi", "b_lo", "b_hi")
         found = found.unionByName(pairs.mapInArrow(_compare(space, kind), _FOUND))
-    found = saved(found, "vector_links")
+    with _small_batches(spark):
+        found = saved(found, "vector_links")
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector_edges")
     named = found.drop("root").unionByName(several.withColumn("links", F.lit(0).cast("bigint")))
     named = named.groupBy("node").agg(F.sum("links").alias("links"), F.max("copies").alias("copies"), F.min("least").alias("least"))
@@ -430,8 +471,5 @@ def near_vectors(docs: DataFrame, cosine: float = COSINE, block_dims: int = BLOC
     keyed = good.select("vec_id", "node").join(named, "node", "left")
     own = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     keyed = keyed.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"))
-    v = F.col("embedding")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    bad = ~F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
-    alone = docs.where(bad).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = docs.where(~_good(docs)).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return keyed.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
